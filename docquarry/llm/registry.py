@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from docquarry.llm.licenses import op2_licenses
+from docquarry.llm.lines import OP1_SQL, op1_lines
 from docquarry.llm.mixing import OP4_SQL, op4_mixing
 from docquarry.llm.quality import OP6_SQL, op6_quality
 from docquarry.llm.simhash import op3_simhash
 from docquarry.llm.urls import OP9_SQL, op9_urls
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_urls": op9_urls,
 }
 ORACLES = {
+    "op1_lines": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op6_quality": OP6_SQL,
     "op9_urls": OP9_SQL,
