@@ -7,6 +7,8 @@ from docquarry.llm.lines import OP1_SQL, op1_lines
 from docquarry.llm.mixing import OP4_SQL, op4_mixing
 from docquarry.llm.quality import OP6_SQL, op6_quality
 from docquarry.llm.simhash import op3_simhash
+from docquarry.llm.topk import OP5_SQL, op5_topk
+from docquarry.llm.toxicity import op10_toxicity
 from docquarry.llm.urls import OP9_SQL, op9_urls
 
 QUERIES = {
@@ -14,12 +16,15 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op9_urls": op9_urls,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op1_lines": OP1_SQL,
     "op4_mixing": OP4_SQL,
+    "op5_topk": OP5_SQL,
     "op6_quality": OP6_SQL,
     "op9_urls": OP9_SQL,
 }
