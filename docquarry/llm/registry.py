@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docquarry.llm.licenses import op2_licenses
 from docquarry.llm.lines import OP1_SQL, op1_lines
+from docquarry.llm.lm import op7_lm
 from docquarry.llm.mixing import OP4_SQL, op4_mixing
 from docquarry.llm.quality import OP6_SQL, op6_quality
 from docquarry.llm.simhash import op3_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op7_lm": op7_lm,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
