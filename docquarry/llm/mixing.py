@@ -19,7 +19,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cei
     ``sizes`` has ``_src`` (null allowed) and ``source_size``; one row per source. Sources take the
     weights in turn by code point, null last. The excess over a ceiling goes to the others by weight
     until none is above: with sources in order of ceiling / weight, source k is full exactly when its
-    ratio is at most (total - ceilings before k) / (weights from k on), so one window finds the level.
+    ratio is at most (total - ceilings before k) / (weights from k on); that level rises up to the first
+    source that is not full and falls after it, so the largest level of a source not full is the one.
     Only this table of one row per source passes through a single task.
     """
     ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_src").asc_nulls_last())))
@@ -36,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cei
         .withColumn("_before", F.sum("_cap").over(order) - F.col("_cap"))
         .withColumn("_rest", F.sum("_weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("_level", (F.col("_total") - F.col("_before")) / F.col("_rest"))
-        .withColumn("_found", F.min(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(everything))
+        .withColumn("_found", F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(everything))
     )
     target = F.least(F.col("_cap"), F.coalesce(F.col("_found") * F.col("_weight"), F.col("_cap")))
     return level.select("_src", "source_size", target.alias("target"))
@@ -141,7 +142,7 @@ r AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::DOUBLE * 1.5:
 l AS (
   SELECT *, (total - (sum(cap) OVER (ORDER BY ratio, rk) - cap))
             / sum(weight) OVER (ORDER BY ratio, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-f AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS found FROM l),
+f AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS found FROM l),
 t AS (SELECT source, source_size, least(cap, coalesce(found * weight, cap)) AS target FROM f),
 p AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
