@@ -6,6 +6,7 @@ from docquarry.llm.licenses import op2_licenses
 from docquarry.llm.lines import OP1_SQL, op1_lines
 from docquarry.llm.lm import op7_lm
 from docquarry.llm.mixing import OP4_SQL, op4_mixing
+from docquarry.llm.pieces import op8_pieces
 from docquarry.llm.quality import OP6_SQL, op6_quality
 from docquarry.llm.simhash import op3_simhash
 from docquarry.llm.topk import OP5_SQL, op5_topk
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_lm": op7_lm,
+    "op8_pieces": op8_pieces,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
