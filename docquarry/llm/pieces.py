@@ -76,6 +76,7 @@ class Vocabulary:
                 h = rolled(h, np.array([c], np.uint64))
             keys[k] = h[0]
         assert len(set(keys.tolist())) == n
+        self.weights = np.exp(self.scores)
         self.mask = _U((1 << 20) - 1)
         self.slots = np.full(1 << 20, -1, np.int64)
         self.keys = keys
@@ -120,9 +121,9 @@ def uniform(seed: np.ndarray, unit: np.ndarray, step: int | np.ndarray) -> np.nd
 class Lattices:
     """All piece lattices of a list of different short units, filtered forward.
 
-    Nodes are the places between characters, unit by unit. ``key`` sorts the arcs into a node by the
-    share of the forward weight that they and those before them bring, in 2^-32; so one binary search
-    with 32 random bits samples the last piece before a node.
+    Nodes are the places between characters, unit by unit. The arcs into a node stand together from
+    ``into[node]`` on, the longest piece first; ``bound`` is the share of the forward weight that an arc
+    and those before it bring, in 2^-32, so 32 random bits sample the last piece before a node.
     """
 
     def __init__(self, units: list[str], vocab: Vocabulary):
@@ -130,73 +131,75 @@ class Lattices:
         size = np.fromiter(map(len, units), np.int64, len(units))
         self.first = np.cumsum(size + 1) - (size + 1)
         self.last = self.first + size
-        offset = np.cumsum(size) - size
-        place = np.arange(len(chars)) - np.repeat(offset, size)  # within the unit
+        place = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)  # within the unit
         node = np.repeat(self.first, size) + place
         left = np.repeat(size, size) - place
-        source, target, number = [], [], []
-        live = np.arange(len(chars))
-        h = np.zeros(len(chars), np.uint64)
+        source, number, begin = [], [], []
+        live, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
         for n in range(1, vocab.longest + 1):
             if n > 1:
                 keep = left[live] >= n
                 live, h = live[keep], h[keep]
-            if not len(live):
-                break
             h = rolled(h, chars[live + n - 1])
             found = vocab.find(h)
             if n == 1:
                 found = np.where(found < 0, -2, found)  # spelt in bytes
             some = np.flatnonzero(found != -1)
             source.append(node[live[some]])
-            target.append(node[live[some]] + n)
+            begin.append(place[live[some]].astype(np.uint8))  # short units: a radix sort below
             number.append(found[some])
-        empty = [np.empty(0, np.int64)]
-        source, target, number = (np.concatenate(x or empty) for x in (source, target, number))
-        weight = np.exp(np.where(number >= 0, vocab.scores[np.maximum(number, 0)], _SPELT))
-        forward = np.zeros(int(self.last[-1]) + 1 if len(units) else 0)
+        weight = [np.where(x >= 0, vocab.weights[np.maximum(x, 0)], math.exp(_SPELT)) for x in number]
+        nodes = int(size.sum()) + len(units)
+        forward = np.zeros(nodes)
         forward[self.first] = 1.0
-        start_of = np.repeat(self.first, size + 1)
-        begin = source - start_of[source]
-        order = np.argsort(begin, kind="stable")
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(begin))))
+        flat_source, flat_weight = np.concatenate(source), np.concatenate(weight)
+        flat_target = np.concatenate([x + n for n, x in enumerate(source, 1)])
+        flat_begin = np.concatenate(begin)
+        order = np.argsort(flat_begin, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(flat_begin))))
         for b, e in zip(cuts[:-1], cuts[1:], strict=True):
             part = order[b:e]
-            np.add.at(forward, target[part], forward[source[part]] * weight[part])
-        order = np.lexsort((source, target))
-        source, target, number, weight = source[order], target[order], number[order], weight[order]
-        share = forward[source] * weight / forward[target]
-        head = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.empty(0, np.int64)
-        rank = np.arange(len(target)) - np.repeat(head, np.diff(np.concatenate((head, [len(target)]))))
-        total = share.copy()
-        for k in range(1, int(rank.max(initial=0)) + 1):
-            at = np.flatnonzero(rank == k)
-            total[at] += total[at - 1]
-        bound = np.minimum(np.floor(total * 2.0**32), 2.0**32 - 1).astype(np.uint64)
-        if len(target):
-            bound[np.concatenate((head[1:] - 1, [len(target) - 1]))] = _U((1 << 32) - 1)
-        self.source, self.number = source, number
-        self.key = (target.astype(np.uint64) << _U(32)) | bound
+            np.add.at(forward, flat_target[part], forward[flat_source[part]] * flat_weight[part])
+        arcs = np.bincount(flat_target, minlength=nodes)
+        self.into = np.cumsum(arcs) - arcs
+        self.source, self.number = np.empty(len(flat_source), np.int64), np.empty(len(flat_source), np.int64)
+        self.bound = np.empty(len(flat_source), np.uint32)
+        next_, share = self.into.copy(), np.zeros(nodes)
+        for n in range(vocab.longest, 0, -1):  # one arc of each length at most ends at a node
+            start = source[n - 1]
+            end = start + n
+            share[end] += forward[start] * weight[n - 1] / forward[end]
+            at = next_[end]
+            self.source[at], self.number[at] = start, number[n - 1]
+            self.bound[at] = np.minimum(np.floor(share[end] * 2.0**32), 2.0**32 - 1)
+            next_[end] += 1
+        self.bound[(self.into + arcs - 1)[arcs > 0]] = (1 << 32) - 1
         # The character of each arc that is spelt in bytes.
-        at = np.empty(len(forward), np.int64)
+        at = np.zeros(nodes, np.int64)
         at[node] = np.arange(len(chars))
-        self.char = np.where(number == -2, chars[at[source]] if len(chars) else 0, 0) if len(target) else np.empty(0, np.uint64)
+        self.char = np.zeros(len(flat_source), np.uint64)
+        spelt = np.flatnonzero(self.number == -2)
+        self.char[spelt] = chars[at[self.source[spelt]]]
 
     def sample(self, unit: np.ndarray, seed: np.ndarray, ordinal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs of a sampled segmentation of each occurrence, in order, and how many each has."""
-        live, node = np.arange(len(unit)), self.last[unit]
-        start = self.first[unit]
+        node, start = self.last[unit], self.first[unit]
+        live = np.flatnonzero(node > start)
         who, arcs, steps, step = [], [], np.zeros(len(unit), np.int64), 0
-        live = live[node > start]
         while len(live):
-            bits = uniform(seed[live], ordinal[live], step)
-            arc = np.searchsorted(self.key, (node[live].astype(np.uint64) << _U(32)) | bits)
+            bits = uniform(seed[live], ordinal[live], step).astype(np.uint32)
+            arc = self.into[node[live]]
+            open_ = np.flatnonzero(self.bound[arc] < bits)
+            while len(open_):
+                arc[open_] += 1
+                open_ = open_[self.bound[arc[open_]] < bits[open_]]
             who.append(live)
             arcs.append(arc)
-            node[live] = self.source[arc]
+            before = self.source[arc]
+            node[live] = before
             steps[live] += 1
             step += 1
-            live = live[node[live] > start[live]]
+            live = live[before > start[live]]
         end = np.cumsum(steps)
         out = np.empty(int(steps.sum()), np.int64)
         for k, (w, a) in enumerate(zip(who, arcs, strict=True)):
