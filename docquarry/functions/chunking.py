@@ -76,8 +76,8 @@ def pack(text: str, max_bytes: int) -> list[str]:
 class Chunks:
     """Sink of Markdown blocks that makes chunks: one a paragraph, item, code block or run of table rows."""
 
-    def __init__(self, max_bytes: int, heading_sep: str):
-        self.max_bytes, self.heading_sep = max_bytes, heading_sep
+    def __init__(self, max_bytes: int):
+        self.max_bytes = max_bytes
         self.done: list[str] = []
         self.parts: list[str] = []
         self.head: list[str] | None = None
@@ -130,22 +130,13 @@ def chunks_of(text: str, max_bytes: int = MAX_BYTES, heading_sep: str = "") -> l
 
     Headings do not end a chunk: their text stands before what follows, joined by ``heading_sep``.
     """
-    sink = Chunks(max_bytes, heading_sep)
-    walker = _WithHeadings if heading_sep else Blocks
-    walker(sink, text)
+    sink = Chunks(max_bytes)
+    Blocks(sink, text, heading_sep)
     if "".join(sink.parts).strip(WHITE):
         sink.flush()
     return sink.done
 
 
-class _WithHeadings(Blocks):
-    """Says the separator after each heading."""
-
-    def blocks(self, lines: list[str], tight: bool) -> None:
-        marked = [x + self.sink.heading_sep if re.match(r"^ {0,3}#{1,6}[ \t]+\S", x) else x for x in lines]
-        super().blocks(marked, tight)
-
-
 def _arrays(function: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def each(texts: pd.Series) -> pd.Series:

@@ -54,8 +54,8 @@ def _name(label: str) -> str:
 class Blocks:
     """Tells ``sink`` the blocks of a text: say, line_end, flush, code, table_start, table_head, cell, row, table_end."""
 
-    def __init__(self, sink, text: str):
-        self.sink = sink
+    def __init__(self, sink, text: str, heading_sep: str = ""):
+        self.sink, self.heading_sep = sink, heading_sep
         self.names: set[str] = set()
         lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         if "]:" in text:
@@ -77,6 +77,7 @@ class Blocks:
                 i = self.fenced(lines, i, m)
             elif first == "#" and (m := _ATX.match(line)):
                 self.inline(re.sub(r"(?:^|[ \t]+)#+[ \t]*$", "", line[m.end() :]).strip())
+                self.sink.say(self.heading_sep)
                 i += 1
             elif first in "*-_" and _RULE.match(line):
                 i += 1
@@ -232,7 +233,9 @@ class Blocks:
             text = text[m.end() :]
         if text.strip():
             self.inline(text)
-            if not heading and not tight:
+            if heading:
+                self.sink.say(self.heading_sep)
+            elif not tight:
                 self.sink.flush()
         return i
 
