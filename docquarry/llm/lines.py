@@ -87,12 +87,13 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     source = docs.select(F.col(id_col).cast("long"), _row_key(F.col(text_col)), F.col(text_col))
     found = materialize(source.mapInArrow(windows, _WINDOWS), "line-windows")
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", F.col("anchor").alias("at"))
-    fingerprints = (
-        found.groupBy("anchor_hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor_hash")
-    )
+    # Both small tables are written, so the joins below stand on plain exchanges and a hot key is split.
+    places = found.groupBy("anchor_hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    fingerprints = materialize(places.select("anchor_hash"), "line-fingerprints")
     candidates = found.join(fingerprints, "anchor_hash", "left_semi")
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "start")
-    first = candidates.groupBy("window_hash").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi")
+    contents = candidates.groupBy("window_hash").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi")
+    first = materialize(contents.select("window_hash", "lo"), "line-contents")
     later = candidates.join(first, "window_hash").where(at > F.col("lo"))
     ranges = later.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("r"))
     return ranges.select("doc", "row", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
