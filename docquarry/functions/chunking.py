@@ -51,11 +51,12 @@ def pack(text: str, max_bytes: int) -> list[str]:
     out: list[str] = []
     held: list[str] = []  # the sentences of the open chunk
     length, last = 0, ""
+    measure = len if text.isascii() else size_of
     for found in _SENTENCE.findall(text):
         sentence = found.strip(WHITE)
         if not sentence:
             continue
-        n = size_of(sentence)
+        n = measure(sentence)
         if n > max_bytes:
             if held:
                 out.append(" ".join(held))
@@ -64,7 +65,7 @@ def pack(text: str, max_bytes: int) -> list[str]:
             continue
         if held and length + n > max_bytes:
             out.append(" ".join(held))
-            held, length = ([last], size_of(last) + 1) if last else ([], 0)
+            held, length = ([last], measure(last) + 1) if last else ([], 0)
         held.append(sentence)
         length += n + 1
         last = sentence

@@ -43,6 +43,10 @@ _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]
 _SPECIAL = re.compile(r"[\\`*_~\[\]<&!]")
 _PLAIN = re.compile(r"[^\\`*_~\[\]<&!]+")
 _TARGET = re.compile(r"\(\s*(?:<[^<>\n]*>|[^\s()<]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
+#: A soft or hard break: both are said as a line feed.
+_LINE_END = re.compile(r"(?:(?<!\\)\\|[ \t]+)?\n[ \t]*")
+#: Lines that may end a paragraph; all others go on with it unless a table begins.
+_MAY_END = re.compile(r"[ \t]*(?:$|[`~#>*\-_+<=1])")
 _PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _TASK = re.compile(r"^\[[ xX]\][ \t]+")
 
@@ -216,15 +220,16 @@ class Blocks:
         heading = False
         while i < len(lines):
             line = lines[i]
-            if not line.strip(" \t"):
-                break
-            if _SETEXT.match(line):
-                heading = True
-                i += 1
-                break
-            if self.interrupts(line):
-                break
-            if i + 1 < len(lines) and "|" in line and _DELIMITER.match(lines[i + 1]) and len(self.cells(line)) == len(self.cells(lines[i + 1])):
+            if _MAY_END.match(line):
+                if not line.strip(" \t"):
+                    break
+                if _SETEXT.match(line):
+                    heading = True
+                    i += 1
+                    break
+                if self.interrupts(line):
+                    break
+            if "|" in line and i + 1 < len(lines) and _DELIMITER.match(lines[i + 1]) and len(self.cells(line)) == len(self.cells(lines[i + 1])):
                 break
             body.append(line)
             i += 1
@@ -269,12 +274,8 @@ class Blocks:
         self.sink.say(" ")
 
     def inline(self, text: str) -> None:
-        lines = text.split("\n")
-        if len(lines) > 1:
-            text = "\n".join(
-                [re.sub(r"( {2,}|\\)$", "", x) if k < len(lines) - 1 else x for k, x in enumerate(y.lstrip(" \t") for y in lines)]
-            )
-            text = re.sub(r"[ \t]+\n", "\n", text)
+        if "\n" in text:
+            text = _LINE_END.sub("\n", text)
         text = text.strip(" \t\n")
         self.sink.say(self.plain(text) if _SPECIAL.search(text) else text)
 
