@@ -40,11 +40,10 @@ _HTML_ALONE = re.compile(rf"^ {{0,3}}{_TAG}[ \t]*$")
 _INLINE_HTML = re.compile(rf"{_TAG}|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![A-Za-z][^>]*>")
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9.-]+)>")
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
-_SPECIAL = re.compile(r"[\\`*_~\[\]<&!]")
-_PLAIN = re.compile(r"[^\\`*_~\[\]<&!]+")
+_SPECIAL = re.compile(r"[\\`*_~\[\]<&]")
+_PLAIN = re.compile(r"(?:[^\\`*_~\[\]<&!]+|!(?!\[))+")
 _TARGET = re.compile(r"\(\s*(?:<[^<>\n]*>|[^\s()<]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
-#: A soft or hard break: both are said as a line feed.
-_LINE_END = re.compile(r"(?:(?<!\\)\\|[ \t]+)?\n[ \t]*")
+_BREAK = re.compile(r"(?<!\\)\\\n")
 #: Lines that may end a paragraph; all others go on with it unless a table begins.
 _MAY_END = re.compile(r"[ \t]*(?:$|[`~#>*\-_+<=1])")
 _PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -275,7 +274,9 @@ class Blocks:
 
     def inline(self, text: str) -> None:
         if "\n" in text:
-            text = _LINE_END.sub("\n", text)
+            if "\\\n" in text:
+                text = _BREAK.sub("\n", text)
+            text = "\n".join([x.strip(" \t") for x in text.split("\n")])  # soft or hard, a break is said as a line feed
         text = text.strip(" \t\n")
         self.sink.say(self.plain(text) if _SPECIAL.search(text) else text)
 
