@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,6 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import LOWER_ASCII, bound_batches, materialize, with_columns_free
 from docquarry.llm.components import components
 
-#: Bits of the three segments, and the radius looked at in each: if two fingerprints differ in at most 4
-#: bits, they differ in at most 1 of the first segment, or 1 of the second, or 0 of the third (2 + 2 + 1 > 4).
-SEGMENTS = (21, 21, 22)
-RADII = (1, 1, 0)
 ADDED = ("fingerprint", "component_id")
 #: Fingerprints of one table slot that are compared in one task; fuller slots are cut into tiles of this size.
 TILE = 4096
@@ -63,21 +60,42 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4) -> Dat
     return docs.mapInArrow(make, schema)
 
 
-def _slots(fp: Column) -> tuple[Column, Column]:
+def segment_plan(most: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Bits of the segments, and the radius looked at in each, for links at ``most`` differing bits.
+
+    If every segment differed in more than its radius, the whole would differ in at least the sum of
+    (radius + 1), which is more than ``most``; so some segment lies within its radius. Up to 4 bits, three
+    wide segments keep slots thin (2 + 2 + 1 > 4); beyond, four segments share the radius.
+    """
+    if not 0 <= most <= 11:
+        raise ValueError("links are found at 0 to 11 differing bits")
+    bits = (21, 21, 22) if most <= 4 else (16, 16, 16, 16)
+    n = len(bits)
+    return bits, tuple((most + 1) // n + (k < (most + 1) % n) - 1 for k in range(n))
+
+
+def _slots(fp: Column, most: int) -> tuple[Column, Column]:
     """Keys of the table slots that hold a fingerprint, and of the slots it looks into besides.
 
-    A slot is (segment, value) in one long. Of two values that differ in one bit just one has a 0 there,
-    so it is enough that each looks where its zeros are flipped.
+    A slot is (segment, value) in one long. Of two that differ the one of smaller value looks at the
+    larger, so each meeting takes place once. A segment of radius -1 takes no part.
     """
     homes, probes, shift = [], [], 0
-    for s, (bits, radius) in enumerate(zip(SEGMENTS, RADII, strict=True)):
+    for s, (bits, radius) in enumerate(zip(*segment_plan(most), strict=True)):
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        tag = F.lit(s << 24)
-        homes.append(value + tag)
-        if radius:
-            probes += [F.when(value.bitwiseAND(F.lit(1 << b)) == 0, value + F.lit((1 << b) + (s << 24))) for b in range(bits)]
+        tag = s << 24
+        if radius >= 0:
+            homes.append(value + F.lit(tag))
+        masks = [sum(1 << b for b in flips) for n in range(1, radius + 1) for flips in combinations(range(bits), n)]
+        if masks:
+            probes.append(_larger_in_ball(value, masks, tag))
         shift += bits
-    return F.array(*homes), F.array_compact(F.array(*probes))
+    return F.array(*homes), F.concat(*probes) if probes else F.array().cast("array<bigint>")
+
+
+def _larger_in_ball(value: Column, masks: list[int], tag: int) -> Column:
+    ball = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
+    return F.transform(F.filter(ball, lambda x: x > value), lambda x: x + F.lit(tag))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -144,15 +162,15 @@ def _linked(frame: pd.DataFrame, pairs) -> pd.DataFrame:
 def fingerprint_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """Links (u, v) that connect all of ``distinct`` (fp: long, no repeats) at ``most`` or fewer differing bits.
 
-    Every fingerprint stands in its three slots and looks into the slots one bit away in the first two
-    segments; each slot's meetings are checked on all 64 bits. What comes out of a slot is a spanning
+    Every fingerprint stands in the slot of each of its segments and looks into the slots within the
+    segment's radius (``segment_plan``); each slot's meetings are checked on all 64 bits. What comes out of a slot is a spanning
     forest of its links, so its length is that of the slot and not its square, and no connection is lost.
 
     Slots with more than TILE tenants are cut into tiles by a hash of the fingerprint; all who stand in
     or look into the slot visit each tile, so no task holds more than one tile of tenants at a time and
     every meeting still takes place.
     """
-    homes, probes = _slots(F.col("fp"))
+    homes, probes = _slots(F.col("fp"), most)
     standing = distinct.select("fp", F.explode(homes).alias("slot")).withColumn("home", F.lit(True))
     looking = distinct.select("fp", F.explode(probes).alias("slot")).withColumn("home", F.lit(False))
     visits = standing.union(looking)

@@ -4,7 +4,7 @@ import pytest
 import xxhash
 
 from docquarry.llm.components import components
-from docquarry.llm.simhash import SEGMENTS, brute_force, fingerprint_links, keep_one_of_each, simhash, simhash_near_duplicates
+from docquarry.llm.simhash import brute_force, fingerprint_links, keep_one_of_each, segment_plan, simhash, simhash_near_duplicates
 
 SCHEMA = "doc_id long, text string, source string, fingerprint int, slot string"
 
@@ -42,18 +42,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_force(texts), key=str)
 
 
-def test_links_connect_all_close_fingerprints(spark):
+@pytest.mark.parametrize("most", range(12))
+def test_some_segment_is_always_near(most):
+    bits, radii = segment_plan(most)
+    assert sum(bits) == 64 and sum(r + 1 for r in radii) > most
+
+
+@pytest.mark.parametrize("most", [0, 4, 8])
+def test_links_connect_all_close_fingerprints(spark, most):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(30)]
     prints = set(base)
     for b in base:
         for _ in range(6):
             x = b
-            for bit in rng.sample(range(64), rng.choice([1, 2, 3, 4, 5])):
+            for bit in rng.sample(range(64), rng.choice([1, 2, 3, 4, 5, 7, 8, 9])):
                 x ^= 1 << bit
             prints.add(x)
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
-    links = fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), most)
     got = {r["node"]: r["root"] for r in components(links).collect()}
     label = {x: x for x in signed}
     changed = True
@@ -61,11 +68,10 @@ def test_links_connect_all_close_fingerprints(spark):
         changed = False
         for x in signed:
             for y in signed:
-                if ((x ^ y) & (2**64 - 1)).bit_count() <= 4 and label[x] != label[y]:
+                if ((x ^ y) & (2**64 - 1)).bit_count() <= most and label[x] != label[y]:
                     label[x] = label[y] = min(label[x], label[y])
                     changed = True
     assert {x: got.get(x, x) for x in signed} == label
-    assert sum(SEGMENTS) == 64
 
 
 def test_full_slots_are_tiled_without_loss(spark, monkeypatch):
