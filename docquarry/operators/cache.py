@@ -175,7 +175,7 @@ def replay_cache(
     return ordered.mapInPandas(run, REPLAY)
 
 
-def answer_with_cache(queries: DataFrame, cache: DataFrame, search, *, dim: int = DIMENSION, num_bits: int = LSH_BITS, seed: int = LSH_SEED) -> tuple[DataFrame, DataFrame]:
+def answer_queries(queries: DataFrame, cache: DataFrame, search, *, dim: int = DIMENSION, num_bits: int = LSH_BITS, seed: int = LSH_SEED) -> tuple[DataFrame, DataFrame]:
     """Answers (query_id, query, outcome, answer) of a query table, and the cache with the new entries.
 
     Hits take the cached value; misses go to ``search`` (query_id, query -> query_id, answer), each different

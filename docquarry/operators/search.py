@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), F.lit(0.0)).otherwise(dot / (norm(a) * norm(b)))
 
 
-def similarity_pairs(queries: DataFrame, points: DataFrame) -> DataFrame:
+def similarity_join(queries: DataFrame, points: DataFrame) -> DataFrame:
     """All (query_id, point_id, score), in plain expressions: for small tables and cross-checks only."""
     q = queries.select("query_id", F.col("embedding").alias("_q"))
     p = points.select("point_id", F.col("embedding").alias("_p"))
@@ -123,4 +123,5 @@ def search(queries: DataFrame, points: DataFrame, k: int = TOP_K) -> DataFrame:
     return answer_texts(queries, top_k(queries, points, k))
 
 
+#: Answers (query_id, answer) of a table of missed queries (query_id, query).
 SearchProvider = Callable[[DataFrame], DataFrame]

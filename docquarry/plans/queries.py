@@ -249,7 +249,7 @@ def cached_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fresh(missed: DataFrame) -> DataFrame:
         return se.search(missed.select("query_id", vx.embed_chunk(F.col("query"), DIM).alias("embedding")), points)
 
-    answers, _ = ca.answer_with_cache(items, cached, fresh, dim=DIM)
+    answers, _ = ca.answer_queries(items, cached, fresh, dim=DIM)
     return answers.select("query_id", "outcome", F.md5("answer").alias("answer_md5"))
 
 

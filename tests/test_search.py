@@ -23,7 +23,7 @@ def tables(spark, n=60, dim=6):
 
 def test_top_k_equals_expressions(spark):
     queries, points = tables(spark)
-    pairs = se.similarity_pairs(queries, points).collect()
+    pairs = se.similarity_join(queries, points).collect()
     want = {}
     for q in {r["query_id"] for r in pairs}:
         own = sorted((-round(r["score"], 6), r["point_id"]) for r in pairs if r["query_id"] == q)[:5]
@@ -134,7 +134,7 @@ def test_probe_and_cached_search(spark):
     found = {r["query_id"]: r for r in ca.probe_cache(ca.cache_entries(asked, dim=8, num_bits=16), cached).collect()}
     assert (found[1]["outcome"], found[1]["value"]) == ("SureHit", "cached")
     assert found[2]["outcome"] == "Miss" and found[3]["outcome"] == "Miss" and len(found) == 4
-    answers, after = ca.answer_with_cache(asked, cached, lambda m: m.select("query_id", F.concat(F.lit("fresh "), "query").alias("answer")), dim=8, num_bits=16)
+    answers, after = ca.answer_queries(asked, cached, lambda m: m.select("query_id", F.concat(F.lit("fresh "), "query").alias("answer")), dim=8, num_bits=16)
     got = {r["query_id"]: (r["outcome"], r["answer"]) for r in answers.collect()}
     assert got == {1: ("SureHit", "cached"), 2: ("Miss", "fresh "), 3: ("Miss", "fresh something quite different"), 4: ("Miss", "fresh something quite different")}
     assert sorted((r["query"], r["value"]) for r in after.collect()) == [("", "fresh "), ("Arc<RwLock<T>>", "cached"), ("something quite different", "fresh something quite different")]
