@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import jaccard, trigrams
@@ -186,9 +186,8 @@ def answer_queries(queries: DataFrame, cache: DataFrame, search, *, dim: int = D
     missed = probed.where("outcome = 'Miss'").groupBy("query").agg(F.min("query_id").alias("query_id"))
     fresh = missed.join(search(missed.select("query_id", "query")), "query_id").select("query", F.col("answer").alias("_fresh"))
     answers = probed.join(fresh, "query", "left").select("query_id", "query", "outcome", F.coalesce("value", "_fresh").alias("answer"))
-    order = Window.orderBy("query")
     last = cache.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
     new = cache_entries(fresh, dim=dim, num_bits=num_bits, seed=seed).join(F.broadcast(last))
-    new = new.select("query", "q", "bucket", F.col("_fresh").alias("value"), (F.col("_last") + F.row_number().over(order)).cast("long").alias("seq"))
+    new = new.select("query", "q", "bucket", F.col("_fresh").alias("value"), (F.col("_last") + 1 + F.monotonically_increasing_id()).alias("seq"))
     kept = cache.select("query", "q", "bucket", "value", "seq").join(new.select("query"), "query", "left_anti")
     return answers, kept.unionByName(new)

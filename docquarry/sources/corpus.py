@@ -82,10 +82,16 @@ def import_ledger_json(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(files).alias("source_path", "content_hash"))
 
 
-def export_ledger_json(ledger: DataFrame) -> DataFrame:
-    """One row with the whole ledger as JSON (``value``): an exchange format, for ledgers that fit in a value."""
+def export_ledger_json(ledger: DataFrame, per_value: int = 100_000) -> DataFrame:
+    """The ledger as JSON texts (``value``) that ``import_ledger_json`` reads back.
+
+    A ledger of up to ``per_value`` rows is one text; larger ones come as several, dealt by a hash of the
+    path, so no text or task grows with the ledger.
+    """
+    shards = max(1, -(-ledger.count() // per_value))
+    shard = F.pmod(F.xxhash64("source_path"), F.lit(shards)).alias("_shard")
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_path", "content_hash"))))
-    return ledger.agg(F.to_json(F.struct(entries.alias("files"))).alias("value"))
+    return ledger.groupBy(shard).agg(F.to_json(F.struct(entries.alias("files"))).alias("value")).select("value")
 
 
 def ensure_points_table(spark: SparkSession, path: str, dim: int) -> DataFrame:

@@ -61,6 +61,8 @@ def test_ledger_json_and_missing(spark, tmp_path):
     assert sorted(map(tuple, co.read_ledger(spark, str(tmp_path / "l")).collect())) == rows
     text = co.export_ledger_json(ledger)
     assert text.first()["value"] == '{"files":{"a":"1","b":"2"}}'
+    assert co.export_ledger_json(ledger, per_value=1).count() <= 2
+    assert sorted(map(tuple, co.import_ledger_json(co.export_ledger_json(ledger, per_value=1)).collect())) == rows
     bad = spark.createDataFrame([("{broken",), ('{"files":{"q":"9"}}',)], "value string")
     assert sorted(map(tuple, co.import_ledger_json(text.union(bad)).collect())) == [*rows, ("q", "9")]
 
