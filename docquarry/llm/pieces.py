@@ -24,6 +24,8 @@ _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _LONG = 40
 #: Log probability of a character that has no piece and is spelt in bytes.
 _SPELT = -20.0
+#: Characters that are encoded at once.
+_PART = 2_000_000
 _U = np.uint64
 
 
@@ -291,6 +293,16 @@ def encode_batch(texts: list[str | None], seeds: np.ndarray, vocab: Vocabulary)
     return flat, np.bincount(row, per_unit, minlength=len(texts)).astype(np.int64)
 
 
+def _in_parts(texts: list[str | None], seeds: np.ndarray, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``encode_batch`` over runs of texts of about _PART characters, so memory follows the longest text."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= _PART or i == len(texts) - 1:
+            yield encode_batch(texts[begin : i + 1], seeds[begin : i + 1], vocab)
+            begin, held = i + 1, 0
+
+
 def encode_pieces(
     docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL, alpha: float = 1.0, seed: int = 0
 ) -> DataFrame:
@@ -314,10 +326,12 @@ def encode_pieces(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             at = batch.schema.get_field_index
             texts = batch.column(at(text_col)).to_pylist()
             seeds = batch.column(at("_seed")).to_numpy(zero_copy_only=False).view(np.uint64)
-            flat, sizes = encode_batch(texts, seeds, vocab)
+            flat, sizes = (np.concatenate(x) for x in zip(*_in_parts(texts, seeds, vocab), strict=True))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             missing = pa.array([t is None for t in texts] + [False])
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.asarray(missing)), pa.array(flat.astype(np.int32)))
