@@ -84,8 +84,7 @@ def count_of(level: np.ndarray) -> np.ndarray:
 class BloomShape(NamedTuple):
     """A filter of ``segments`` parts of 2^``segment_bits`` bits, ``probes`` bits an entry and level.
 
-    Its size is fixed by the parameters and does not grow with the corpus: 32 MB by default. It takes
-    ``capacity`` (entry, level) pairs at 10 bits each, a false positive rate near 1 %.
+    It takes ``capacity`` (entry, level) pairs at 10 bits each, a false positive rate near 1 %.
     """
 
     segments: int = 256
@@ -96,6 +95,14 @@ class BloomShape(NamedTuple):
     def capacity(self) -> int:
         return (self.segments << self.segment_bits) // 10
 
+    def sized(self, pairs: int) -> BloomShape:
+        """This shape with as many segments as ``pairs`` (entry, level) pairs need."""
+        return self._replace(segments=max(1, -(-10 * pairs >> self.segment_bits)))
+
+    @property
+    def n_bytes(self) -> int:
+        return self.segments << (self.segment_bits - 3)
+
     def place(self, key: np.ndarray, level: int, probe: int) -> np.ndarray:
         """Bit within the key's segment."""
         add = (level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) & ((1 << 64) - 1)
@@ -155,19 +162,8 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def build_filter(counts: DataFrame, shape: BloomShape) -> tuple[LogBloom, int]:
-    """The filter over ``counts``, and the lowest level it takes.
-
-    If all levels exceed the capacity, the rarest n-grams are left to the smoothing: the lowest level
-    rises until the rest fits. So at most ``capacity`` pairs are ever dealt out, evenly by hash to the
-    segments, and each segment (128 KB by default) is built in one task.
-    """
-    leveled = counts.select("key", level_of(F.col("n")).alias("level"))
-    pairs = {r["level"]: r["level"] * r["m"] for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("m")).collect()}
-    lowest, total = 1, sum(pairs.values())
-    while total > shape.capacity:
-        total -= pairs.get(lowest, 0)
-        lowest += 1
+def filter_segments(leveled: DataFrame, shape: BloomShape) -> DataFrame:
+    """Segments (segment, bits) of the filter over ``leveled`` (key, level), each built in one task."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << shape.segment_bits, bool)
@@ -178,13 +174,75 @@ def build_filter(counts: DataFrame, shape: BloomShape) -> tuple[LogBloom, int]:
                 bits[shape.place(part, q, probe)] = True
         return pd.DataFrame({"segment": group["segment"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    segment = F.pmod(F.shiftrightunsigned("key", 40), F.lit(shape.segments)).cast("int")
-    parts = leveled.where(F.col("level") >= lowest).withColumn("segment", segment).groupBy("segment").applyInPandas(build, "segment int, bits binary")
+    return leveled.withColumn("segment", _segment_of(F.col("key"), shape)).groupBy("segment").applyInPandas(build, "segment int, bits binary")
+
+
+def _segment_of(key: Column, shape: BloomShape) -> Column:
+    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(shape.segments)).cast("int")
+
+
+def _pairs_by_level(leveled: DataFrame) -> dict[int, int]:
+    """Number of (entry, level) pairs that the n-grams of each level put in."""
+    return {r["level"]: r["level"] * r["m"] for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("m")).collect()}
+
+
+def _gathered(parts: DataFrame, shape: BloomShape) -> LogBloom:
     size = 1 << (shape.segment_bits - 3)
     bits = np.zeros(shape.segments * size, np.uint8)
     for r in parts.toLocalIterator():
         bits[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return LogBloom(shape, bits), lowest
+    return LogBloom(shape, bits)
+
+
+def build_filter(counts: DataFrame, shape: BloomShape) -> tuple[LogBloom, int]:
+    """The filter over ``counts`` at a size that is given, and the lowest level it takes.
+
+    If all levels exceed the capacity, the lowest level rises until the rest fits. ``score_texts`` sizes
+    its filter by the counts (``BloomShape.sized``), so there nothing is left out.
+    """
+    leveled = counts.select("key", level_of(F.col("n")).alias("level"))
+    pairs = _pairs_by_level(leveled)
+    lowest, total = 1, sum(pairs.values())
+    while total > shape.capacity:
+        total -= pairs.get(lowest, 0)
+        lowest += 1
+    return _gathered(filter_segments(leveled.where(F.col("level") >= lowest), shape), shape), lowest
+
+
+def probe_segments(keys: DataFrame, segments: DataFrame, shape: BloomShape) -> DataFrame:
+    """(key, level) of ``keys`` (key, no repeats): each segment meets the keys that belong to it in one task."""
+    one = shape._replace(segments=1)
+
+    def probe(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        key = asked["key"].to_numpy(np.int64)
+        if not len(part) or not len(key):
+            return pd.DataFrame({"key": key, "level": np.zeros(len(key), np.int64)})
+        return pd.DataFrame({"key": key, "level": LogBloom(one, np.frombuffer(part["bits"].iloc[0], np.uint8)).levels(key.view(np.uint64))})
+
+    asked = keys.withColumn("segment", _segment_of(F.col("key"), shape))
+    return asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInPandas(probe, "key long, level long")
+
+
+def joined_scores(pairs: DataFrame, segments: DataFrame, shape: BloomShape, rarity: float, denominator: float) -> DataFrame:
+    """(_uid, score) from ``pairs`` (_uid, pair, before, word), one row a token, without the filter in any one place.
+
+    A probability belongs to the pair and not to the place, so it is worked out once for each different
+    pair: pairs and words are brought down to distinct keys with map-side combine, probed segment by
+    segment, and joined back; the adaptive skew join splits a pair or word that is met often.
+    """
+    pairs = pairs.groupBy("_uid", "pair").agg(F.count(F.lit(1)).alias("m"), F.min("before").alias("before"), F.min("word").alias("word"))
+    distinct = materialize(pairs.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word")), "lm-pairs")
+    keys = distinct.select(F.col("pair").alias("key")).union(distinct.select("before").distinct()).union(distinct.select("word")).distinct()
+    levels = materialize(probe_segments(keys, segments, shape), "lm-levels")
+    level = F.col("level")
+    found = levels.select("key", F.when(level <= 1, level.cast("double")).otherwise(1.5 * F.pow(F.lit(2.0), level - 1)).alias("c"))
+    full = distinct
+    for name in ("pair", "before", "word"):
+        full = full.join(found.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name)
+    share = F.when(F.col("c_before") > 0, F.least("c_pair", "c_before") / F.col("c_before")).otherwise(0.0)
+    weight = F.when(F.col("c_before") > 0, F.col("c_before") / (F.col("c_before") + rarity)).otherwise(0.0)
+    p = full.select("pair", F.log10(weight * share + (1 - weight) * (F.col("c_word") + 1) / denominator).alias("p"))
+    return pairs.select("_uid", "pair", "m").join(p, "pair").groupBy("_uid").agg(F.sum(F.col("m") * F.col("p")).alias("score"))
 
 
 def _rarity(groups: list[tuple[float, int]], seen_again: int) -> float:
@@ -211,14 +269,18 @@ def score_texts(
     id_col: str = "doc_id",
     shape: BloomShape = BloomShape(),
     frequent: int = 1 << 17,
+    most_bytes: int = 1 << 27,
 ) -> DataFrame:
     """``docs`` without the text, with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Learns from all texts that are not held out. score is the log10 probability of the text under
     p(w | v) = a * c(v w) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1) with a = c(v) / (c(v) + k), where all
-    counts c come from the log-frequency Bloom filter, which is broadcast (its size is a parameter), by
-    repeated membership probes. Pairs seen once are not put in; their share of all pairs is the
-    (Good-Turing) chance of an unseen pair, and k is such that a is one minus that share on average.
+    counts c come from the log-frequency Bloom filter by repeated membership probes. All levels of
+    the counted n-grams are put in (pairs seen once are not): ``shape`` gives the size of a segment, and there are as many as the
+    counted (entry, level) pairs need. A filter of up to ``most_bytes`` is broadcast; the segments of a larger one
+    stay apart and the n-grams are dealt out to them (``joined_scores``), with the same scores. The share
+    of pairs seen once is the (Good-Turing) chance of an unseen pair, and k is such that a is one minus
+    that share on average.
 
     base_score and n_known need exact counts: the most frequent tokens, at most ``frequent`` of them, go
     along with the task; all other occurrences are joined to the whole table of counts and summed. No
@@ -230,7 +292,7 @@ def score_texts(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare").withColumn("held_out", is_held_out(F.col(id_col)))
+    base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare", "_pairs").withColumn("held_out", is_held_out(F.col(id_col)))
     counts = count_ngrams(base.where(~F.col("held_out")), text_col)
     odd = F.col("key").bitwiseAND(F.lit(1)) == 1
     counts = materialize(counts.where(odd | (F.col("n") > 1)), "ngrams")
@@ -251,12 +313,17 @@ def score_texts(
     known = unigrams.where(F.col("n") >= least).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
     top_keys, top_counts = known["key"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
 
-    bloom, _ = build_filter(counts, shape)
-    shared = spark.sparkContext.broadcast(bloom.bits)
+    leveled = counts.select("key", level_of(F.col("n")).alias("level"))
+    shape = shape.sized(sum(_pairs_by_level(leveled).values()))
+    segments, apart = filter_segments(leveled, shape), shape.n_bytes > most_bytes
+    if apart:
+        segments = materialize(segments, "lm-segments")
+    shared = None if apart else spark.sparkContext.broadcast(_gathered(segments, shape).bits)
     columns = [c for c in base.columns if c != text_col]
+    pairs_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("pair", "before", "word")]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, model = WordKeys(), LogBloom(shape, shared.value)
+        keys, model = WordKeys(), None if apart else LogBloom(shape, shared.value)
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 40
         for batch in batches:
@@ -264,7 +331,6 @@ def score_texts(
             begin = np.cumsum(sizes) - sizes
             words, inverse = np.unique(tokens, return_inverse=True)
             word_keys = unigram_keys(words)
-            word_count = count_of(model.levels(word_keys))
             at = np.minimum(np.searchsorted(top_keys, word_keys), max(0, len(top_keys) - 1))
             hit = top_keys[at] == word_keys if len(top_keys) else np.zeros(len(words), bool)
             exact = np.where(hit, top_counts[at] if len(top_keys) else 0, 0)
@@ -273,34 +339,47 @@ def score_texts(
             n_known = np.add.reduceat(is_top.astype(np.int64), begin)
             before = np.where(np.arange(len(tokens)) == np.repeat(begin, sizes), -1, np.concatenate(([0], inverse[:-1])))
             # The beginning stands before each text once, as often as the end does.
-            end_at = int(np.searchsorted(words, END))
-            before_count = np.where(before >= 0, word_count[before], word_count[end_at])
-            pair_count = np.minimum(count_of(model.levels(bigram_keys(contexts(tokens), tokens))), before_count)
-            pair = np.divide(pair_count, before_count, out=np.zeros(len(tokens)), where=before_count > 0)
-            weight = np.divide(before_count, before_count + rarity, out=np.zeros(len(tokens)), where=before_count > 0)
-            p = weight * pair + (1 - weight) * (word_count[inverse] + 1) / denominator
-            total = np.add.reduceat(np.log10(p), begin)
+            before = np.where(before >= 0, before, int(np.searchsorted(words, END)))
+            pairs = bigram_keys(contexts(tokens), tokens)
+            if apart:
+                total = np.zeros(len(sizes))
+                places = pa.array(np.concatenate((begin, [len(tokens)])).astype(np.int32))
+                members = [pa.array(k.view(np.int64)) for k in (pairs, word_keys[before], word_keys[inverse])]
+                open_pairs = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(members, names=["pair", "before", "word"]))
+            else:
+                word_count = count_of(model.levels(word_keys))
+                before_count = word_count[before]
+                pair_count = np.minimum(count_of(model.levels(pairs)), before_count)
+                pair = np.divide(pair_count, before_count, out=np.zeros(len(tokens)), where=before_count > 0)
+                weight = np.divide(before_count, before_count + rarity, out=np.zeros(len(tokens)), where=before_count > 0)
+                p = weight * pair + (1 - weight) * (word_count[inverse] + 1) / denominator
+                total = np.add.reduceat(np.log10(p), begin)
+                open_pairs = pa.nulls(len(sizes), pairs_type)
             rare = ~is_top
             offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(rare.astype(np.int64), begin)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word_keys[inverse[rare]].view(np.int64)))
             made = [
-                pa.array(uid + np.arange(len(sizes))), pa.array(sizes), pa.array(n_known), pa.array(base_sum), pa.array(total), lists,
+                pa.array(uid + np.arange(len(sizes))), pa.array(sizes), pa.array(n_known), pa.array(base_sum), pa.array(total), lists, open_pairs,
             ]
             uid += len(sizes)
             keep = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*keep, *made], names=[*columns, "_uid", "n_tokens", "_known", "_base", "score", "_rare"])
+            yield pa.RecordBatch.from_arrays([*keep, *made], names=[*columns, "_uid", "n_tokens", "_known", "_base", "score", "_rare", "_pairs"])
 
     schema = T.StructType(base.select(*columns).schema.fields)
     for name, kind in (("_uid", T.LongType()), ("n_tokens", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("score", T.DoubleType())):
         schema = schema.add(name, kind)
     schema = schema.add("_rare", T.ArrayType(T.LongType()))
+    schema = schema.add("_pairs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("pair", "before", "word")])))
     scored = materialize(base.mapInArrow(score, schema), "lm-scores")
     rare = scored.select("_uid", F.explode("_rare").alias("key"))
     found = rare.join(unigrams.where(F.col("n") < least), "key").groupBy("_uid").agg(
         F.sum(F.log10(F.col("n") + 1.0)).alias("_more"), F.count(F.lit(1)).alias("_found")
     )
+    if apart:
+        asked = scored.select("_uid", F.inline("_pairs"))
+        scored = scored.drop("score").join(joined_scores(asked, segments, shape, rarity, denominator), "_uid")
     return (
-        scored.drop("_rare")
+        scored.drop("_rare", "_pairs")
         .join(found, "_uid", "left")
         .withColumn("n_known", F.col("_known") + F.coalesce("_found", F.lit(0)))
         .withColumn("train_tokens", F.lit(n_train).cast("long"))
