@@ -275,8 +275,8 @@ def score_texts(
 
     Learns from all texts that are not held out. score is the log10 probability of the text under
     p(w | v) = a * c(v w) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1) with a = c(v) / (c(v) + k), where all
-    counts c come from the log-frequency Bloom filter by repeated membership probes. All levels of
-    the counted n-grams are put in (pairs seen once are not): ``shape`` gives the size of a segment, and there are as many as the
+    counts c come from the log-frequency Bloom filter by repeated membership probes. Every token and pair
+    is put in, those seen once too: ``shape`` gives the size of a segment, and there are as many as the
     counted (entry, level) pairs need. A filter of up to ``most_bytes`` is broadcast; the segments of a larger one
     stay apart and the n-grams are dealt out to them (``joined_scores``), with the same scores. The share
     of pairs seen once is the (Good-Turing) chance of an unseen pair, and k is such that a is one minus
@@ -295,7 +295,7 @@ def score_texts(
     base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare", "_pairs").withColumn("held_out", is_held_out(F.col(id_col)))
     counts = count_ngrams(base.where(~F.col("held_out")), text_col)
     odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    counts = materialize(counts.where(odd | (F.col("n") > 1)), "ngrams")
+    counts = materialize(counts, "ngrams")
     unigrams = counts.where(odd)
     total = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = total["n"] or 0, total["v"]
@@ -308,7 +308,7 @@ def score_texts(
         if r["m"] > left:
             break
         least, left = r["least"], left - r["m"]
-    seen_again = counts.where(~odd).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    seen_again = counts.where(~odd & (F.col("n") > 1)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rarity = _rarity([(r["n"] / r["m"], r["n"]) for r in sizes], seen_again)
     known = unigrams.where(F.col("n") >= least).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
     top_keys, top_counts = known["key"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)

@@ -3,8 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from docquarry.llm.lm import BloomShape, score_texts
+from docquarry.llm.lm import BloomShape, is_held_out, score_texts
 
 SMALL = BloomShape(segments=1, segment_bits=12)
 
@@ -20,6 +21,10 @@ def scores(spark, rows, **options):
     return {r["doc_id"]: r["score"] for r in score_texts(frame, **options).collect()}
 
 
+def held_out(spark, ids):
+    return {r["id"] for r in spark.createDataFrame([(i,) for i in ids], "id long").where(is_held_out(F.col("id"))).collect()}
+
+
 def test_filter_grows_with_the_counts(spark):
     """More (entry, level) pairs than the given shape holds: scores are those of a wide filter."""
     rows = texts()
@@ -35,3 +40,14 @@ def test_segments_apart_give_the_same_scores(spark):
     for i in together:
         assert apart[i] == pytest.approx(together[i], abs=1e-6)
     assert scores(spark, [], most_bytes=0) == {}
+
+
+def test_pair_seen_once_counts(spark):
+    ids = range(60)
+    held = held_out(spark, ids)
+    a, b = sorted(held)[:2]
+    rows = [(i, f"left{i} right{i} " + "end of text " * 3) for i in ids if i not in held]
+    x, y = rows[0][0], rows[1][0]
+    rows += [(a, f"left{x} right{x}"), (b, f"left{x} right{y}")]
+    found = scores(spark, rows)
+    assert found[a] > found[b] + 0.1
