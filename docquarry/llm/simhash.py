@@ -221,10 +221,15 @@ def keep_one_of_each(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     Only ids, fingerprints and a hash of each row take part until the rows to keep are known; the texts
     are dealt out once, by that hash.
     """
-    columns = docs.columns
-    row_key = F.xxhash64(*[F.col(c) for c in columns])
+    row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key.alias("_row"))
     found = simhash_near_duplicates(narrow, text_col="_text", id_col="_id", group_col="_group", **options)
+    return keep_first(docs, found, row_key, id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, row_key: Column, id_col: str) -> DataFrame:
+    """One row of ``docs`` of each ``_group`` of ``found`` (_id, _row, _group), ``_row`` being the row's hash ``row_key``."""
+    columns = docs.columns
     first = F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     keepers = found.groupBy("_group").agg(first.alias("k")).select(F.col("k.row").alias("_row")).distinct()
     kept = docs.withColumn("_row", row_key).join(keepers, "_row")
