@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +19,23 @@ LOWER_ASCII = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """This application's folder in the one that all executors share: spark.checkpoint.dir, else the warehouse.
+
+    It is deleted when the driver's JVM ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(spark, "_shared_scratch"):
-        spark._shared_scratch = tempfile.mkdtemp(prefix="spark-scratch-")
-    return spark._shared_scratch
+    folder = f"{(found or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/docquarry-{spark.sparkContext.applicationId}"
+    fs, path = _file_system(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read and not a re-computation, and lets
@@ -38,16 +43,28 @@ def materialize(df: DataFrame, name: str, *, partition_by: str | None = None) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
 
 
-def bound_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Arrow batches of at most ``records`` rows: texts of 100 KB then take 100 MB, not 1 GB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > records or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, records)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no frame reads any more."""
+    for table in tables:
+        fs, path = _file_system(table.sparkSession, table.written_at)
+        fs.delete(path, True)
+
+
+def bounded_batches(batches: Iterator[pa.RecordBatch], records: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``records`` rows.
+
+    What comes in is bounded by Spark itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); parts
+    bound what is worked out of it, without a change of the caller's session.
+    """
+    for batch in batches:
+        for begin in range(0, batch.num_rows, records):
+            yield batch.slice(begin, records)
 
 
 def n_words(text: Column) -> Column:

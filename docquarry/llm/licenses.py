@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import bound_batches, with_columns_free
+from docquarry.llm.common import bounded_batches, with_columns_free
 
 #: Fixed values of the query: its base phrases and their labels.
 PHRASES = (
@@ -85,7 +85,7 @@ def word_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in bounded_batches(batches):
             for text in batch.column(0).to_pylist():
                 total.update(filter(vocabulary.__contains__, words_of(text)))
         names = sorted(total)
@@ -193,7 +193,6 @@ def scan_licenses(
     Repeated rows stand one by one; no rows: no rows. Clashing columns are replaced.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     chosen = make_templates(phrases, templates)
     vocabulary = frozenset(w for t in chosen for w in t.words)
     frequency = {r["word"].encode(): r["n"] for r in word_frequencies(docs, text_col, vocabulary).collect()}
@@ -210,7 +209,7 @@ def scan_licenses(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = scan.templates
         block = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())])
-        for batch in batches:
+        for batch in bounded_batches(batches):
             out: list[list] = [[] for _ in ADDED]
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                 words = words_of(text)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import LOWER_ASCII, bound_batches, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with_columns_free
 
 MIN_WORDS = 50
 ADDED = ("n_lines", "n_removed", "removed_words", "removed")
@@ -65,10 +65,9 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     Nothing is paired: fingerprints and contents are aggregated with map-side combine, so a line that
     stands everywhere costs its own places and no more.
     """
-    bound_batches(docs.sparkSession)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
             parts = []
             for key, row, text in zip(ids, rows, texts, strict=True):
@@ -125,7 +124,7 @@ def dedup_lines(
     joined = joined.drop("_doc", "_r", "_row")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             at = batch.schema.get_field_index
             texts = batch.column(at(text_col))
             starts, ends = batch.column(at("_starts")).to_pylist(), batch.column(at("_ends")).to_pylist()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import LOWER_ASCII, bound_batches, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with_columns_free
 
 ADDED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Keys of the end of a text and of the context before its first word: no word hashes to an even number.
@@ -139,7 +139,6 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
     Tasks sum over some millions of tokens before they hand on, so a frequent word costs a row each time
     and not one an occurrence.
     """
-    bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, n = WordKeys(), [], 0
@@ -150,7 +149,7 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
             key, times = np.unique(found, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "n"])
 
-        for batch in batches:
+        for batch in bounded_batches(batches):
             held.append(token_keys(batch.column(0).to_pylist(), keys)[0])
             n += len(held[-1])
             if n >= _GATHER:
@@ -291,7 +290,6 @@ def score_texts(
     No rows: no rows. Clashing columns are replaced. Words meet by 64-bit hash.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare", "_pairs").withColumn("held_out", is_held_out(F.col(id_col)))
     counts = count_ngrams(base.where(~F.col("held_out")), text_col)
     odd = F.col("key").bitwiseAND(F.lit(1)) == 1
@@ -326,7 +324,7 @@ def score_texts(
         keys, model = WordKeys(), None if apart else LogBloom(shape, shared.value)
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 40
-        for batch in batches:
+        for batch in bounded_batches(batches):
             tokens, sizes = token_keys(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), keys)
             begin = np.cumsum(sizes) - sizes
             words, inverse = np.unique(tokens, return_inverse=True)

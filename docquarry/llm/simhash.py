@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import LOWER_ASCII, bound_batches, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with_columns_free
 from docquarry.llm.components import components
 
 ADDED = ("fingerprint", "component_id")
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4) -> Dat
     schema = docs.select(*columns).schema.add("_fp", "long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             found = np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64)
             keep = [batch.column(batch.schema.get_field_index(c)) for c in columns]
@@ -200,7 +200,6 @@ def simhash_near_duplicates(
     candidates for component_id (null only if a group has no id). Repeated rows share a fingerprint. No
     rows: no rows. Texts of any length are hashed whole. Clashing columns are replaced.
     """
-    bound_batches(docs.sparkSession)
     marked = materialize(fingerprints(with_columns_free(docs, *ADDED, "_fp"), text_col, width), "fingerprints")
     classes = marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("first_id"))
     roots = components(fingerprint_links(classes.select("fp"), most))

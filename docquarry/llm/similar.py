@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, materialize
+from docquarry.llm.common import bounded_batches, materialize
 from docquarry.llm.components import components
 from docquarry.llm.simhash import keep_first, shingles_hashes
 
@@ -31,7 +31,7 @@ def _heavy_shingles(narrow: DataFrame, width: int) -> np.ndarray:
     """Shingles that are frequent in a sample, sorted: they go last in the order, which any order may do."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles_hashes(text, width)).view(np.int64))], names=["h"])
 
@@ -45,7 +45,7 @@ def shingle_sets(narrow: DataFrame, width: int) -> DataFrame:
     heavy = _heavy_shingles(narrow, width)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             sets = [np.sort(np.unique(shingles_hashes(t, width)).view(np.int64)) for t in batch.column("_text").to_pylist()]
             prefixes = []
             for s in sets:
@@ -119,7 +119,6 @@ def keep_one_similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     empty texts have the empty set and are one group. No pair is missed: prefix filtering is exact
     but for equal 64-bit hashes.
     """
-    bound_batches(docs.sparkSession)
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key.alias("_row"))
     sets = materialize(shingle_sets(narrow, width), "shingle-sets")

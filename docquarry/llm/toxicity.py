@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import bound_batches, materialize, with_columns_free
+from docquarry.llm.common import bounded_batches, materialize, with_columns_free
 from docquarry.llm.licenses import words_of
 
 ADDED = ("held_out", "score", "predicted")
@@ -148,7 +148,6 @@ def train_toxicity(
     held between 0.0001 and 0.5.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     known = (
         labels.where(~is_held_out(F.col(id_col)) & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -165,7 +164,7 @@ def train_toxicity(
     sample = positive.union(unlabelled).groupBy("_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             found = [features_of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["p", "u", "f"])
 
@@ -182,7 +181,7 @@ def train_toxicity(
     place = {w: i for i, w in enumerate(words)}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             found = [sorted(place[w] for w in ws if w in place) for ws in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["p", "u", "i"])
 
@@ -202,13 +201,12 @@ def score_toxicity(
     rows. Clashing columns are replaced. The model has at most as many words as its vocabulary bound;
     there is no shuffle.
     """
-    bound_batches(docs.sparkSession)
     base = with_columns_free(docs, *ADDED).withColumn("held_out", is_held_out(F.col(id_col)))
     columns = base.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = Features(model.place), model.weights
-        for batch in batches:
+        for batch in bounded_batches(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             logits = np.clip([model.bias + float(weights[features.of(t)].sum()) for t in texts], -40, 40)
             score = 1 / (1 + np.exp(-logits))

@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docquarry.llm.pieces import _SPELT, MODEL, Lattices, decode_pieces, encode_batch, encode_pieces, sample_long, vocabulary
+import docquarry.llm.pieces as module
+from docquarry.llm.pieces import _SPELT, MODEL, Encoder, Lattices, decode_pieces, encode_pieces, vocabulary
 
 TEXTS = [
     "Hello  world\n x▁y ", "", None, " ", "   ", "\n", "\n\n a\n", "tab\there", "é ü 😀 漢字 \u0007 ▁▁", "a" * 500, "x" * 41 + " y", "word " * 4000,
@@ -40,6 +41,15 @@ def test_round_trip_and_reruns(spark):
     assert encode_pieces(docs.limit(0)).count() == 0
 
 
+def encode_batch(texts, seeds, vocab):
+    return Encoder(vocab).encode(texts, seeds)
+
+
+def lattice(unit, vocab):
+    chars = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+    return Lattices(chars, np.array([len(chars)]), vocab)
+
+
 def test_pieces_are_the_models_own():
     import sentencepiece
 
@@ -50,26 +60,67 @@ def test_pieces_are_the_models_own():
 
 
 @pytest.mark.parametrize("unit", [" the", "nation", " é😀", " ▁a"])
-def test_samples_follow_the_lattice(unit):
+def test_samples_follow_the_lattice(unit, monkeypatch):
     vocab = vocabulary(MODEL, 1.0)
     want = segmentations(unit, vocab)
     total = math.log(sum(math.exp(s) for s in want.values()))
     n = 20000
-    lattices = Lattices(["other", unit], vocab)
-    arcs, steps = lattices.sample(np.ones(n, np.int64), np.arange(n).astype(np.uint64), np.zeros(n, np.int64))
-    assert len(arcs) == steps.sum()
-    seen = Counter()
-    texts = [unit[1:]] * n if unit[0] == " " else None
-    if texts:
-        flat, sizes = encode_batch(texts, np.arange(n).astype(np.uint64), vocab)
-        cuts = np.cumsum(sizes)[:-1]
-        seen = Counter(tuple(x.tolist()) for x in np.split(flat, cuts))
+    if unit[0] == " ":
+        flat, sizes = encode_batch([unit[1:]] * n, np.arange(n).astype(np.uint64), vocab)
+        seen = Counter(tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1]))
         assert set(seen) <= set(want)
         for ids, s in want.items():
             p = math.exp(s - total)
             assert abs(seen[ids] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3
-    long = Counter(tuple(sample_long(unit, vocab, k, 0)) for k in range(4000))
-    assert set(long) <= set(want)
+    together = lattice(unit, vocab)
+    monkeypatch.setattr(module, "_LONG", 1)  # the pass of long units
+    alone = lattice(unit, vocab)
+    assert np.abs(together.bound.astype(float) - alone.bound).max() < 2**12
+    for k in range(200):
+        arcs, _ = alone.sample(np.zeros(1, np.int64), np.array([k], np.uint64), np.zeros(1, np.int64))
+        assert alone.sample_one(k, 0).tolist() == arcs.tolist()
+
+
+@pytest.mark.parametrize("long", [1, 3, 60])
+def test_units_cut_where_no_piece_crosses_follow_the_lattice(long, monkeypatch):
+    monkeypatch.setattr(module, "_LONG", long)
+    vocab = vocabulary(MODEL, 1.0)
+    unit, n = " a😀nation", 8000
+    want = segmentations(unit, vocab)
+    total = math.log(sum(math.exp(s) for s in want.values()))
+    flat, sizes = encode_batch([unit[1:]] * n, np.arange(n).astype(np.uint64), vocab)
+    seen = Counter(tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1]))
+    assert set(seen) <= set(want)
     for ids, s in want.items():
         p = math.exp(s - total)
-        assert abs(long[ids] / 4000 - p) < 4 * math.sqrt(p * (1 - p) / 4000) + 1e-3
+        assert abs(seen[ids] / n - p) < 4.5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_long_units_and_characters_without_a_piece():
+    vocab = vocabulary(MODEL, 1.0)
+    texts = ["😀" * 60, "😀" * 5000, "漢字かな交じり文" * 5000, "ab" * 30, "abcdefghij" * 20000, "x" * 59 + "😀" * 30]
+    flat, sizes = encode_batch(texts, np.arange(len(texts)).astype(np.uint64), vocab)
+    raw = vocab.raw.to_pylist()
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        assert b"".join(raw[i] for i in ids)[1:].decode() == text
+
+
+def test_kept_lattices_change_nothing(monkeypatch):
+    vocab = vocabulary(MODEL, 1.0)
+    texts = [t for t in TEXTS if t] + [f"word{i} of many words" for i in range(50)]
+    seeds = np.arange(len(texts)).astype(np.uint64)
+    want, sizes = encode_batch(texts, seeds, vocab)
+    monkeypatch.setattr(module, "_KEPT", 30)
+    encoder, got = Encoder(vocab), []
+    for i in range(len(texts)):
+        got.append(encoder.encode(texts[i : i + 1], seeds[i : i + 1])[0])
+    assert np.concatenate(got).tolist() == want.tolist() and [len(x) for x in got] == sizes.tolist()
+
+
+def test_decoding_of_odd_lists(spark):
+    vocab = vocabulary(MODEL, 1.0)
+    lone = [vocab.byte_id[0x20], vocab.byte_id[0xFF], vocab.byte_id[0x41]]
+    frame = spark.createDataFrame([(lone,), ([],), (None,)], "pieces array<int>")
+    assert [r["decoded"] for r in decode_pieces(frame).collect()] == ["\ufffdA", "", None]
+    with pytest.raises(Exception, match="(?i)out of bounds|index"):
+        decode_pieces(spark.createDataFrame([([10**6],)], "pieces array<int>")).collect()
