@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import with_columns_free
+from docquarry.llm.common import bounded_batches, with_columns_free
 
 ADDED = ("host", "path", "rule", "verdict", "globs")
 
 
+#: Stands behind the host in the text that the automaton reads: host rules end their host with it, so no
+#: path or query can pass for a host; other globs do not see it.
+HOST_END = "\x00"
+
+
 class HostRule(NamedTuple):
     """Allows or blocks a host and its subdomains where the path starts with ``path``."""
 
@@ -29,7 +34,7 @@ class HostRule(NamedTuple):
 
     @property
     def glob(self) -> str:
-        return "*." + _quoted(self.host) + _quoted(self.path) + "**"
+        return "*." + _quoted(self.host) + HOST_END + _quoted(self.path) + "**"
 
 
 #: Fixed values of the query: its host rules.
@@ -40,8 +45,8 @@ RULES = (
     HostRule("allow", "com", "/fr/"),
     HostRule("block", "com", "/de/"),
 )
-#: Globs that block where no host rule fits: sign-in and admin pages, sessions in the query, archives.
-BLOCK_GLOBS = ("**/wp-admin/**", "**/cgi-bin/**", r"**\?**phpsessid=**", "**.exe", "**.zip")
+#: Globs that block where no host rule fits: admin pages, sessions in the query, archives, spam hosts.
+BLOCK_GLOBS = ("**/wp-admin/**", "**/cgi-bin/**", r"**\?**phpsessid=**", "**.exe", "**.zip", *(f"*{x}*{HOST_END}**" for x in ("casino", "cheap-pills", "free-bets")))
 
 
 def _quoted(text: str) -> str:
@@ -51,10 +56,11 @@ def _quoted(text: str) -> str:
 class ShiftAnd:
     """Globs packed into the words of one bit vector.
 
-    ``*`` is any run of bytes but ``/``, ``**`` any run, ``?`` one byte, a backslash quotes. A glob with
+    ``*`` is any run of bytes but ``/`` and HOST_END, ``**`` any run, ``?`` one byte, a backslash quotes. A glob with
     m single-byte items takes m + 1 bits: bit 0 is its start, bit k means that k items are matched; a
     wildcard sets a loop on the bit it stands at. One step over byte c is
-    D = ((D << 1) & step[c]) | (D & loop[c]), with the carry of the shift passed between the words.
+    D = ((D << 1) & step[c]) | (D & loop[c]), with the carry of the shift passed between the words. The
+    byte HOST_END leaves all states as they are for globs that do not hold it.
     """
 
     def __init__(self, globs: Sequence[str]):
@@ -72,10 +78,14 @@ class ShiftAnd:
                 for c in range(256) if byte is None else (byte,):
                     self._set(self.step[c], at + k)
             for k, slash in loops.items():
-                for c in range(256):
+                for c in range(1, 256):
                     if slash or c != 0x2F:
                         self._set(self.loop[c], at + k)
             end = at + len(single)
+            if 0 not in single:
+                for k in range(at, end + 1):
+                    self._set(self.loop[0], k)
+                    self.step[0][k // 64] &= ~np.uint64(1 << (k % 64))
             self.final.append((end // 64, np.uint64(1 << (end % 64))))
             at = end + 1
 
@@ -144,6 +154,10 @@ def url_query(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
 
 
+def _no_nul(text: Column) -> Column:
+    return F.translate(text, "\x00", "\x01")
+
+
 def filter_urls(
     pages: DataFrame,
     *,
@@ -153,10 +167,12 @@ def filter_urls(
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict and ``globs`` (the blocking globs that match).
 
-    Each canonical URL ('.' + host + path + query in lower-case host, no scheme, no fragment) runs once
+    Each canonical URL (host in lower case, path, query; no scheme, no fragment) runs once
     through one automaton that holds all host rules, as globs, and all blocking globs. The longest
     matching host rule gives the verdict (ties: block before allow, then the smaller name); without one,
-    a matching blocking glob blocks and anything else is allowed.
+    a matching blocking glob blocks and anything else is allowed. A host rule sees the host and the path
+    only: a mark between host and path, which no wildcard of it crosses, keeps its host apart. Blocking
+    globs match '.' + host + path + query as a whole; one that holds HOST_END tells host from path. NUL in a URL counts as U+0001.
 
     The automaton is small (bytes x words of the rules) and goes with the task; there is no shuffle.
     Null URL or one without ``://``: empty host and path, no rule, allowed. Any length of URL works in
@@ -172,11 +188,11 @@ def filter_urls(
     kept = with_columns_free(pages, *ADDED, "_canonical")
     columns = kept.columns
     ready = kept.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).withColumn(
-        "_canonical", F.concat(F.lit("."), "host", "path", url_query(F.col(url_col)))
+        "_canonical", F.concat(F.lit("."), _no_nul(F.col("host")), F.lit(HOST_END), _no_nul(F.concat("path", url_query(F.col(url_col)))))
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches):
             texts = [x.encode() for x in batch.column(batch.schema.get_field_index("_canonical")).to_pylist()]
             hit = automaton.match(texts)
             best = np.full(len(texts), -1)
@@ -217,8 +233,8 @@ b AS (
     WHERE ('.' || u.host) LIKE ('%.' || rhost) AND starts_with(u.path, rpath)) AS best
   FROM u)
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.verdict, CASE WHEN host || path || query LIKE '%/wp-admin/%' OR host || path || query LIKE '%/cgi-bin/%'
-         OR (query LIKE '?%phpsessid=%') OR host || path || query LIKE '%.exe' OR host || path || query LIKE '%.zip'
+       coalesce(best.verdict, CASE WHEN whole LIKE '%/wp-admin/%' OR whole LIKE '%/cgi-bin/%' OR query LIKE '?%phpsessid=%'
+         OR whole LIKE '%.exe' OR whole LIKE '%.zip' OR host LIKE '%casino%' OR host LIKE '%cheap-pills%' OR host LIKE '%free-bets%'
          THEN 'block' ELSE 'allow' END) AS verdict
-FROM b
+FROM (SELECT *, host || path || query AS whole FROM b)
 """

@@ -5,7 +5,7 @@ import pytest
 
 from docquarry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from docquarry.llm.quality import apply_quality_rules
-from docquarry.llm.urls import RULES, ShiftAnd, filter_urls
+from docquarry.llm.urls import BLOCK_GLOBS, HOST_END, RULES, HostRule, ShiftAnd, filter_urls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -16,7 +16,7 @@ def glob_regex(glob):
         c = glob[i]
         if c == "*":
             run = re.match(r"\*+", glob[i:])[0]
-            out += ".*" if len(run) > 1 else "[^/]*"
+            out += ".*" if len(run) > 1 else "[^/\\x00]*"
             i += len(run)
             continue
         if c == "\\":
@@ -40,24 +40,25 @@ def test_shift_and_equals_regex():
         assert got[i].tolist() == [bool(glob_regex(g).fullmatch(t)) for g in globs], t
 
 
-def judge(url):
+def judge(url, rules=RULES, globs=BLOCK_GLOBS):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url or "")
     host = "".join(c.lower() if c < "\x80" else c for c in m[1]) if m else ""
     path, query = (m[2], m[3] or "") if m else ("", "")
-    fit = [r for r in RULES if ("." + host).endswith("." + r.host) and path.startswith(r.path)]
+    fit = [r for r in rules if ("." + host).endswith("." + r.host) and path.startswith(r.path)]
     if fit:
         best = max(fit, key=lambda r: len(r.name))
         return host, path, best.name, best.verdict
-    whole = host + path + query
-    bad = any(x in whole for x in ("/wp-admin/", "/cgi-bin/")) or whole.endswith((".exe", ".zip")) or "phpsessid=" in query
-    return host, path, None, "block" if bad else "allow"
+    no_nul = lambda x: x.replace("\x00", "\x01")
+    whole, marked = no_nul("." + host + path + query), "." + no_nul(host) + HOST_END + no_nul(path + query)
+    return host, path, None, "block" if any(glob_regex(g).fullmatch(marked if HOST_END in g else whole) for g in globs) else "allow"
 
 
 URLS = [
     None, "", "no scheme", "http://", "http://org", "http://org/", "http://ORG/x", "https://a.example.org/es/1", "https://example.org/en/12?x=/es/",
     "https://badexample.org/es/1", "https://x.com/fr/1#a", "https://x.com/de/1", "https://com/de/", "https://x.net/.org/a", "https://x.net/com/de/",
     "ftp://x.net/a.exe", "http://x.net/?phpsessid=1", "http://x.net/a/wp-admin/b", "http://x.net?q=://y.org/es/", "http://ÀB.org/é", "x://y://z.org/es/", "http://x.net/" + "a/" * 20000 + "b.zip",
-    "http://x.net/a\nb.zip", "http://x.com/de/", "http://x.com/de/",
+    "http://x.net/a\nb.zip", "http://x.com/de/", "http://x.com/de/", "http://foo.net?x=a.org/", "http://foo.net?u=x.com/de/", "http://x.org?u=a.com/de/",
+    "http://foo.net#a.org/", "http://a\x00.org/b\x00.com/de/", "http://my-casino.net", "http://x.net/casino", "http://x.net?casino/a", "http://free-bets.x.com?q=1",
 ]
 
 
@@ -69,6 +70,18 @@ def test_urls_equal_plain_rules(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_thousands_of_globs_and_rules(spark):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choices("abc", k=3))
+    rules = [HostRule(rng.choice(["allow", "block"]), f"{name()}.{name()}", f"/{name()[:k]}") for k in (0, 1, 2) for _ in range(200)]
+    rules = list({r.name: r for r in rules}.values())
+    globs = [f"**/{name()}{name()}**" for _ in range(1500)] + [f"*{name()}?.*{HOST_END}**" for _ in range(500)]
+    urls = [f"http://{name()}.{name()}.{name()}{rng.choice(['', '/', '/' + name() + name() + name(), '?/' + name() + name()])}" for _ in range(300)]
+    got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, block_globs=globs).collect()
+    assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {(i, *judge(u, rules, globs)) for i, u in enumerate(urls)}
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+
+
 def counters(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
