@@ -56,15 +56,16 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(path, True)
 
 
-def bounded_batches(batches: Iterator[pa.RecordBatch], records: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``records`` rows.
+def bounded_batches(batches: Iterator[pa.RecordBatch], records: int = 1000, n_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``records`` rows and about ``n_bytes`` (a row that is longer stands by itself).
 
     What comes in is bounded by Spark itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); parts
     bound what is worked out of it, without a change of the caller's session.
     """
     for batch in batches:
-        for begin in range(0, batch.num_rows, records):
-            yield batch.slice(begin, records)
+        size = max(1, min(records, batch.num_rows * n_bytes // max(1, batch.nbytes)))
+        for begin in range(0, batch.num_rows, size):
+            yield batch.slice(begin, size)
 
 
 def n_words(text: Column) -> Column:

@@ -71,73 +71,77 @@ def contexts(tokens: np.ndarray) -> np.ndarray:
     return before
 
 
-def level_of(count: Column) -> Column:
-    """Quantised count: 1 + floor(log2 n), exact for any long."""
-    return F.length(F.bin(count))
+#: Probes of an entry at each of its levels. At 10 bits a (entry, level) pair, 1 % of probes of others hit.
+PROBES, BITS = 4, 10
+#: Text behind one part of the filter; a part is built in one task and has a size of its own.
+PART_BYTES = 1 << 20
+_LEVELS = 65
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The count a level stands for: 0, 1, then the middle of its octave."""
-    return np.where(level <= 1, level, 1.5 * np.exp2(level - 1.0))
+def level_of(count: np.ndarray) -> np.ndarray:
+    """Quantised count: 1 + floor(log2 n), exact below 2^53; 0 for 0."""
+    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
 
-class BloomShape(NamedTuple):
-    """A filter of ``segments`` parts of 2^``segment_bits`` bits, ``probes`` bits an entry and level.
+def _place(key: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Bit of a probe within a part of ``size`` bits."""
+    add = (level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) & ((1 << 64) - 1)
+    return mixed(key + _U(add)) % (size if isinstance(size, np.ndarray) else _U(size))
 
-    It takes ``capacity`` (entry, level) pairs at 10 bits each, a false positive rate near 1 %.
-    """
-
-    segments: int = 256
-    segment_bits: int = 20
-    probes: int = 4
-
-    @property
-    def capacity(self) -> int:
-        return (self.segments << self.segment_bits) // 10
-
-    def sized(self, pairs: int) -> BloomShape:
-        """This shape with as many segments as ``pairs`` (entry, level) pairs need."""
-        return self._replace(segments=max(1, -(-10 * pairs >> self.segment_bits)))
-
-    @property
-    def n_bytes(self) -> int:
-        return self.segments << (self.segment_bits - 3)
-
-    def place(self, key: np.ndarray, level: int, probe: int) -> np.ndarray:
-        """Bit within the key's segment."""
-        add = (level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) & ((1 << 64) - 1)
-        return mixed(key + _U(add)) & _U((1 << self.segment_bits) - 1)
 
-    def segment(self, key: np.ndarray) -> np.ndarray:
-        return (key >> _U(40)) % _U(self.segments)
+def part_bits(key: np.ndarray, level: np.ndarray, n_bits: int) -> bytes:
+    """The part of the filter that holds these n-grams: an entry of level q is a member under 1, 2, ... q."""
+    size = max(64, -(-n_bits * int(level.sum()) // 64) * 64)
+    bits = np.zeros(size, bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        some = key[level >= q]
+        for probe in range(PROBES):
+            bits[_place(some, q, probe, size)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 class LogBloom:
-    """Levels of n-gram keys: an entry of level q is a member under 1, 2, ... q; probing stops at the first miss."""
-
-    def __init__(self, shape: BloomShape, bits: np.ndarray):
-        self.shape, self.bits = shape, bits
+    """Levels of n-gram keys by repeated membership probes, which stop at the first miss. Parts of no bits hold nothing."""
+
+    def __init__(self, parts: int, found: dict[int, bytes]):
+        size = np.full(parts, 8, np.int64)
+        for i, raw in found.items():
+            size[i] = 8 * len(raw)
+        begin = np.cumsum(size) - size
+        self.bits = np.zeros(int(size.sum()) // 8, np.uint8)
+        for i, raw in found.items():
+            self.bits[begin[i] // 8 : begin[i] // 8 + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.parts, self.size, self.begin = parts, size.astype(np.uint64), begin.astype(np.uint64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        shape, bits = self.shape, self.bits
         found = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
-        base = shape.segment(keys) << _U(shape.segment_bits)
+        part = ((keys >> _U(40)) % _U(self.parts)).astype(np.int64)
+        begin, size = self.begin[part], self.size[part]
         level = 1
-        while len(live) and level <= 64:
-            for probe in range(shape.probes):
-                at = base[live] | shape.place(keys[live], level, probe)
-                live = live[(bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
+        while len(live) and level < _LEVELS:
+            for probe in range(PROBES):
+                at = begin[live] + _place(keys[live], level, probe, size[live])
+                live = live[(self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
             found[live] = level
             level += 1
         return found
 
 
-def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
-    """Exact counts of all tokens (odd keys) and token pairs (even keys) of the texts: key, n.
+def _part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(parts)).cast("int")
+
+
+_PARTS = "part int, bits binary, words array<bigint>, counts array<bigint>, stats array<bigint>"
+
+
+def ngram_parts(docs: DataFrame, text_col: str, parts: int, n_bits: int = BITS) -> DataFrame:
+    """Exact counts of all tokens (odd keys) and token pairs (even keys) of the texts, one row for each part of the keys.
 
-    Tasks sum over some millions of tokens before they hand on, so a frequent word costs a row each time
-    and not one an occurrence.
+    A row has the part's filter, its tokens with their counts, and for each level how many tokens and pairs
+    it has and what their counts add up to (``stats``: four runs of 65). Tasks sum over some millions of
+    tokens before they hand on, so a frequent word costs a row each time and not one an occurrence; counts
+    are dealt out once, and pairs leave the task that adds them up only as bits and sums.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,8 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
             tokens = np.concatenate(held)
             found = np.concatenate((unigram_keys(tokens), bigram_keys(contexts(tokens), tokens)))
             key, times = np.unique(found, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "n"])
+            part = ((key >> _U(40)) % _U(parts)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], names=["part", "key", "n"])
 
         for batch in bounded_batches(batches):
             held.append(token_keys(batch.column(0).to_pylist(), keys)[0])
@@ -158,83 +163,63 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
         if n:
             yield gathered()
 
-    return docs.select(text_col).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def add_up(group: pd.DataFrame) -> pd.DataFrame:
+        key, place = np.unique(group["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        n = np.bincount(place, group["n"].to_numpy(np.float64)).astype(np.int64)
+        level, word = level_of(n), key & _U(1) == 1
+        stats = [np.bincount(level[some], weight, _LEVELS) for some in (word, ~word) for weight in (None, n[some])]
+        row = {"part": int(group["part"].iloc[0]), "bits": part_bits(key, level, n_bits), "words": key[word].view(np.int64), "counts": n[word]}
+        return pd.DataFrame([row | {"stats": np.concatenate(stats).astype(np.int64)}])
 
+    return docs.select(text_col).mapInArrow(count, "part int, key long, n long").groupBy("part").applyInPandas(add_up, _PARTS)
 
-def filter_segments(leveled: DataFrame, shape: BloomShape) -> DataFrame:
-    """Segments (segment, bits) of the filter over ``leveled`` (key, level), each built in one task."""
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << shape.segment_bits, bool)
-        key, level = group["key"].to_numpy(np.int64).view(np.uint64), group["level"].to_numpy(np.int64)
-        for q in range(1, int(level.max()) + 1):
-            part = key[level >= q]
-            for probe in range(shape.probes):
-                bits[shape.place(part, q, probe)] = True
-        return pd.DataFrame({"segment": group["segment"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+class Counted(NamedTuple):
+    """Sums over all n-grams: tokens, different tokens, pair occurrences beyond those seen once, mean count by level."""
 
-    return leveled.withColumn("segment", _segment_of(F.col("key"), shape)).groupBy("segment").applyInPandas(build, "segment int, bits binary")
+    tokens: int
+    distinct: int
+    seen_again: int
+    word_means: np.ndarray
+    pair_means: np.ndarray
 
 
-def _segment_of(key: Column, shape: BloomShape) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(shape.segments)).cast("int")
+def counted(parts: DataFrame) -> Counted:
+    """At most 260 numbers come to the driver. A level stands for the mean count of its tokens or pairs."""
+    stats = np.zeros(4 * _LEVELS)
+    for r in parts.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        stats[r["i"]] = r["x"]
+    word_n, word_sum, pair_n, pair_sum = stats.reshape(4, _LEVELS)
+    guess = np.concatenate(([0.0], 1.5 * np.exp2(np.arange(_LEVELS - 1))))  # for levels that only false positives reach
+    means = [np.divide(total, n, out=guess.copy(), where=n > 0) for n, total in ((word_n, word_sum), (pair_n, pair_sum))]
+    return Counted(int(word_sum.sum()), int(word_n.sum()), int(pair_sum[2:].sum()), *means)
 
 
-def _pairs_by_level(leveled: DataFrame) -> dict[int, int]:
-    """Number of (entry, level) pairs that the n-grams of each level put in."""
-    return {r["level"]: r["level"] * r["m"] for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("m")).collect()}
-
-
-def _gathered(parts: DataFrame, shape: BloomShape) -> LogBloom:
-    size = 1 << (shape.segment_bits - 3)
-    bits = np.zeros(shape.segments * size, np.uint8)
-    for r in parts.toLocalIterator():
-        bits[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return LogBloom(shape, bits)
-
-
-def build_filter(counts: DataFrame, shape: BloomShape) -> tuple[LogBloom, int]:
-    """The filter over ``counts`` at a size that is given, and the lowest level it takes.
-
-    If all levels exceed the capacity, the lowest level rises until the rest fits. ``score_texts`` sizes
-    its filter by the counts (``BloomShape.sized``), so there nothing is left out.
-    """
-    leveled = counts.select("key", level_of(F.col("n")).alias("level"))
-    pairs = _pairs_by_level(leveled)
-    lowest, total = 1, sum(pairs.values())
-    while total > shape.capacity:
-        total -= pairs.get(lowest, 0)
-        lowest += 1
-    return _gathered(filter_segments(leveled.where(F.col("level") >= lowest), shape), shape), lowest
-
-
-def probe_segments(keys: DataFrame, segments: DataFrame, shape: BloomShape) -> DataFrame:
-    """(key, level) of ``keys`` (key, no repeats): each segment meets the keys that belong to it in one task."""
-    one = shape._replace(segments=1)
+def probe_parts(keys: DataFrame, parts: DataFrame, n: int) -> DataFrame:
+    """(key, level) of ``keys`` (key, no repeats): each part of the filter meets the keys that belong to it in one task."""
 
     def probe(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         key = asked["key"].to_numpy(np.int64)
-        if not len(part) or not len(key):
-            return pd.DataFrame({"key": key, "level": np.zeros(len(key), np.int64)})
-        return pd.DataFrame({"key": key, "level": LogBloom(one, np.frombuffer(part["bits"].iloc[0], np.uint8)).levels(key.view(np.uint64))})
+        level = LogBloom(1, {0: part["bits"].iloc[0]}).levels(key.view(np.uint64)) if len(part) and len(key) else np.zeros(len(key), np.int64)
+        return pd.DataFrame({"key": key, "level": level})
 
-    asked = keys.withColumn("segment", _segment_of(F.col("key"), shape))
-    return asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInPandas(probe, "key long, level long")
+    asked = keys.withColumn("part", _part_of(F.col("key"), n))
+    return asked.groupBy("part").cogroup(parts.select("part", "bits").groupBy("part")).applyInPandas(probe, "key long, level long")
 
 
-def joined_scores(pairs: DataFrame, segments: DataFrame, shape: BloomShape, rarity: float, denominator: float) -> DataFrame:
-    """(_uid, score) from ``pairs`` (_uid, pair, before, word), one row a token, without the filter in any one place.
+def joined_scores(pairs: DataFrame, parts: DataFrame, n: int, counted: Counted, rarity: float, denominator: float) -> DataFrame:
+    """(_uid, score) from ``pairs`` (_uid, pair, before, word, m), without the filter in any one place.
 
     A probability belongs to the pair and not to the place, so it is worked out once for each different
-    pair: pairs and words are brought down to distinct keys with map-side combine, probed segment by
-    segment, and joined back; the adaptive skew join splits a pair or word that is met often.
+    pair: pairs and words are brought down to distinct keys with map-side combine, probed part by
+    part, and joined back; the adaptive skew join splits a pair or word that is met often.
     """
-    pairs = pairs.groupBy("_uid", "pair").agg(F.count(F.lit(1)).alias("m"), F.min("before").alias("before"), F.min("word").alias("word"))
     distinct = materialize(pairs.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word")), "lm-pairs")
     keys = distinct.select(F.col("pair").alias("key")).union(distinct.select("before").distinct()).union(distinct.select("word")).distinct()
-    levels = materialize(probe_segments(keys, segments, shape), "lm-levels")
-    level = F.col("level")
-    found = levels.select("key", F.when(level <= 1, level.cast("double")).otherwise(1.5 * F.pow(F.lit(2.0), level - 1)).alias("c"))
+    levels = materialize(probe_parts(keys, parts, n), "lm-levels")
+    words, of_pairs = (F.array(*[F.lit(float(x)) for x in v]) for v in (counted.word_means, counted.pair_means))
+    is_word = F.col("key").bitwiseAND(F.lit(1)) == 1
+    found = levels.select("key", F.when(is_word, F.get(words, F.col("level"))).otherwise(F.get(of_pairs, F.col("level"))).alias("c"))
     full = distinct
     for name in ("pair", "before", "word"):
         full = full.join(found.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name)
@@ -244,6 +229,15 @@ def joined_scores(pairs: DataFrame, segments: DataFrame, shape: BloomShape, rari
     return pairs.select("_uid", "pair", "m").join(p, "pair").groupBy("_uid").agg(F.sum(F.col("m") * F.col("p")).alias("score"))
 
 
+def _distinct(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each different key of each row (rows rising), how often it stands there, and where the rows' lists begin."""
+    order = np.lexsort((key, row))
+    r, k = row[order], key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (k[1:] != k[:-1]))))
+    times = np.diff(first, append=len(r)).astype(np.int32)
+    return order[first], times, np.searchsorted(r[first], np.arange(rows + 1)).astype(np.int32)
+
+
 def _rarity(groups: list[tuple[float, int]], seen_again: int) -> float:
     """k for which the sum of n * c / (c + k) over groups (mean count c, tokens n) is ``seen_again``."""
     low, high = 1e-6, 1e12
@@ -266,7 +260,8 @@ def score_texts(
     *,
     text_col: str = "text",
     id_col: str = "doc_id",
-    shape: BloomShape = BloomShape(),
+    part_bytes: int = PART_BYTES,
+    n_bits: int = BITS,
     frequent: int = 1 << 17,
     most_bytes: int = 1 << 27,
 ) -> DataFrame:
@@ -275,9 +270,9 @@ def score_texts(
     Learns from all texts that are not held out. score is the log10 probability of the text under
     p(w | v) = a * c(v w) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1) with a = c(v) / (c(v) + k), where all
     counts c come from the log-frequency Bloom filter by repeated membership probes. Every token and pair
-    is put in, those seen once too: ``shape`` gives the size of a segment, and there are as many as the
-    counted (entry, level) pairs need. A filter of up to ``most_bytes`` is broadcast; the segments of a larger one
-    stay apart and the n-grams are dealt out to them (``joined_scores``), with the same scores. The share
+    is put in, those seen once too. The filter has a part for each ``part_bytes`` of text, each as wide as
+    its entries need (``n_bits`` each). Up to ``most_bytes`` it is broadcast; the parts of a larger one stay apart and the
+    n-grams are dealt out to them (``joined_scores``), with the same scores. The share
     of pairs seen once is the (Good-Turing) chance of an unseen pair, and k is such that a is one minus
     that share on average.
 
@@ -286,18 +281,19 @@ def score_texts(
     token of the join is frequent, so it has no hot key. Texts are tokenised twice and never shuffled.
 
     Null and empty texts consist of the end alone. Null ids are held out. Repeated rows are learnt from
-    and scored one by one. Without training text N and V are 0 and each token has probability 1 (base).
+    and scored one by one. Very long texts are scored whole, in one task. Without training text N and V are 0 and each token has probability 1 (base).
     No rows: no rows. Clashing columns are replaced. Words meet by 64-bit hash.
     """
     spark = docs.sparkSession
     base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare", "_pairs").withColumn("held_out", is_held_out(F.col(id_col)))
-    counts = count_ngrams(base.where(~F.col("held_out")), text_col)
-    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    counts = materialize(counts, "ngrams")
-    unigrams = counts.where(odd)
-    total = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, v_train = total["n"] or 0, total["v"]
-    denominator = float(n_train + v_train + 1)
+    n_bytes = base.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    n_parts = max(1, -(-n_bytes // part_bytes))
+    parts = materialize(ngram_parts(base.where(~F.col("held_out")), text_col, n_parts, n_bits), "lm-parts")
+    sums = counted(parts)
+    unigrams = parts.select(F.inline(F.arrays_zip(F.col("words").alias("key"), F.col("counts").alias("n"))))
+    unigrams = unigrams.toDF("key", "n")
+    n_train = sums.tokens
+    denominator = float(n_train + sums.distinct + 1)
 
     sizes = unigrams.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.sum("n").alias("n"))
     sizes = sizes.collect()
@@ -306,22 +302,18 @@ def score_texts(
         if r["m"] > left:
             break
         least, left = r["least"], left - r["m"]
-    seen_again = counts.where(~odd & (F.col("n") > 1)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rarity = _rarity([(r["n"] / r["m"], r["n"]) for r in sizes], seen_again)
+    rarity = _rarity([(r["n"] / r["m"], r["n"]) for r in sizes], sums.seen_again)
     known = unigrams.where(F.col("n") >= least).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
     top_keys, top_counts = known["key"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
 
-    leveled = counts.select("key", level_of(F.col("n")).alias("level"))
-    shape = shape.sized(sum(_pairs_by_level(leveled).values()))
-    segments, apart = filter_segments(leveled, shape), shape.n_bytes > most_bytes
-    if apart:
-        segments = materialize(segments, "lm-segments")
-    shared = None if apart else spark.sparkContext.broadcast(_gathered(segments, shape).bits)
+    apart = (parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > most_bytes
+    shared = None if apart else spark.sparkContext.broadcast(LogBloom(n_parts, {r["part"]: bytes(r["bits"]) for r in parts.select("part", "bits").collect()}))
     columns = [c for c in base.columns if c != text_col]
-    pairs_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("pair", "before", "word")]))
+    pairs_type = pa.list_(pa.struct([*[(n, pa.int64()) for n in ("pair", "before", "word")], ("m", pa.int32())]))
+    rare_type = pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int32())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, model = WordKeys(), None if apart else LogBloom(shape, shared.value)
+        keys, model = WordKeys(), None if apart else shared.value
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 40
         for batch in bounded_batches(batches):
@@ -339,23 +331,25 @@ def score_texts(
             # The beginning stands before each text once, as often as the end does.
             before = np.where(before >= 0, before, int(np.searchsorted(words, END)))
             pairs = bigram_keys(contexts(tokens), tokens)
+            row = np.repeat(np.arange(len(sizes)), sizes)
             if apart:
                 total = np.zeros(len(sizes))
-                places = pa.array(np.concatenate((begin, [len(tokens)])).astype(np.int32))
-                members = [pa.array(k.view(np.int64)) for k in (pairs, word_keys[before], word_keys[inverse])]
-                open_pairs = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(members, names=["pair", "before", "word"]))
+                at, times, ends = _distinct(row, pairs, len(sizes))
+                members = [pa.array(k[at].view(np.int64)) for k in (pairs, word_keys[before], word_keys[inverse])] + [pa.array(times)]
+                open_pairs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(members, names=["pair", "before", "word", "m"]), type=pairs_type)
             else:
-                word_count = count_of(model.levels(word_keys))
+                word_count = sums.word_means[model.levels(word_keys)]
                 before_count = word_count[before]
-                pair_count = np.minimum(count_of(model.levels(pairs)), before_count)
+                pair_count = np.minimum(sums.pair_means[model.levels(pairs)], before_count)
                 pair = np.divide(pair_count, before_count, out=np.zeros(len(tokens)), where=before_count > 0)
                 weight = np.divide(before_count, before_count + rarity, out=np.zeros(len(tokens)), where=before_count > 0)
                 p = weight * pair + (1 - weight) * (word_count[inverse] + 1) / denominator
                 total = np.add.reduceat(np.log10(p), begin)
                 open_pairs = pa.nulls(len(sizes), pairs_type)
-            rare = ~is_top
-            offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(rare.astype(np.int64), begin)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word_keys[inverse[rare]].view(np.int64)))
+            rare = np.flatnonzero(~is_top)
+            at, times, ends = _distinct(row[rare], word_keys[inverse[rare]], len(sizes))
+            members = [pa.array(word_keys[inverse[rare[at]]].view(np.int64)), pa.array(times)]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(members, names=["key", "m"]), type=rare_type)
             made = [
                 pa.array(uid + np.arange(len(sizes))), pa.array(sizes), pa.array(n_known), pa.array(base_sum), pa.array(total), lists, open_pairs,
             ]
@@ -366,16 +360,16 @@ def score_texts(
     schema = T.StructType(base.select(*columns).schema.fields)
     for name, kind in (("_uid", T.LongType()), ("n_tokens", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("score", T.DoubleType())):
         schema = schema.add(name, kind)
-    schema = schema.add("_rare", T.ArrayType(T.LongType()))
-    schema = schema.add("_pairs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("pair", "before", "word")])))
+    for name, longs in (("_rare", ("key",)), ("_pairs", ("pair", "before", "word"))):
+        schema = schema.add(name, T.ArrayType(T.StructType([*[T.StructField(n, T.LongType()) for n in longs], T.StructField("m", T.IntegerType())])))
     scored = materialize(base.mapInArrow(score, schema), "lm-scores")
-    rare = scored.select("_uid", F.explode("_rare").alias("key"))
+    rare = scored.select("_uid", F.inline("_rare"))
     found = rare.join(unigrams.where(F.col("n") < least), "key").groupBy("_uid").agg(
-        F.sum(F.log10(F.col("n") + 1.0)).alias("_more"), F.count(F.lit(1)).alias("_found")
+        F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("_more"), F.sum("m").alias("_found")
     )
     if apart:
         asked = scored.select("_uid", F.inline("_pairs"))
-        scored = scored.drop("score").join(joined_scores(asked, segments, shape, rarity, denominator), "_uid")
+        scored = scored.drop("score").join(joined_scores(asked, parts, n_parts, sums, rarity, denominator), "_uid")
     return (
         scored.drop("_rare", "_pairs")
         .join(found, "_uid", "left")

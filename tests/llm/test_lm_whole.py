@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -5,9 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm.lm import BloomShape, is_held_out, score_texts
-
-SMALL = BloomShape(segments=1, segment_bits=12)
+from docquarry.llm.lm import is_held_out, score_texts
 
 
 def texts():
@@ -25,20 +24,57 @@ def held_out(spark, ids):
     return {r["id"] for r in spark.createDataFrame([(i,) for i in ids], "id long").where(is_held_out(F.col("id"))).collect()}
 
 
-def test_filter_grows_with_the_counts(spark):
-    """More (entry, level) pairs than the given shape holds: scores are those of a wide filter."""
+def plain_scores(rows, held):
+    """The model with all counts at hand, each replaced by the mean count of its octave."""
+    tokens = {i: [*(t or "").split(), "\n"] for i, t in rows}
+    words, pairs = Counter(), Counter()
+    for i, t in tokens.items():
+        if i not in held:
+            words.update(t)
+            pairs.update(zip(["\n", *t], t, strict=False))
+
+    def quantised(counts):
+        groups = {}
+        for n in counts.values():
+            groups.setdefault(n.bit_length(), []).append(n)
+        return {k: sum(groups[n.bit_length()]) / len(groups[n.bit_length()]) for k, n in counts.items()}
+
+    n, v = sum(words.values()), len(words)
+    again = sum(c for c in pairs.values() if c > 1)
+    bins = {}
+    for c in words.values():
+        bins.setdefault(math.floor(math.log2(c) * 8), []).append(c)
+    low, high = 1e-6, 1e12
+    for _ in range(200):
+        k = math.sqrt(low * high)
+        low, high = (k, high) if sum(sum(b) * (sum(b) / len(b)) / (sum(b) / len(b) + k) for b in bins.values()) > again else (low, k)
+    w, p = quantised(words), quantised(pairs)
+    out = {}
+    for i, t in tokens.items():
+        out[i] = 0.0
+        for a, b in zip(["\n", *t], t, strict=False):
+            c = w.get(a, 0.0)
+            share = min(p.get((a, b), 0.0), c) / c if c else 0.0
+            weight = c / (c + k) if c else 0.0
+            out[i] += math.log10(weight * share + (1 - weight) * (w.get(b, 0.0) + 1) / (n + v + 1))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 2000}, {"most_bytes": 0}, {"part_bytes": 500, "most_bytes": 0}])
+def test_scores_equal_the_plain_model(spark, options):
+    """With wide parts no probe hits by chance, and every n-gram of the training texts takes part, at any size and in any form."""
     rows = texts()
-    assert len(Counter(w for _, t in rows for w in (t or "").split())) > SMALL.capacity
-    wide, grown = scores(spark, rows), scores(spark, rows, shape=SMALL)
-    assert np.median([abs(wide[i] - grown[i]) for i in wide]) < 1.0
+    held = held_out(spark, [i for i, _ in rows if i is not None]) | {None}
+    got, want = scores(spark, rows, n_bits=400, **options), plain_scores(rows, held)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], abs=1e-6)
 
 
-def test_segments_apart_give_the_same_scores(spark):
+def test_chance_hits_are_few(spark):
     rows = texts()
-    together, apart = scores(spark, rows, shape=SMALL), scores(spark, rows, shape=SMALL, most_bytes=0)
-    assert together.keys() == apart.keys()
-    for i in together:
-        assert apart[i] == pytest.approx(together[i], abs=1e-6)
+    wide, narrow = scores(spark, rows, n_bits=400), scores(spark, rows)
+    assert np.median([abs(wide[i] - narrow[i]) for i in wide]) < 1.0
     assert scores(spark, [], most_bytes=0) == {}
 
 

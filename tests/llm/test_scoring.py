@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docquarry.llm.lm import BloomShape, LogBloom, build_filter, score_texts
+from docquarry.llm.lm import LogBloom, counted, level_of, ngram_parts, part_bits, score_texts
 from docquarry.llm.topk import block_scores, slices_of, top_k, top_rows
 from docquarry.llm.topk import _scores_at as scores_at
 from docquarry.llm.toxicity import Features, features_of, fit_nnpu, score_toxicity, train_toxicity
@@ -63,19 +63,35 @@ def test_model_prefers_held_out_text_to_shuffled_text(spark):
     assert np.mean(held) > np.mean([r["base_score"] for i, r in got.items() if i < 1000 and r["held_out"]]) + 10
 
 
-def test_filter_keeps_levels(spark):
-    shape = BloomShape(segments=16, segment_bits=12)
+def test_filter_keeps_levels():
     rng = np.random.default_rng(2)
-    keys = rng.integers(-(2**63), 2**63 - 1, 2000)
-    counts = rng.integers(1, 200, 2000)
-    bloom, lowest = build_filter(spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, counts, strict=True)], "key long, n long"), shape)
-    levels = np.floor(np.log2(counts)).astype(int) + 1
-    assert lowest > 1 and (levels * (levels >= lowest)).sum() <= shape.capacity
-    found = bloom.levels(keys.view(np.uint64))
-    assert (found[levels >= lowest] >= levels[levels >= lowest]).all()
-    assert (found[levels >= lowest] == levels[levels >= lowest]).mean() > 0.95
-    assert (bloom.levels(rng.integers(0, 2**63 - 1, 5000).view(np.uint64)) == 0).mean() > 0.95
-    assert isinstance(bloom, LogBloom)
+    keys = rng.integers(0, 2**64 - 1, 2000, dtype=np.uint64)
+    level = level_of(rng.integers(1, 200, 2000))
+    part = ((keys >> np.uint64(40)) % np.uint64(3)).astype(int)
+    bloom = LogBloom(4, {p: part_bits(keys[part == p], level[part == p], 10) for p in range(3)})
+    four = LogBloom(3, {p: part_bits(keys[part == p], level[part == p], 10) for p in range(3)})
+    found = four.levels(keys)
+    assert (found >= level).all() and (found == level).mean() > 0.95
+    assert (four.levels(rng.integers(0, 2**63 - 1, 5000).astype(np.uint64)) == 0).mean() > 0.95
+    assert len(bloom.bits) == len(four.bits) + 1  # a part without entries
+    assert level_of(np.array([0, 1, 2, 3, 4, 7, 8, 2**40 - 1, 2**40])).tolist() == [0, 1, 2, 2, 3, 3, 4, 40, 41]
+
+
+def test_parts_hold_every_ngram(spark):
+    texts = [(t,) for _, t in lm_texts()]
+    parts = ngram_parts(spark.createDataFrame(texts, "text string"), "text", 5).cache()
+    words, pairs = Counter(), Counter()
+    for (t,) in texts:
+        tokens = [w for w in "".join(c.lower() if c < "\x80" else c for c in t or "").replace("\x0b", " ").split(" ") for w in w.split()] + ["\n"]
+        words.update(tokens)
+        pairs.update(zip(["^", *tokens], tokens, strict=False))
+    sums = counted(parts)
+    assert (sums.tokens, sums.distinct, sums.seen_again) == (sum(words.values()), len(words), sum(n for n in pairs.values() if n > 1))
+    assert sorted(n for r in parts.collect() for n in r["counts"]) == sorted(words.values())
+    for means, counts in ((sums.word_means, words), (sums.pair_means, pairs)):
+        for q in range(1, 12):
+            level = [n for n in counts.values() if n.bit_length() == q]
+            assert not level or means[q] == pytest.approx(sum(level) / len(level))
 
 
 def test_lm_empty(spark):
