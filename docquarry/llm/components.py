@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize
+from docquarry.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -18,8 +18,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours on its smallest neighbour (large star), then its
     smaller ones (small star); groups become stars in a number of rounds that grows with the logarithm
-    of their size. A round is an aggregation with map-side minima and an equi-join (which the adaptive
-    skew join splits at a hub); its edges are written to the shared folder, so lineage stays short.
+    of their size. A round is two times an aggregation with map-side minima and an equi-join with its
+    result, which is written first: the join then stands on plain exchanges and the adaptive skew join
+    splits it at a hub. Edges are written to the shared folder, so lineage stays short.
     Null ends and loops are dropped; an empty table gives an empty table.
     """
     edges = materialize(
@@ -30,17 +31,21 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        smallest = materialize(smallest, "links-smallest")
         large = (
             both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
+        large = materialize(large, "links-large")
         # After the large star every edge points from a node u down to v < u.
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "links-lowest")
         small = large.join(lowest, "u")
         made = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
         after = materialize(made.where("u <> v").distinct(), "links")
         now = _state(after)
-        if now == state:
+        discard(edges, smallest, large, lowest)
+        edges, settled = after, now == state
+        if settled:
             break
-        edges, state = after, now
+        state = now
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, discard, materialize, with_columns_free
 from docquarry.llm.components import components
 
 ADDED = ("fingerprint", "component_id")
 #: Fingerprints of one table slot that are compared in one task; fuller slots are cut into tiles of this size.
 TILE = 4096
+#: Look-ups of a fingerprint at most, and the cost of one as a number of comparisons.
+_MOST_LOOKUPS, _ROW_COST = 1200, 20
 
 
 def shingles_hashes(text: str | None, width: int) -> np.ndarray:
@@ -34,9 +37,8 @@ def shingles_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[b:e], 42) for b, e in zip(begins[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
 
 
-def simhash(text: str | None, width: int = 4) -> int:
-    """The 64-bit fingerprint: a bit is 1 if set in over half the shingle hashes; 0 without words."""
-    hashes = shingles_hashes(text, width)
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of shingle hashes: a bit is 1 if set in over half of them; 0 without any."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
@@ -45,6 +47,10 @@ def simhash(text: str | None, width: int = 4) -> int:
     return int(np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), initial=np.uint64(0)))
 
 
+def simhash(text: str | None, width: int = 4) -> int:
+    return majority(shingles_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4) -> DataFrame:
     """``docs`` without the text, with the fingerprint as a signed long ``_fp``."""
     columns = [c for c in docs.columns if c != text_col]
@@ -60,30 +66,36 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4) -> Dat
     return docs.mapInArrow(make, schema)
 
 
-def segment_plan(most: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Bits of the segments, and the radius looked at in each, for links at ``most`` differing bits.
+def segment_plan(most: int, n: int = 0) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Bits of the segments, and the radius looked at in each, for links at ``most`` differing bits among n fingerprints.
 
     If every segment differed in more than its radius, the whole would differ in at least the sum of
-    (radius + 1), which is more than ``most``; so some segment lies within its radius. Up to 4 bits, three
-    wide segments keep slots thin (2 + 2 + 1 > 4); beyond, four segments share the radius.
+    (radius + 1), which is more than ``most``; so some segment lies within its radius. Few wide segments
+    keep slots thin and need many look-ups, many narrow ones the other way round: of 2 or 3 segments (4 from
+    5 bits on) those are taken that cost least by the look-ups and the meetings to be expected in slots.
     """
     if not 0 <= most <= 11:
         raise ValueError("links are found at 0 to 11 differing bits")
-    bits = (21, 21, 22) if most <= 4 else (16, 16, 16, 16)
-    n = len(bits)
-    return bits, tuple((most + 1) // n + (k < (most + 1) % n) - 1 for k in range(n))
+    plans = []
+    for k in (2, 3) if most <= 4 else (2, 3, 4):
+        bits = tuple(64 // k + (s >= k - 64 % k) for s in range(k))
+        radii = tuple((most + 1) // k + (s < (most + 1) % k) - 1 for s in range(k))
+        balls = [sum(comb(b, d) for d in range(r + 1)) for b, r in zip(bits, radii, strict=True)]
+        if sum(balls) <= _MOST_LOOKUPS:
+            plans.append((_ROW_COST * sum(balls) + sum(x * n / 2**b for x, b in zip(balls, bits, strict=True)), bits, radii))
+    return min(plans)[1:]
 
 
-def _slots(fp: Column, most: int) -> tuple[Column, Column]:
+def _slots(fp: Column, plan: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[Column, Column]:
     """Keys of the table slots that hold a fingerprint, and of the slots it looks into besides.
 
     A slot is (segment, value) in one long. Of two that differ the one of smaller value looks at the
     larger, so each meeting takes place once. A segment of radius -1 takes no part.
     """
     homes, probes, shift = [], [], 0
-    for s, (bits, radius) in enumerate(zip(*segment_plan(most), strict=True)):
+    for s, (bits, radius) in enumerate(zip(*plan, strict=True)):
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        tag = s << 24
+        tag = s << 40
         if radius >= 0:
             homes.append(value + F.lit(tag))
         masks = [sum(1 << b for b in flips) for n in range(1, radius + 1) for flips in combinations(range(bits), n)]
@@ -170,7 +182,7 @@ def fingerprint_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     or look into the slot visit each tile, so no task holds more than one tile of tenants at a time and
     every meeting still takes place.
     """
-    homes, probes = _slots(F.col("fp"), most)
+    homes, probes = _slots(F.col("fp"), segment_plan(most, distinct.count()))
     standing = distinct.select("fp", F.explode(homes).alias("slot")).withColumn("home", F.lit(True))
     looking = distinct.select("fp", F.explode(probes).alias("slot")).withColumn("home", F.lit(False))
     visits = standing.union(looking)
@@ -201,12 +213,16 @@ def simhash_near_duplicates(
     rows: no rows. Texts of any length are hashed whole. Clashing columns are replaced.
     """
     marked = materialize(fingerprints(with_columns_free(docs, *ADDED, "_fp"), text_col, width), "fingerprints")
-    classes = marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("first_id"))
+    classes = materialize(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("first_id")), "simhash-classes")
     roots = components(fingerprint_links(classes.select("fp"), most))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    group = [F.col("root").alias(group_col)] if group_col else []
-    of_class = rooted.join(smallest, "root").select("fp", "component_id", *group)
+    # What the joins below look up is written first: they then stand on plain exchanges, and a hot key is split.
+    linked = materialize(classes.join(roots, classes["fp"] == roots["node"]).select("fp", "first_id", "root"), "simhash-linked")
+    smallest = materialize(linked.groupBy("root").agg(F.min("first_id").alias("least")), "simhash-smallest")
+    grouped = linked.join(smallest, "root").select(F.col("fp").alias("_of"), "least", "root")
+    group = [F.coalesce("root", "fp").alias(group_col)] if group_col else []
+    of_class = classes.join(grouped, F.col("fp") == F.col("_of"), "left").select("fp", F.coalesce("least", "first_id").alias("component_id"), *group)
+    of_class = materialize(of_class, "simhash-groups")
+    discard(classes, linked, smallest)
     return (
         marked.join(of_class, marked["_fp"] == of_class["fp"])
         .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
@@ -214,28 +230,6 @@ def simhash_near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of ``docs`` of each group: the smallest id stays (null ids last), of rows with that id one.
-
-    Only ids, fingerprints and a hash of each row take part until the rows to keep are known; the texts
-    are dealt out once, by that hash.
-    """
-    row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key.alias("_row"))
-    found = simhash_near_duplicates(narrow, text_col="_text", id_col="_id", group_col="_group", **options)
-    return keep_first(docs, found, row_key, id_col)
-
-
-def keep_first(docs: DataFrame, found: DataFrame, row_key: Column, id_col: str) -> DataFrame:
-    """One row of ``docs`` of each ``_group`` of ``found`` (_id, _row, _group), ``_row`` being the row's hash ``row_key``."""
-    columns = docs.columns
-    first = F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    keepers = found.groupBy("_group").agg(first.alias("k")).select(F.col("k.row").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row_key).join(keepers, "_row")
-    nth = F.row_number().over(Window.partitionBy("_row", id_col).orderBy(F.lit(1)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*columns)
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return simhash_near_duplicates(docs).select("doc_id", "fingerprint", "component_id")

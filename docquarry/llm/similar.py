@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle Jaccard: every pair at or above the bound, by prefix filtering."""
+"""Near-duplicates with links checked on shingles: SimHash links (operator 3), and the pairs that fingerprints miss."""
 
 from __future__ import annotations
 
@@ -7,19 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bounded_batches, materialize
+from docquarry.llm.common import bounded_batches, discard, materialize
 from docquarry.llm.components import components
-from docquarry.llm.simhash import keep_first, shingles_hashes
+from docquarry.llm.simhash import fingerprint_links, majority, shingles_hashes
 
 #: Jaccard bound as a fraction.
 LEAST = (4, 5)
-#: Rounds in which each bucket is compared with one of its members only, before all pairs that are left.
-STAR_ROUNDS = 2
-_HEAVY, _SAMPLE = 1 << 16, 16
-_SETS = "_id {0}, _row long, _set long, _n int, _shingles array<long>, _prefix array<long>"
+#: Shingles that go last in the order of prefixes, at most.
+HEAVY = 1 << 16
+#: Bits of the filter that spares rows a shuffle.
+_FILTER = 1 << 27
+_SEEN = 1 << 20
 
 
 def prefix_length(n: int) -> int:
@@ -27,101 +28,183 @@ def prefix_length(n: int) -> int:
     return n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
 
 
-def _heavy_shingles(narrow: DataFrame, width: int) -> np.ndarray:
-    """Shingles that are frequent in a sample, sorted: they go last in the order, which any order may do."""
+def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: false only where the column ``key`` is none of ``keys`` (one long column).
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches):
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles_hashes(text, width)).view(np.int64))], names=["h"])
+    The keys are hashed into a bitmap of fixed size, 4096 pieces of 4 KB, which is broadcast; with so many
+    keys that it is full it spares nothing, and what is built on ``_maybe`` has to look exactly.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(_FILTER)) + 1
+    pieces = keys.groupBy(F.bitmap_bucket_number(place(keys.columns[0])).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(keys.columns[0]))).alias("_bits"))
+    pieces = materialize(pieces, "similar-filter")
+    placed = df.withColumn("_at", F.bitmap_bit_position(place(key))).withColumn("_in", F.bitmap_bucket_number(place(key)))
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_at div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    joined = placed.join(F.broadcast(pieces), F.col("_in") == F.col("_piece"), "left")
+    return joined.select(*df.columns, hit.alias("_maybe"))
 
-    sample = narrow.where(F.pmod(F.col("_row"), F.lit(_SAMPLE)) == 0).select("_text").mapInArrow(shingles, "h long")
-    top = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count")).limit(_HEAVY)
-    return np.sort(np.array([r["h"] for r in top.collect()], np.int64))
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
 def shingle_sets(narrow: DataFrame, width: int) -> DataFrame:
-    """``narrow`` (_id, _text, _row) with the set of its shingles, the set's hash and its prefix, without the text."""
-    heavy = _heavy_shingles(narrow, width)
+    """``narrow`` (_id, _text, _row) without the text: its fingerprint, the set of its shingles, the set's hash and size."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches):
-            sets = [np.sort(np.unique(shingles_hashes(t, width)).view(np.int64)) for t in batch.column("_text").to_pylist()]
-            prefixes = []
-            for s in sets:
-                last = np.isin(s, heavy)
-                prefixes.append(np.concatenate((s[~last], s[last]))[: prefix_length(len(s))])
+            hashes = [shingles_hashes(t, width) for t in batch.column("_text").to_pylist()]
+            sets = [np.sort(np.unique(h).view(np.int64)) for h in hashes]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            made = [pa.array(keys), pa.array([len(s) for s in sets], pa.int32())]
-            lists = [_lists(sets), _lists(prefixes)]
-            names = ["_id", "_row", "_set", "_n", "_shingles", "_prefix"]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *made, *lists], names=names)
+            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            made = [pa.array(prints), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *made], names=["_id", "_row", "_fp", "_set", "_n", "_shingles"])
 
-    return narrow.mapInArrow(make, _SETS.format(narrow.schema["_id"].dataType.simpleString()))
+    kind = narrow.schema["_id"].dataType.simpleString()
+    return narrow.mapInArrow(make, f"_id {kind}, _row long, _fp long, _set long, _n int, _shingles array<long>")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+def heavy_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles of the highest counts, sorted: they go last in the order of prefixes.
 
+    All sets are counted, batch by batch; of a batch only what stands there three times or more goes on, so
+    counts are lower bounds. They decide the order alone, and any order gives the same links.
+    """
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) of ``pairs`` (u, v, and sizes nu, nv) whose sets have the Jaccard asked for, by all their shingles."""
-    most, least = F.greatest("nu", "nv"), F.least("nu", "nv")
-    pairs = materialize(pairs.where(LEAST[1] * least >= LEAST[0] * most).select("u", "v").distinct(), "similar-pairs")
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], names=["h", "n"])
+
+    top = sets.select("_shingles").mapInArrow(tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY)
+    return np.sort(np.array([r["h"] for r in top.collect()], np.int64))
+
+
+def prefixes(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """(_set, _n, at, h): the members of each set's prefix with their places. A task gives a set once that it has met lately."""
+    spark = sets.sparkSession
+    last = spark.sparkContext.broadcast(heavy)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for key, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(key)
+                s = members.values.to_numpy(zero_copy_only=False)
+                late = np.isin(s, last.value)
+                prefix = np.concatenate((s[~late], s[late]))[: prefix_length(len(s))]
+                for column, x in zip(columns, (np.full(len(prefix), key), np.full(len(prefix), len(s)), np.arange(len(prefix)), prefix), strict=True):
+                    column.append(x)
+            made = [np.concatenate([*c, np.empty(0, np.int64)]) for c in columns]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64), k, safe=False) for x, k in zip(made, kinds, strict=True)], names=["_set", "_n", "at", "h"])
+
+    return sets.select("_set", "_shingles").mapInArrow(make, "_set long, _n int, at int, h long")
+
+
+def _can_meet(n: Column, at: Column, m: Column, other_at: Column) -> Column:
+    """Positional filter: sets whose first common member stands at these places can reach the bound."""
+    most = F.least(n - at, m - other_at)  # members in common, at most
+    return (LEAST[0] + LEAST[1]) * most >= LEAST[0] * (n + m)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of ``pairs`` (u, v) whose sets have the Jaccard asked for, by all their shingles."""
+    pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
     needed = pairs.select(F.col("u").alias("_set")).union(pairs.select("v")).distinct()
-    members = sets.join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("_shingles").alias("s"))
+    near = maybe_among(sets.select("_set", "_shingles"), "_set", needed).where("_maybe")
+    members = near.join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("_shingles").alias("s"))
     members = materialize(members, "similar-sets")
     both = pairs.join(members.toDF("u", "su"), "u").join(members.toDF("v", "sv"), "v")
     common = F.size(F.array_intersect("su", "sv"))
-    return both.where(LEAST[1] * common >= LEAST[0] * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    links = materialize(both.where(LEAST[1] * common >= LEAST[0] * (F.size("su") + F.size("sv") - common)).select("u", "v"), "similar-links")
+    discard(pairs, members)
+    return links
+
+
+def simhash_pairs(sets: DataFrame, most: int) -> DataFrame:
+    """Pairs (u, v) of sets by operator 3: of one fingerprint (each with one of its class), or linked at ``most`` bits."""
+    narrow = sets.select("_fp", "_set").distinct()
+    classes = materialize(narrow.groupBy(F.col("_fp").alias("fp")).agg(F.min("_set").alias("rep")), "similar-classes")
+    equal = narrow.join(classes, narrow["_fp"] == classes["fp"]).select(F.col("_set").alias("u"), F.col("rep").alias("v"))
+    links = fingerprint_links(classes.select("fp"), most)
+    left, right = classes.toDF("u", "ru"), classes.toDF("v", "rv")
+    return equal.union(links.join(left, "u").join(right, "v").select("ru", "rv"))
 
 
-def similar_groups(sets: DataFrame) -> DataFrame:
+def similar_groups(sets: DataFrame, most: int) -> DataFrame:
     """(node, root): the connected components of all pairs of different ``sets`` with Jaccard 4/5 or more.
 
-    Sets that share a prefix shingle form a bucket, and every such pair does. Each bucket is first
-    compared with one member, so large groups of near copies become one component in as many
-    comparisons as they have members; after STAR_ROUNDS all pairs of a bucket that lie in different
-    components are compared. Only links that hold on the whole sets count.
+    First the pairs that operator 3 gives, and each bucket of sets that share a prefix member with one of
+    its own, so large groups of near copies become one component in as many comparisons as they have
+    members. Every pair of the bound shares a prefix member; of a bucket's pairs that are left in different
+    components those are compared that the positional filter lets meet, the smaller set by a member of its
+    first ninth. Only links that hold on the whole sets count.
     """
-    # Most shingles stand in one set only: they leave before anything else is dealt out.
-    every = sets.select("_set", "_n", F.explode("_prefix").alias("h"))
-    shared = every.groupBy("h").agg(F.min("_set").alias("lo"), F.max("_set").alias("hi")).where("lo <> hi").select("h")
-    rows = materialize(every.join(materialize(shared, "similar-shared"), "h", "left_semi").distinct(), "similar-prefixes")
-    links = roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        here = rows.withColumn("root", F.col("_set"))
-        if roots is not None:
-            here = rows.join(roots.toDF("_set", "found"), "_set", "left").select("_set", "_n", "h", F.coalesce("found", "_set").alias("root"))
-        first = F.struct(F.xxhash64("_set", F.lit(turn)).alias("o"), F.col("_set").alias("rep"), F.col("_n").alias("rep_n"), F.col("root").alias("rep_root"))
-        buckets = here.groupBy("h").agg(F.min(first).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        buckets = materialize(buckets.select("h", "first.rep", "first.rep_n", "first.rep_root"), "similar-buckets")
-        if turn < STAR_ROUNDS:
-            rows = materialize(rows.join(buckets.select("h"), "h", "left_semi"), "similar-prefixes")  # closed buckets stay closed
-            met = here.join(buckets, "h").where("root <> rep_root")
-            pairs = met.select(F.least("_set", "rep").alias("u"), F.greatest("_set", "rep").alias("v"), F.col("_n").alias("nu"), F.col("rep_n").alias("nv"))
-        else:
-            left = materialize(here.join(buckets.select("h"), "h", "left_semi"), "similar-open")
-            other = left.select(F.col("_set").alias("v"), F.col("_n").alias("nv"), "h", F.col("root").alias("other_root"))
-            pairs = left.join(other, "h").where("root < other_root").select(F.col("_set").alias("u"), "v", F.col("_n").alias("nu"), "nv")
-        found = materialize(_verified(pairs, sets), "similar-links")
-        links = found if links is None else links.union(found)
-        roots = materialize(components(links), "similar-roots")
-    return roots
-
-
-def keep_one_similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
+    every = prefixes(sets, heavy_shingles(sets))
+    # Most members stand in one set only: they leave before anything else is dealt out.
+    shared = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "similar-shared")
+    rows = materialize(every.join(shared, "h", "left_semi").distinct(), "similar-prefixes")
+    discard(shared)
+    first = F.min(F.struct(F.xxhash64("_set").alias("o"), F.col("_set").alias("rep"), F.col("_n").alias("rep_n"), F.col("at").alias("rep_at")))
+    stars = materialize(rows.groupBy("h").agg(first.alias("f")).select("h", "f.rep", "f.rep_n", "f.rep_at"), "similar-stars")
+    met = rows.join(stars, "h").where((F.col("_set") != F.col("rep")) & _can_meet(F.col("_n"), F.col("at"), F.col("rep_n"), F.col("rep_at")))
+    links = verified(simhash_pairs(sets, most).union(met.select("_set", "rep")), sets)
+    roots = materialize(components(links), "similar-roots")
+    labelled = rows.join(roots.toDF("_set", "found"), "_set", "left").withColumn("root", F.coalesce("found", "_set")).drop("found")
+    split = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    left = materialize(labelled.join(materialize(split, "similar-open"), "h", "left_semi"), "similar-left")
+    small = left.where((LEAST[0] + LEAST[1]) * (F.col("_n") - F.col("at")) >= 2 * LEAST[0] * F.col("_n"))
+    other = left.toDF(*[c if c == "h" else f"o_{c}" for c in left.columns])
+    meeting = small.join(other, "h").where(
+        (F.col("root") != F.col("o_root")) & (F.col("_n") <= F.col("o__n")) & (LEAST[1] * F.col("_n") >= LEAST[0] * F.col("o__n"))
+        & _can_meet(F.col("_n"), F.col("at"), F.col("o__n"), F.col("o_at"))
+    )
+    more = verified(meeting.select(F.col("_set").alias("u"), F.col("o__set").alias("v")), sets)
+    return components(links.union(more))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, row_key: Column, id_col: str) -> DataFrame:
+    """One row of ``docs`` of each ``_group`` of ``found`` (_id, _row, _group), ``_row`` being the row's hash ``row_key``.
+
+    The smallest id stays, null ids last, of rows with that id one. Rows that are alone in their group are
+    not shuffled; the others meet what is to be kept by their hash.
+    """
+    columns = docs.columns
+    first = F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    groups = materialize(found.groupBy("_group").agg(first.alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").select("_group", "k.row"), "groups")
+    touched = found.join(groups, "_group").select("_row")
+    marked = maybe_among(docs.withColumn("_row", row_key), "_row", touched)
+    keyed = touched.distinct().join(groups.select(F.col("row").alias("_row"), F.lit(True).alias("_first")).distinct(), "_row", "left")
+    met = marked.where("_maybe").join(keyed.withColumn("_known", F.lit(True)), "_row", "left")
+    # A row that the filter let through without being one of them stays, as often as it stands there.
+    strays = met.where("_known is null").select(*columns)
+    kept = met.where("_first").dropDuplicates(["_row"]).select(*columns)
+    return marked.where("not _maybe").select(*columns).union(strays).union(kept)
+
+
+def keep_one_of_each(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5, most: int = 4) -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates: the smallest id stays (null ids last), of rows with that id one.
 
     Near-duplicates have 4/5 or more of their shingles of ``width`` words in common (Jaccard, repeats
-    counted once; a shorter text is one shingle); groups are the connected components. Null and
-    empty texts have the empty set and are one group. No pair is missed: prefix filtering is exact
+    counted once; a shorter text is one shingle); groups are the connected components. Links come from
+    operator 3 (fingerprints at ``most`` bits), each checked on its shingles. Fingerprints miss most pairs
+    with a Jaccard near the bound, so what they leave is completed by prefix filtering, which misses none
     but for equal 64-bit hashes.
+
+    Null and empty texts have the empty set and are one group. Repeated rows are one group. Very long texts
+    count whole. No rows: no rows. Columns that the work adds do not clash, as only the id, the text and a
+    hash of the row take part.
     """
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key.alias("_row"))
     sets = materialize(shingle_sets(narrow, width), "shingle-sets")
-    roots = similar_groups(sets)
+    roots = similar_groups(sets, most)
     found = sets.select("_id", "_row", "_set").join(roots, sets["_set"] == roots["node"], "left").select("_id", "_row", F.coalesce("root", "_set").alias("_group"))
     return keep_first(docs, found, row_key, id_col)

@@ -4,7 +4,7 @@ import pytest
 import xxhash
 
 from docquarry.llm.components import components
-from docquarry.llm.simhash import brute_force, fingerprint_links, keep_one_of_each, segment_plan, simhash, simhash_near_duplicates
+from docquarry.llm.simhash import brute_force, fingerprint_links, segment_plan, simhash, simhash_near_duplicates
 
 SCHEMA = "doc_id long, text string, source string, fingerprint int, slot string"
 
@@ -44,12 +44,16 @@ def test_near_duplicates_equal_brute_force(spark):
 
 @pytest.mark.parametrize("most", range(12))
 def test_some_segment_is_always_near(most):
-    bits, radii = segment_plan(most)
-    assert sum(bits) == 64 and sum(r + 1 for r in radii) > most
+    for n in (0, 10**6, 10**12):
+        bits, radii = segment_plan(most, n)
+        assert sum(bits) == 64 and sum(r + 1 for r in radii) > most
+    assert segment_plan(4, 10**6)[0] == (21, 21, 22) and segment_plan(4, 10**11)[0] == (32, 32)
 
 
-@pytest.mark.parametrize("most", [0, 4, 8])
-def test_links_connect_all_close_fingerprints(spark, most):
+@pytest.mark.parametrize("most,plan", [(0, None), (4, None), (8, None), (4, ((32, 32), (2, 1)))])
+def test_links_connect_all_close_fingerprints(spark, most, plan, monkeypatch):
+    if plan:  # as for a much larger table
+        monkeypatch.setattr("docquarry.llm.simhash.segment_plan", lambda *_: plan)
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(30)]
     prints = set(base)
@@ -91,22 +95,9 @@ def test_full_slots_are_tiled_without_loss(spark, monkeypatch):
     assert {x: found.get(x, x) for x in prints} == label
 
 
-def test_one_of_each_group_stays(spark):
-    texts = corpus()
-    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
-    kept = keep_one_of_each(docs)
-    assert kept.columns == docs.columns
-    groups = {}
-    for (key, text), (_, _, component) in zip(texts, brute_force(texts), strict=True):
-        groups.setdefault((component, text if component is None else ""), []).append(key)
-    want = sorted((min((x for x in g if x is not None), default=None) for g in groups.values()), key=str)
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == want
-
-
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash_near_duplicates(docs).count() == 0
-    assert keep_one_of_each(docs).count() == 0
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

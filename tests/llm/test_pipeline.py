@@ -7,10 +7,10 @@ import pytest
 
 import corpus_pipeline
 from docquarry.llm.pieces import decode_pieces
-from docquarry.llm.simhash import brute_force
 from docquarry.llm.toxicity import score_toxicity, train_toxicity
 from tests.llm.test_lines import plain as plain_lines
 from tests.llm.test_mixing import plain_targets
+from tests.llm.test_similar import kept_by_brute_force
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
 
@@ -67,8 +67,8 @@ def test_run_equals_plain_stages(spark, tables):
     kept = [(i, t) for i, t, *_ in docs if i not in rejected]
     source = {d[0]: d[3] for d in docs}
     cleaned = [(i, t) for i, t, _ in plain_lines(kept, 50)]
-    leaders = {c for _, _, c in brute_force(cleaned)}
-    remaining = [(i, t, source[i]) for i, t in cleaned if i in leaders]
+    leaders, _ = kept_by_brute_force(cleaned)
+    remaining = [(i, t, source[i]) for n, (i, t) in enumerate(cleaned) if n in leaders]
     assert len(remaining) < len(cleaned)
     got = decode_pieces(corpus_pipeline.run(spark, folder)).collect()
     text = {i: t for i, t, _ in remaining}

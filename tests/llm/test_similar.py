@@ -1,6 +1,6 @@
 import random
 
-from docquarry.llm.similar import keep_one_similar, prefix_length
+from docquarry.llm.similar import keep_one_of_each, maybe_among, prefix_length
 from docquarry.llm.simhash import shingles_hashes, simhash
 
 
@@ -47,7 +47,7 @@ def kept_by_brute_force(rows):
 def test_equals_brute_force_in_every_band(spark):
     rows = corpus()
     want, pairs = kept_by_brute_force(rows)
-    got = {r["doc_id"] for r in keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"] for r in keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
     band = [(i, j) for i, j, s in pairs if s < 0.9]
     far = [(i, j) for i, j in band if bin(simhash(rows[i][1]) ^ simhash(rows[j][1])).count("1") > 4]
@@ -60,5 +60,19 @@ def test_prefix_is_long_enough():
 
 
 def test_no_rows_and_no_pairs(spark):
-    assert keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert keep_one_similar(spark.createDataFrame([(1, "a b"), (None, "c d"), (None, "c d")], "doc_id long, text string")).count() == 2
+    assert keep_one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert keep_one_of_each(spark.createDataFrame([(1, "a b"), (None, "c d"), (None, "c d")], "doc_id long, text string")).count() == 2
+
+
+def test_rows_of_one_group(spark):
+    rows = [(3, "a b c d e f", "x", 1), (3, "a b c d e f", "x", 1), (2, "A b c d e f", "y", 2), (None, "a b c d e f", "x", 1), (9, None, "x", 1), (8, " ", "x", 1), (5, "other", "z", 0), (None, "p q", "z", 0), (None, "p q", "z", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _set string, root int")
+    got = keep_one_of_each(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "A b c d e f", "y", 2), (8, " ", "x", 1), (5, "other", "z", 0), (None, "p q", "z", 0)], key=str)
+
+
+def test_filter_is_never_wrong_about_members(spark):
+    keys = spark.range(0, 3000, 7).toDF("k")
+    got = {r["id"]: r["_maybe"] for r in maybe_among(spark.range(3000), "id", keys).collect()}
+    assert all(got[i] for i in range(0, 3000, 7)) and sum(got.values()) < 450
