@@ -16,7 +16,7 @@ from docquarry.llm.common import materialize
 from docquarry.llm.lines import dedup_lines
 from docquarry.llm.mixing import emit_mix
 from docquarry.llm.pieces import encode_pieces
-from docquarry.llm.similar import keep_one_similar
+from docquarry.llm.similar import keep_one_of_each
 from docquarry.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -34,8 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that 0.8 or more of the five-word shingles link: the one of smallest id."""
-    return keep_one_similar(docs)
+    """One document of each near-duplicate group, the one of smallest id.
+
+    Operator 3 on five-word shingles, each link checked for 0.8 or more of them in common, and completed
+    by the pairs of that bound which lie too far apart for fingerprints.
+    """
+    return keep_one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
