@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,25 +15,36 @@ from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with
 
 MIN_WORDS = 50
 ADDED = ("n_lines", "n_removed", "removed_words", "removed")
-_WINDOWS = "doc long, row long, start int, end int, anchor int, anchor_hash long, window_hash long"
+_WINDOW = ("k", "start", "end", "anchor", "blank", "more", "anchor_hash", "content_a", "content_b")
+_KINDS = ("int",) * 6 + ("bigint",) * 3
 
 
-def line_windows(text: str | None, min_words: int) -> tuple[np.ndarray, ...] | None:
-    """Windows of one text: (start, end, anchor, anchor_hash, window_hash), None if it has none.
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line)
 
-    From each line on, a window is the least run of lines that holds ``min_words`` words. Its anchor is
-    the line with the smallest hash, the last of equals: the same run elsewhere has the same anchor, so
-    every repeated run of that length is sure to share a fingerprint.
+
+def line_windows(text: str | None, min_words: int) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
+    """Hashes of all lines of a text and its windows, None if it has none.
+
+    From each line with a word on, a window is the least run of lines that holds ``min_words`` words. Its
+    anchor is the line with the smallest hash, the last of equals: the same run elsewhere has the same
+    anchor, so every repeated run of that length is sure to share a fingerprint. The content is a 128-bit
+    hash of the window's bytes. ``blank`` lines without a word stand just before the window; ``more`` lines
+    behind it hold less than ``min_words`` words together.
     """
-    raw = (text or "").encode().split(b"\n")
+    whole = (text or "").encode()
+    raw = whole.split(b"\n")
     words = np.fromiter((len(x.translate(LOWER_ASCII).split()) for x in raw), np.int64, len(raw))
     total = np.concatenate(([0], np.cumsum(words)))
     if total[-1] < min_words:
         return None
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in raw), np.uint64, len(raw)).view(np.int64)
+    hashes = np.fromiter(map(line_hash, raw), np.uint64, len(raw)).view(np.int64)
     start = np.flatnonzero(words > 0)
+    blank = np.diff(start, prepend=-1) - 1
     end = np.searchsorted(total, total[start] + min_words)
-    start, end = start[end <= len(raw)], end[end <= len(raw)]
+    fits = end <= len(raw)
+    start, end, blank = start[fits], end[fits], blank[fits]
+    more = np.searchsorted(total, total[end] + min_words) - 1 - end
     anchor = np.empty(len(start), np.int64)
     queue: list[int] = []  # lines of the window with rising hashes
     head, reached = 0, 0
@@ -46,56 +57,100 @@ def line_windows(text: str | None, min_words: int) -> tuple[np.ndarray, ...] | N
         while queue[head] < s:
             head += 1
         anchor[k] = queue[head]
-    content = np.fromiter(
-        (xxhash.xxh64_intdigest(hashes[s:e].tobytes(), int(e - s)) for s, e in zip(start, end, strict=True)), np.uint64, len(start)
-    ).view(np.int64)
-    return start, end, anchor, hashes[anchor], content
+    place = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1))).tolist()
+    digests = b"".join(xxhash.xxh3_128_digest(whole[place[s] : place[e] - 1]) for s, e in zip(start.tolist(), end.tolist(), strict=True))
+    content = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    made = (np.arange(len(start)), start, end, anchor, blank, more, hashes[anchor], content[:, 0], content[:, 1])
+    return hashes, dict(zip(_WINDOW, made, strict=True))
 
 
 def _row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def repeated_ranges(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Line ranges to delete: doc, row (hash of the text), starts, ends (one row per document with any).
-
-    Fingerprints (anchor hashes of windows) are counted by place; those met at two places or more are
-    joined to the windows around them, and each such window is extended to its whole content: the
-    earliest place of equal content, in order of (id, text hash, line), stays and each later one goes.
-    Nothing is paired: fingerprints and contents are aggregated with map-side combine, so a line that
-    stands everywhere costs its own places and no more.
-    """
+def lines_of(docs: DataFrame, text_col: str, id_col: str, min_words: int) -> DataFrame:
+    """doc, row (hash of the text), hashes of its lines, and its windows as an array for each column, for texts with windows."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches):
-            ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
-            parts = []
-            for key, row, text in zip(ids, rows, texts, strict=True):
-                found = line_windows(text, min_words)
-                if found is not None:
-                    parts.append((key, row, found))
-            sizes = [len(f[0]) for _, _, f in parts]
-            columns = [
-                pa.array([k for (k, _, _), n in zip(parts, sizes, strict=True) for _ in range(n)], pa.int64()),
-                pa.array(np.repeat(np.array([r for _, r, _ in parts], np.int64), sizes), pa.int64()),
-            ]
-            for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())):
-                columns.append(pa.array(np.concatenate([f[i] for _, _, f in parts] or [np.empty(0, np.int64)]), kind, safe=False))
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _WINDOWS.split(", ")])
+            found = [line_windows(t, min_words) for t in batch.column(2).to_pylist()]
+            keep = pa.array([f is not None for f in found])
+            parts = [f for f in found if f is not None]
+            arrays = [_lists([h for h, _ in parts], pa.int64())]
+            for name, kind in zip(_WINDOW, _KINDS, strict=True):
+                arrays.append(_lists([w[name] for _, w in parts], pa.int32() if kind == "int" else pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), *arrays], names=["doc", "row", "hashes", *_WINDOW])
 
     source = docs.select(F.col(id_col).cast("long"), _row_key(F.col(text_col)), F.col(text_col))
-    found = materialize(source.mapInArrow(windows, _WINDOWS), "line-windows")
+    return source.mapInArrow(make, "doc long, row long, hashes array<bigint>, " + ", ".join(f"{n} array<{k}>" for n, k in zip(_WINDOW, _KINDS, strict=True)))
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), kind, safe=False))
+
+
+def repeated_runs(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs to delete: doc, row (hash of the text), runs (start, end, head, tail), one row per document with any.
+
+    Fingerprints (anchor hashes of windows) are counted by place; the windows around those met at two
+    places or more are candidates. Of the places with one content the earliest, in order of (id, text hash,
+    line), stays; each later one is joined to it, and brings along the line hashes that stand around the
+    earliest place, so that the match is extended both ways where the later text is at hand. Nothing is
+    paired but a later place with its earliest one: fingerprints and contents are aggregated with map-side
+    combine, so a line that stands everywhere costs its own places and no more.
+    """
+    lines = materialize(lines_of(docs, text_col, id_col, min_words), "lines")
+    found = lines.select("doc", "row", F.inline(F.arrays_zip(*_WINDOW)))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", F.col("anchor").alias("at"))
-    # Both small tables are written, so the joins below stand on plain exchanges and a hot key is split.
+    # The small tables are written, so the joins below stand on plain exchanges and a hot key is split.
     places = found.groupBy("anchor_hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     fingerprints = materialize(places.select("anchor_hash"), "line-fingerprints")
-    candidates = found.join(fingerprints, "anchor_hash", "left_semi")
+    candidates = materialize(found.join(fingerprints, "anchor_hash", "left_semi"), "line-candidates")
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "start")
-    contents = candidates.groupBy("window_hash").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi")
-    first = materialize(contents.select("window_hash", "lo"), "line-contents")
-    later = candidates.join(first, "window_hash").where(at > F.col("lo"))
-    ranges = later.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("r"))
-    return ranges.select("doc", "row", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+    around = F.struct(*at_fields(), "end", "blank", "more")
+    content = ["content_a", "content_b"]
+    repeated = candidates.groupBy(*content).agg(F.min(around).alias("lo"), F.max(at).alias("hi")).where("lo.doc is distinct from hi.doc or lo.row <> hi.row or lo.start <> hi.start")
+    first = materialize(repeated.select(*content, "lo.*"), "line-first")
+    own = lines.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "hashes")
+    near = first.join(own.dropDuplicates(["_doc", "_row"]), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
+    head, tail = F.slice("hashes", F.col("start") - F.col("blank") + 1, F.col("blank")), F.slice("hashes", F.col("end") + 1, F.col("more"))
+    near = near.select(*content, F.struct(*at_fields()).alias("lo"), head.alias("head"), tail.alias("tail"))
+    near = materialize(near, "line-near")
+    later = candidates.join(near, content).where(at > F.col("lo")).withColumn("shift", F.col("start") - F.col("lo.start"))
+    # Where the next window of the text lies along the same two places, it goes further than this one's lines behind.
+    order = Window.partitionBy("doc", "row").orderBy("k")
+    same = lambda move, by: F.coalesce(
+        (move("k").over(order) == F.col("k") + by) & (move("shift").over(order) == F.col("shift"))
+        & move("lo.doc").over(order).eqNullSafe(F.col("lo.doc")) & (move("lo.row").over(order) == F.col("lo.row")), F.lit(False)
+    )
+    none = F.array().cast("array<bigint>")
+    later = later.withColumns({"_before": same(F.lag, -1), "_behind": same(F.lead, 1)})
+    run = F.struct("start", "end", F.when(F.col("_before"), none).otherwise(F.col("head")).alias("head"), F.when(F.col("_behind"), none).otherwise(F.col("tail")).alias("tail"))
+    return later.groupBy("doc", "row").agg(F.array_sort(F.collect_set(run)).alias("runs"))
+
+
+def at_fields() -> list[Column]:
+    """The order of places: null ids last, then id, text hash and line."""
+    return [F.col("doc").isNull().alias("last"), F.col("doc"), F.col("row"), F.col("start")]
+
+
+def extended(lines: list[str], runs: list[dict]) -> np.ndarray:
+    """Which lines go: each run with the lines before and behind it that are those around the earliest place."""
+    gone = np.zeros(len(lines) + 1, np.int64)
+    for run in runs:
+        s, e = run["start"], run["end"]
+        for wanted in reversed(run["head"]):
+            if s == 0 or np.int64(np.uint64(line_hash(lines[s - 1].encode()))) != wanted:
+                break
+            s -= 1
+        for wanted in run["tail"]:
+            if e == len(lines) or np.int64(np.uint64(line_hash(lines[e].encode()))) != wanted:
+                break
+            e += 1
+        gone[s] += 1
+        gone[e] -= 1
+    return np.cumsum(gone)[:-1] > 0
 
 
 def dedup_lines(
@@ -103,44 +158,40 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from the text, and n_lines, n_removed, removed_words, removed.
 
-    A line goes if it lies in a run of consecutive lines that holds at least ``min_words`` words (the
-    least such run from its first line on) and stands, line for line, at an earlier place too: in a
-    document of smaller id (null ids last), or higher up in the same text. Of each deleted line an equal
-    one is left somewhere earlier. Lines are compared byte for byte. ``removed`` lists the deleted line
-    numbers from 0; a text that loses all its lines becomes empty, its row stays.
+    A match begins with a window (the least run of consecutive lines from a line on that holds
+    ``min_words`` words) that stands, byte for byte, at an earlier place too: in a document of smaller id
+    (null ids last), or higher up in the same text. It is extended line by line, both ways, as far as the
+    text goes on like the earliest place of that window, and all its lines go. (Behind it at most
+    ``min_words`` words are looked at: a run that goes on longer holds the next windows.) Of each deleted
+    line an equal one is left somewhere earlier. ``removed`` lists the deleted line numbers from 0; a text
+    that loses all its lines becomes empty, its row stays. Windows are equal by a 128-bit hash of their
+    bytes, the lines around them by 64 bits each.
 
     Null text stays null; empty and short texts, and lines outside such runs, stay. Rows that repeat both
     id and text are one document and are treated alike. Texts of any length work; a text is handled in one
-    task, in time in proportion to its length. No rows: no rows. Clashing columns are replaced. Only
-    windows (48 bytes each, about one a line) are shuffled, and the texts once, to meet their deletions.
+    task, in time in proportion to its length. No rows: no rows. Clashing columns are replaced. Windows
+    (about one a line) are shuffled, and the texts once, to meet their deletions.
     """
-    base = with_columns_free(docs, *ADDED, "_doc", "_row", "_starts", "_ends")
+    base = with_columns_free(docs, *ADDED, "_doc", "_row", "_r", "_runs")
     columns = base.columns
-    ranges = repeated_ranges(base, text_col=text_col, id_col=id_col, min_words=min_words).select(
-        F.col("doc").alias("_doc"), F.col("row").alias("_r"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")
-    )
+    runs = repeated_runs(base, text_col=text_col, id_col=id_col, min_words=min_words).toDF("_doc", "_r", "_runs")
     keyed = base.withColumn("_row", _row_key(F.col(text_col)))
-    joined = keyed.join(ranges, (F.col("_row") == F.col("_r")) & F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
+    joined = keyed.join(runs, (F.col("_row") == F.col("_r")) & F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
     joined = joined.drop("_doc", "_r", "_row")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches):
             at = batch.schema.get_field_index
-            texts = batch.column(at(text_col))
-            starts, ends = batch.column(at("_starts")).to_pylist(), batch.column(at("_ends")).to_pylist()
             kept, n_lines, removed, words = [], [], [], []
-            for text, s, e in zip(texts.to_pylist(), starts, ends, strict=True):
+            for text, found in zip(batch.column(at(text_col)).to_pylist(), batch.column(at("_runs")).to_pylist(), strict=True):
                 n_lines.append(0 if text is None else text.count("\n") + 1)
-                if not s:
+                if not found:
                     kept.append(text)
                     removed.append([])
                     words.append(0)
                     continue
                 lines = text.split("\n")
-                gone = np.zeros(len(lines) + 1, np.int64)
-                np.add.at(gone, np.array(s), 1)
-                np.add.at(gone, np.array(e), -1)
-                gone = np.cumsum(gone)[:-1] > 0
+                gone = extended(lines, found)
                 kept.append("\n".join(x for x, g in zip(lines, gone, strict=True) if not g))
                 removed.append(np.flatnonzero(gone).tolist())
                 words.append(sum(len(x.encode().translate(LOWER_ASCII).split()) for x, g in zip(lines, gone, strict=True) if g))
@@ -178,9 +229,22 @@ w AS (
   WHERE a.w > 0 GROUP BY a.doc_id, a.i),
 h AS (
   SELECT w.doc_id, s, e, md5(list_aggregate(d.lines[s:e], 'string_agg', chr(10))) AS g FROM w JOIN d ON w.doc_id = d.doc_id),
+n AS (
+  SELECT *, first_value({'doc': doc_id, 's': s, 'e': e}) OVER (PARTITION BY g ORDER BY doc_id, s) AS q,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM h),
+reach AS (
+  SELECT q.doc AS doc_id, q.s AS s, q.e AS e,
+         (SELECT count(*) FROM c WHERE c.doc_id = q.doc AND c.i > q.e AND c.c - z.c < 50) AS more,
+         q.s - 1 - coalesce((SELECT max(i) FROM c WHERE c.doc_id = q.doc AND c.i < q.s AND c.w > 0), 0) AS blank
+  FROM (SELECT DISTINCT q FROM n WHERE n > 1) JOIN c z ON z.doc_id = q.doc AND z.i = q.e),
 later AS (
-  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM h) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM later),
+  SELECT n.doc_id, n.s, n.e, r.more, r.blank,
+         list_position(list_transform(range(1, r.more + 1), lambda k: a.lines[n.e + k] IS DISTINCT FROM b.lines[r.e + k]), true) AS stop,
+         list_position(list_transform(range(1, r.blank + 1), lambda k: n.s - k < 1 OR a.lines[n.s - k] IS DISTINCT FROM b.lines[r.s - k]), true) AS halt
+  FROM n JOIN reach r ON r.doc_id = q.doc AND r.s = q.s JOIN d a ON a.doc_id = n.doc_id JOIN d b ON b.doc_id = r.doc_id WHERE n > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s - CASE WHEN coalesce(halt, 0) > 0 THEN halt - 1 ELSE blank END,
+                                       e + CASE WHEN coalesce(stop, 0) > 0 THEN stop - 1 ELSE more END + 1)) AS i FROM later),
 k AS (
   SELECT c.doc_id, count(g.i) AS n_removed, coalesce(sum(CASE WHEN g.i IS NOT NULL THEN w END), 0)::BIGINT AS removed_words,
          coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY c.i), '') AS kept

@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, n_lines string, x int"
 
 
 def plain(rows, least):
-    """Every window of every document, in order; lines of those whose content came earlier go."""
+    """Every window of every document, in order; what came earlier goes, and what stands around it in both places."""
     unique = sorted({(i is None, i, t) for i, t in rows if t is not None}, key=str)
     unique.sort(key=lambda r: (r[0], r[1] or 0))
     seen, gone = {}, {}
@@ -27,9 +27,15 @@ def plain(rows, least):
     windows.sort(key=lambda w: (w[0], w[2]))
     for place, text, s, e, content in windows:
         if content in seen:
+            lines, (other, s0, e0) = text.split("\n"), seen[content]
+            words = 0
+            while e < len(lines) and e0 < len(other) and lines[e] == other[e0] and (words := words + len(other[e0].split())) < least:
+                e, e0 = e + 1, e0 + 1
+            while s and s0 and lines[s - 1] == other[s0 - 1] and not lines[s - 1].split():
+                s, s0 = s - 1, s0 - 1
             gone.setdefault((place, text), set()).update(range(s, e))
         else:
-            seen[content] = place
+            seen[content] = text.split("\n"), s, e
     out = []
     for i, text in rows:
         cut = gone.get(((i is None, i or 0), text), set())
@@ -69,8 +75,9 @@ def test_anchor_is_the_smallest_line_of_each_window():
     import xxhash
 
     hashes = np.array([xxhash.xxh64_intdigest(x.encode()) for x in text.split("\n")], np.uint64).view(np.int64)
-    start, end, anchor, anchor_hash, _ = line_windows(text, 8)
-    for s, e, a, h in zip(start, end, anchor, anchor_hash, strict=True):
+    got, w = line_windows(text, 8)
+    assert got.tolist() == hashes.tolist()
+    for s, e, a, h in zip(w["start"], w["end"], w["anchor"], w["anchor_hash"], strict=True):
         assert h == hashes[s:e].min() == hashes[a] and s <= a < e
         assert a == s + max(np.flatnonzero(hashes[s:e] == h))
 
@@ -85,5 +92,14 @@ def test_clean_documents_stay(spark):
     assert got == dict(rows) | {100: more[0][1]} | {i + 100: f"intro {i}\nend {i}" for i in (1, 2, 3)}
 
 
+def test_matches_are_extended(spark):
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    run = ["", " ", line("a", 60), line("b", 40), "", line("c", 5)]
+    rows = [(1, "\n".join(["first", *run, "one"])), (2, "\n".join(["second", *run, "two"])), (3, "\n".join(run[2:])), (4, "\n".join(["", *run, line("d", 60)])), (5, line("d", 60))]
+    rows += [(6, "\n".join([line("e", 100), *[f"short {k}" for k in range(24)], "x"])), (7, "\n".join([line("e", 100), *[f"short {k}" for k in range(24)], "y"]))]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "second\ntwo", 3: "", 4: "\n" + line("d", 60), 5: "", 6: rows[5][1], 7: "y"}
+
+
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
