@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from docquarry.functions.text import WHITE, clean_markdown, inject_links
 # Default chunk size, and the size up to which a code block stays whole.
 MAX_BYTES = 800
 WHOLE_CODE_BYTES = 8192
+#: Chunk rows of one Arrow batch, about: a document is never divided between two.
+_ROWS = 10_000
 
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$")
 
@@ -168,6 +172,21 @@ def chunk_documents(
     the partition where it lies; there is no shuffle. Null and blank texts give no rows.
     """
     given = documents.where(F.length(F.col(text_col)) > 0)
-    chunks = given.select(F.col(path_col).alias("source_path"), chunk_markdown(inject_links(F.col(text_col)), max_bytes, heading_sep).alias("_chunks"))
-    exploded = chunks.select("source_path", F.posexplode("_chunks").alias("chunk_index", "text"))
-    return exploded.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    cleaned = given.select(F.col(path_col).alias("source_path"), clean_markdown(inject_links(F.col(text_col))).alias("text"))
+    schema = T.StructType([cleaned.schema["source_path"], T.StructField("chunk_index", T.LongType()), T.StructField("text", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, chunks, owner = 0, [], []
+            for i, text in enumerate(batch.column(1)):
+                found = chunks_of(text.as_py(), max_bytes, heading_sep)
+                chunks += found
+                owner += [i] * len(found)
+                n += len(found)
+                if n >= _ROWS or i == batch.num_rows - 1:
+                    at = np.array(owner, np.int64)
+                    index = np.arange(n) - np.searchsorted(at, at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(index), pa.array(chunks, pa.string())], names=schema.names)
+                    n, chunks, owner = 0, [], []
+
+    return cleaned.mapInArrow(cut, schema)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +17,7 @@ from docquarry.functions.chunking import MAX_BYTES, chunk_documents
 from docquarry.functions.text import content_hash, point_id
 from docquarry.functions.vectors import DIMENSION, FLOATS, bytes_vector, with_fallback
 from docquarry.sources import corpus
+from docquarry.sources.scratch import discard, materialize
 
 # Texts a request, retries, and the first wait in seconds, which doubles.
 BATCH_SIZE = 16
@@ -136,42 +140,104 @@ def ingest(
     embed: Embedder | None = None,
     delete_stale: bool = False,
     snapshot: str,
+    compact_after: int = 32,
 ) -> dict[str, int]:
     """Bring the points table and the ledger up to date with ``files``; safe to run again.
 
-    ``files`` is a listing as from ``read_markdown``. Only (path, hash) rows meet the ledger; the contents
-    of changed files are then read. Points are written before the check that a file is as it was, as the
-    next run replaces them. ``snapshot`` names this run: new versions of both tables are written beside
-    the current ones, at ``<path>/<snapshot>``, and the caller points readers there; nothing that is being
-    read is overwritten. Returns the numbers of changed, rejected and committed documents.
+    ``files`` is a listing as from ``read_markdown``. Only (path, hash) rows meet the ledger. The changed
+    files are then read once into a table of their own (bytes, hash of these bytes, time, size), and
+    everything after rests on it: what is chunked is what the ledger's hash is of. Points are written before
+    the check that a file is as it was, as the next run replaces them; a file that was written anew in the
+    meantime (its time or size in ``relist`` is another) is not committed and comes up again.
+
+    Both tables grow by one version a run, at ``<path>/<snapshot>``, with this run's rows only; readers take
+    the newest row of each key (``current_points``, ``current_ledger``). After ``compact_after`` versions
+    they are written together. Returns the numbers of changed, rejected and committed documents.
     """
-    current_points, current_ledger = latest_snapshot(spark, points_path), latest_snapshot(spark, ledger_path)
-    ledger = corpus.read_ledger(spark, current_ledger) if current_ledger else spark.createDataFrame([], corpus.LEDGER)
-    hashed = files.select("source_path", "length", "modificationTime", content_hash(F.col("content")).alias("content_hash"))
-    todo = changed_documents(hashed, ledger)
-    texts, rejects = corpus.decode_documents(files.join(todo.select("source_path"), "source_path", "left_semi"))
+    hashed = files.select("source_path", content_hash(F.col("content")).alias("content_hash"))
+    changed = materialize(changed_documents(hashed, current_ledger(spark, ledger_path)).select("source_path"), "changed")
+    size = changed.agg(F.sum(F.octet_length("source_path"))).first()[0] or 0
+    wanted = F.broadcast(changed) if size <= _SMALL else changed  # else the contents are dealt out by path
+    held = files.join(wanted, "source_path", "left_semi").withColumn("content_hash", content_hash(F.col("content")))
+    held = materialize(held.withColumn("_valid", F.is_valid_utf8(F.col("content").cast("string"))), "held")
+    texts, _ = corpus.decode_documents(held.where("_valid"))
     updates = points_of(chunk_documents(texts, max_bytes), dim=dim, embed=embed)
-    existing = corpus.read_points(spark, current_points) if current_points else spark.createDataFrame([], corpus.points_schema())
-    corpus.write_points(corpus.upsert_points(existing, updates, delete_stale=delete_stale), f"{points_path}/{snapshot}", dim)
-    done = todo.join(rejects.select("source_path"), "source_path", "left_anti")
+    corpus.write_points(corpus.latest_points(updates), f"{points_path}/{snapshot}", dim, partitioned=False)
+    done = held.where("_valid").select("source_path", "length", "modificationTime", "content_hash")
     committed = commit_unchanged(done, relist()) if relist else done
-    corpus.write_ledger(update_ledger(ledger, committed), f"{ledger_path}/{snapshot}")
-    mark_snapshot(spark, points_path, snapshot)
+    corpus.write_ledger(committed, f"{ledger_path}/{snapshot}")
+    mark_snapshot(spark, points_path, snapshot, replaces=delete_stale)
     mark_snapshot(spark, ledger_path, snapshot)
-    return {"changed": todo.count(), "rejected": rejects.count(), "committed": committed.count()}
+    counts = {
+        "changed": held.count(), "rejected": held.where("not _valid").count(), "committed": corpus.read_ledger(spark, f"{ledger_path}/{snapshot}").count(),
+    }
+    discard(changed, held)
+    if len(versions(spark, points_path)) > compact_after:
+        compact(spark, points_path, ledger_path, dim=dim, snapshot=f"{snapshot}-whole")
+    return counts
+
+
+#: Bytes of paths that may go along with the tasks.
+_SMALL = 16 << 20
+
+
+class Version(NamedTuple):
+    """One version of a table: its folder, and whether its documents replace all their older rows."""
+
+    folder: str
+    replaces: bool
+
 
+_VERSIONS = "snapshot string, at long, whole boolean, replaces boolean"
 
-def mark_snapshot(spark: SparkSession, path: str, snapshot: str) -> None:
-    """Make ``snapshot`` the current version of the table at ``path``: one small row, appended after its data."""
-    spark.createDataFrame([(snapshot, time.time_ns())], "snapshot string, at long").coalesce(1).write.mode("append").json(f"{path}/_versions")
 
+def mark_snapshot(spark: SparkSession, path: str, snapshot: str, *, whole: bool = False, replaces: bool = False) -> None:
+    """Make ``snapshot`` a version of the table at ``path``: one small row, appended after its data. A ``whole`` one ends all before it."""
+    row = [(snapshot, time.time_ns(), whole, replaces)]
+    spark.createDataFrame(row, _VERSIONS).coalesce(1).write.mode("append").json(f"{path}/_versions")
 
-def latest_snapshot(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version, if any was ever marked."""
-    from pyspark.errors import AnalysisException
 
+def versions(spark: SparkSession, path: str) -> list[Version]:
+    """The versions from the last whole one on, oldest first; a version that was written again counts where it was written last."""
     try:
-        row = spark.read.schema("snapshot string, at long").json(f"{path}/_versions").agg(F.max_by("snapshot", "at").alias("s")).first()
+        log = spark.read.schema(_VERSIONS).json(f"{path}/_versions")
     except AnalysisException:
-        return None
-    return f"{path}/{row['s']}" if row["s"] else None
+        return []
+    last = log.groupBy("snapshot").agg(F.max_by(F.struct("at", "whole", "replaces"), "at").alias("v"))
+    since = last.where("v.whole").agg(F.max("v.at")).first()[0] or 0
+    return [Version(f"{path}/{r['snapshot']}", r["replaces"]) for r in last.where(F.col("v.at") >= since).select("snapshot", "v.*").orderBy("at").collect()]
+
+
+def _newest(spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame], key: str) -> DataFrame | None:
+    """The rows of all versions, of each key the newest; rows of documents that a later version replaces are left out."""
+    found = versions(spark, path)
+    if len(found) <= 1:
+        return read(spark, found[0].folder) if found else None
+    parts = [read(spark, v.folder).withColumn("_version", F.lit(i)).withColumn("_replaces", F.lit(v.replaces)) for i, v in enumerate(found)]
+    rows = reduce(DataFrame.unionByName, parts)
+    names = [c for c in rows.columns if c not in ("_version", "_replaces")]
+    if any(v.replaces for v in found):
+        since = F.max(F.when(F.col("_replaces"), F.col("_version"))).over(Window.partitionBy("source_path"))
+        rows = rows.withColumn("_since", since).where("_since is null or _version >= _since")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_version")))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*names)
+
+
+def current_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points table at ``path``; an empty one if nothing was ingested."""
+    found = _newest(spark, path, corpus.read_points, "point_id")
+    return spark.createDataFrame([], corpus.points_schema()) if found is None else found
+
+
+def current_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``; an empty one if there is none."""
+    found = _newest(spark, path, corpus.read_ledger, "source_path")
+    return spark.createDataFrame([], corpus.LEDGER) if found is None else found
+
+
+def compact(spark: SparkSession, points_path: str, ledger_path: str, *, dim: int, snapshot: str) -> None:
+    """Write all versions of both tables together as one."""
+    corpus.write_points(current_points(spark, points_path), f"{points_path}/{snapshot}", dim)
+    corpus.write_ledger(current_ledger(spark, ledger_path), f"{ledger_path}/{snapshot}")
+    mark_snapshot(spark, points_path, snapshot, whole=True)
+    mark_snapshot(spark, ledger_path, snapshot, whole=True)

@@ -118,15 +118,28 @@ def checked_dimension(points: DataFrame, dim: int) -> DataFrame:
     return points.withColumn("embedding", F.when(size == dim, F.col("embedding")).otherwise(wrong))
 
 
-def write_points(points: DataFrame, path: str, dim: int, mode: str = "overwrite") -> None:
-    """Write a snapshot, or replace just the partitions that ``points`` has rows in (mode ``touched``)."""
-    rows = checked_dimension(points.select(*points_schema().names), dim).withColumn(_PREFIX, F.substring("point_id", 1, 2))
-    writer = rows.repartition(_PREFIX).write.partitionBy(_PREFIX)
+def write_points(points: DataFrame, path: str, dim: int, mode: str = "overwrite", *, partitioned: bool = True) -> None:
+    """Write a snapshot, or replace just the partitions that ``points`` has rows in (mode ``touched``).
+
+    Rows are dealt out by the id's first digits and rebalanced by size, so a prefix that is large is written
+    by several tasks. Not ``partitioned`` (for small versions) they are written as they come.
+    """
+    rows = checked_dimension(points.select(*points_schema().names), dim)
+    if not partitioned:
+        rows.write.mode("overwrite").parquet(path)
+        return
+    writer = rows.withColumn(_PREFIX, F.substring("point_id", 1, 2)).hint("rebalance", _PREFIX).write.partitionBy(_PREFIX)
     if mode == "touched":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").parquet(path)
 
 
+def latest_points(updates: DataFrame) -> DataFrame:
+    """One row of ``updates`` for each id: that of the greatest (path, index, text)."""
+    order = Window.partitionBy("point_id").orderBy(F.desc("source_path"), F.desc("chunk_index"), F.desc("text"))
+    return updates.select(*points_schema().names).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def upsert_points(existing: DataFrame, updates: DataFrame, *, delete_stale: bool = False) -> DataFrame:
     """``existing`` with each row of ``updates`` in place of the one with its id.
 
@@ -135,8 +148,7 @@ def upsert_points(existing: DataFrame, updates: DataFrame, *, delete_stale: bool
     out once, by id; nothing else is shuffled.
     """
     names = points_schema().names
-    order = Window.partitionBy("point_id").orderBy(F.desc("source_path"), F.desc("chunk_index"), F.desc("text"))
-    latest = updates.select(*names).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    latest = latest_points(updates)
     kept = existing.select(*names)
     if delete_stale:
         kept = kept.join(updates.select("source_path").distinct(), "source_path", "left_anti")

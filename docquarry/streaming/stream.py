@@ -44,6 +44,19 @@ def debounce(changes: DataFrame, *, gap: str = DEBOUNCE, delay: str | None = Non
     return runs.select("root", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
 
 
+def drained(changes: DataFrame, emitted: DataFrame, *, gap: str = DEBOUNCE) -> DataFrame:
+    """The runs of ``changes`` (all changes of a stopped stream, as a table) that are not among the ``emitted`` ones.
+
+    A stream in append mode closes a run when its watermark passes the run's end, so it stops with the last
+    ones open. They are found by the batch form: with what the stream has emitted, every run is handed over
+    once and none is lost. Late changes that the stream dropped come out too, in the run they belong to.
+    """
+    runs = debounce(changes, gap=gap)
+    known = emitted.select("root", F.explode("paths").alias("path"), "started").distinct()
+    open_paths = runs.select("root", "started", "ended", F.explode("paths").alias("path")).join(known, ["root", "started", "path"], "left_anti")
+    return open_paths.groupBy("root", "started", "ended").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
 def ingest_stream(
     files: DataFrame, *, points_path: str, ledger_path: str, checkpoint: str, available_now: bool = True, relist: Callable[[], DataFrame] | None = None, **options
 ) -> StreamingQuery:
@@ -61,7 +74,8 @@ def stream_cache(
 ) -> DataFrame:
     """``replay_cache`` of a stream: the state of a shard is its cache, of ``max_entries`` at most.
 
-    Within a micro-batch a shard's queries run in the order of ``order_col``.
+    Within a micro-batch a shard's queries run in the order of ``order_col``, for which a task holds that
+    shard's part of the micro-batch: bound it by the source's rate limit.
     """
     rows = log.select(F.col(shard_col).cast("string").alias("shard"), F.col(order_col).cast("long").alias("seq"), "query", "value").where("query is not null")
 

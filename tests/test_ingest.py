@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import ingest as ig
 from docquarry.sources import corpus as co
-from docquarry.streaming.stream import debounce, ingest_stream, stream_markdown
+from docquarry.streaming.stream import debounce, drained, ingest_stream, stream_markdown
 
 
 def put(root, name, content):
@@ -32,18 +32,18 @@ def test_tree_ledger_points(spark, tree, tmp_path):
     points, ledger = str(tmp_path / "points"), str(tmp_path / "ledger")
     run = lambda n, **x: ig.ingest(spark, co.read_markdown(spark, tree), points_path=points, ledger_path=ledger, dim=8, snapshot=f"s{n}", **x)
     assert run(1) == {"changed": 4, "rejected": 1, "committed": 3}
-    first = {r["point_id"]: r["text"] for r in co.read_points(spark, ig.latest_snapshot(spark, points)).collect()}
+    first = {r["point_id"]: r["text"] for r in ig.current_points(spark, points).collect()}
     assert sorted(first.values()) == ["AOne. Two.", "Grüße.", "Zwei Absätze."]
     assert run(2) == {"changed": 1, "rejected": 1, "committed": 0}
-    assert {r["point_id"]: r["text"] for r in co.read_points(spark, ig.latest_snapshot(spark, points)).collect()} == first
+    assert {r["point_id"]: r["text"] for r in ig.current_points(spark, points).collect()} == first
     time.sleep(0.01)
     put(tree, "deep/b.md", b"Changed.")
     assert run(3)["changed"] == 2
-    texts = sorted(r["text"] for r in co.read_points(spark, ig.latest_snapshot(spark, points)).collect())
+    texts = sorted(r["text"] for r in ig.current_points(spark, points).collect())
     assert texts == ["AOne. Two.", "Changed.", "Zwei Absätze."]  # the rest of the longer version stays
     put(tree, "deep/b.md", b"Changed again.")
     run(4, delete_stale=True)
-    texts = sorted(r["text"] for r in co.read_points(spark, ig.latest_snapshot(spark, points)).collect())
+    texts = sorted(r["text"] for r in ig.current_points(spark, points).collect())
     assert texts == ["AOne. Two.", "Changed again."]
 
 
@@ -53,6 +53,38 @@ def test_commit_check_blocks_changed_files(spark, tree, tmp_path):
     assert got == {"changed": 4, "rejected": 1, "committed": 2}
 
 
+def test_file_rewritten_while_it_is_embedded_comes_up_again(spark, tmp_path):
+    root, points, ledger = str(tmp_path / "notes"), str(tmp_path / "p"), str(tmp_path / "l")
+    put(root, "a.md", b"Old content here.")
+    path = os.path.join(root, "a.md")
+
+    def rewriting(texts):
+        if "Old" in texts[0]:
+            with open(path, "wb") as f:
+                f.write(b"New content stands here.")
+        return [[1.0, 0.0]] * len(texts)
+
+    run = lambda n: ig.ingest(
+        spark, co.read_markdown(spark, root), points_path=points, ledger_path=ledger, dim=2, embed=rewriting, relist=lambda: co.read_markdown(spark, root), snapshot=n
+    )
+    assert run("one") == {"changed": 1, "rejected": 0, "committed": 0}
+    assert [r["text"] for r in ig.current_points(spark, points).collect()] == ["Old content here."]
+    assert run("two") == {"changed": 1, "rejected": 0, "committed": 1}
+    assert [r["text"] for r in ig.current_points(spark, points).collect()] == ["New content stands here."]
+    assert run("three") == {"changed": 0, "rejected": 0, "committed": 0}
+
+
+def test_versions_are_written_together(spark, tmp_path):
+    root, points, ledger = str(tmp_path / "notes"), str(tmp_path / "p"), str(tmp_path / "l")
+    for n in range(4):
+        put(root, f"f{n % 3}.md", f"Text {n}.".encode())
+        ig.ingest(spark, co.read_markdown(spark, root), points_path=points, ledger_path=ledger, dim=2, snapshot=f"v{n}", compact_after=2)
+        assert len(ig.versions(spark, points)) <= 2
+    assert sorted(r["text"] for r in ig.current_points(spark, points).collect()) == ["Text 1.", "Text 2.", "Text 3."]
+    assert ig.current_ledger(spark, ledger).count() == 3
+    assert ig.current_points(spark, str(tmp_path / "none")).count() == 0 == ig.current_ledger(spark, str(tmp_path / "none")).count()
+
+
 def test_ledger_json_and_missing(spark, tmp_path):
     assert co.read_ledger(spark, str(tmp_path / "none")).count() == 0
     rows = [("a", "1"), ("b", "2")]
@@ -114,7 +146,7 @@ def test_stream_of_files(spark, tree, tmp_path):
     for _ in range(2):
         query = ingest_stream(stream_markdown(spark, tree), points_path=points, ledger_path=ledger, checkpoint=str(tmp_path / "cp"), dim=4)
         assert query.awaitTermination(120)
-        texts = sorted(r["text"] for r in co.read_points(spark, ig.latest_snapshot(spark, points)).collect())
+        texts = sorted(r["text"] for r in ig.current_points(spark, points).collect())
         assert texts == ["AOne. Two.", "Grüße.", "Zwei Absätze."]
         put(tree, "ignored.txt", b"x")
 
@@ -129,3 +161,6 @@ def test_debounce_batch_and_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("runs").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted((r["root"], list(r["paths"])) for r in spark.table("runs").collect()) == got[:3]
+    left = drained(frame, spark.table("runs"))
+    assert [(r["root"], list(r["paths"])) for r in left.collect()] == got[3:]
+    assert drained(frame, debounce(frame)).count() == 0
