@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import jaccard, trigrams
 from docquarry.functions.vectors import DIMENSION, LSH_BITS, LSH_SEED, buckets, bytes_vector, embed_query, lsh_bucket, quantize, quantized, quantized_cosine
+from docquarry.sources.scratch import materialize
 
 # Cosine of a sure hit and of the grey zone, trigram overlap asked for in it, cache size.
 SURE = 0.95
@@ -52,6 +53,8 @@ def probe_cache(
     """
     asked = queries.groupBy("query").agg(F.any_value("q").alias("q"), F.any_value("bucket").alias("bucket"))
     entries = cache.select("query", "q", "bucket", "value", "seq")
+    # Vectors and codes are written, so that the helpers behind them run once and not for each filter on them.
+    asked, entries = materialize(asked, "asked"), materialize(entries, "entries")
     pairs = lsh_candidates(asked, entries).select(
         "query", F.col("c_query").alias("matched_query"), F.col("c_value").alias("value"), F.col("c_seq").alias("_seq"),
         quantized_cosine(F.col("q"), F.col("c_q")).alias("score"),
@@ -179,12 +182,14 @@ def answer_queries(queries: DataFrame, cache: DataFrame, search, *, dim: int = D
     """Answers (query_id, query, outcome, answer) of a query table, and the cache with the new entries.
 
     Hits take the cached value; misses go to ``search`` (query_id, query -> query_id, answer), each different
-    text once. An answer that says nothing matched is cached too.
+    text once. An answer that says nothing matched is cached too. Outcomes and fresh answers are written once,
+    as several results rest on them.
     """
     coded = cache_entries(queries.select("query_id", "query"), dim=dim, num_bits=num_bits, seed=seed)
-    probed = probe_cache(coded, cache)
+    probed = materialize(probe_cache(coded, cache), "probed")
     missed = probed.where("outcome = 'Miss'").groupBy("query").agg(F.min("query_id").alias("query_id"))
     fresh = missed.join(search(missed.select("query_id", "query")), "query_id").select("query", F.col("answer").alias("_fresh"))
+    fresh = materialize(fresh, "fresh")
     answers = probed.join(fresh, "query", "left").select("query_id", "query", "outcome", F.coalesce("value", "_fresh").alias("answer"))
     last = cache.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
     new = cache_entries(fresh, dim=dim, num_bits=num_bits, seed=seed).join(F.broadcast(last))

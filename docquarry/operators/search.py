@@ -15,6 +15,8 @@ JOINER = "\n---\n"
 NO_MATCH = "No wiki chunks matched the query."
 #: Queries whose vectors may go along with a task; more are dealt out in blocks of this size.
 QUERY_BLOCK = 2048
+#: Bytes of query vectors that may go along with a task.
+QUERY_BYTES = 32 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,11 +26,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), F.lit(0.0)).otherwise(dot / (norm(a) * norm(b)))
 
 
-def similarity_join(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """All (query_id, point_id, score), in plain expressions: for small tables and cross-checks only."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    p = points.select("point_id", F.col("embedding").alias("_p"))
-    return q.join(p, F.size("_q") == F.size("_p")).select("query_id", "point_id", cosine(F.col("_q"), F.col("_p")).alias("score"))
+def similarity_join(queries: DataFrame, points: DataFrame, *, query_block: int = 0) -> DataFrame:
+    """All (query_id, point_id, score) of vectors of one size: no threshold, so as many rows as pairs, by its nature.
+
+    Both sides are dealt into blocks, and each pair of blocks is multiplied as matrices in one task.
+    """
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    narrow = points.where(F.col("embedding").isNotNull()).select("point_id", F.col("embedding").alias("_p"))
+    return _meet_in_blocks(asked, narrow, None, max(1, -(-asked.count() // (query_block or QUERY_BLOCK))))
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -37,10 +42,10 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _local_top(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _local_top(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k best of each row of ``scores``; ties at the border by key."""
     n = scores.shape[1]
-    if n <= k:
+    if k is None or n <= k:
         return np.repeat(np.arange(len(ids)), n), np.tile(np.arange(n), len(ids))
     border = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
     rows, cols = np.nonzero(scores >= border)
@@ -56,15 +61,16 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = TOP_K, *, payload: boo
     ``queries``: query_id (long, unique), embedding; ``points``: point_id, embedding, source_path, text. Ties go
     to the smaller point_id. Vectors that are null or of another size than the query's do not match.
 
-    Up to ``query_block`` queries (their number is counted first) go along with the tasks, and the points stay
-    where they are. More queries and the points are both dealt into blocks by a hash, and each pair of blocks
+    Up to ``query_block`` queries of up to QUERY_BYTES together (both are counted first) go along with the
+    tasks, and the points stay where they are. More queries and the points are both dealt into blocks by a hash, and each pair of blocks
     meets in one task. Either way blocks are multiplied as matrices, k rows a query and block go on to one
     window per query, and texts join at the end, for the k rows a query that are left.
     """
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     narrow = points.where(F.col("embedding").isNotNull()).select("point_id", F.col("embedding").alias("_p"))
-    n = asked.count()
-    found = _meet_together(asked, narrow, k) if n <= query_block else _meet_in_blocks(asked, narrow, k, -(-n // query_block))
+    n, components = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    blocks = max(-(-n // query_block), -(-8 * components // QUERY_BYTES))
+    found = _meet_together(asked, narrow, k) if blocks <= 1 else _meet_in_blocks(asked, narrow, k, blocks)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("point_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     if not payload:
@@ -77,7 +83,7 @@ _FOUND = "query_id long, point_id string, score double"
 POINT_BLOCK = 16384
 
 
-def _matched(ids: np.ndarray, vectors: pd.Series, points: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+def _matched(ids: np.ndarray, vectors: pd.Series, points: pd.DataFrame, k: int | None) -> Iterator[pd.DataFrame]:
     sizes, lengths = vectors.map(len).to_numpy(), points["_p"].map(len).to_numpy()
     for n in np.intersect1d(sizes, lengths):
         own, part = ids[sizes == n], points[lengths == n]
@@ -97,7 +103,7 @@ def _meet_together(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return points.mapInPandas(run, _FOUND)
 
 
-def _meet_in_blocks(queries: DataFrame, points: DataFrame, k: int, query_blocks: int) -> DataFrame:
+def _meet_in_blocks(queries: DataFrame, points: DataFrame, k: int | None, query_blocks: int) -> DataFrame:
     point_blocks = max(1, -(-points.count() // POINT_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("_b", every(point_blocks))

@@ -135,7 +135,37 @@ ORACLES = {
         FROM packed JOIN paragraphs USING (source_path) WHERE p <> ''),
       places AS (SELECT source_path, unnest(range(len(c))) AS chunk_index FROM chosen)
       SELECT source_path, chunk_index, {_UUID.format(name="source_path || '#' || chunk_index")} AS point_id FROM places""",
-    "byte_slices": "SELECT doc_id::VARCHAR AS source_path, true AS whole, true AS bounded, true AS enough FROM documents",
+    "byte_slices": """
+      WITH RECURSIVE cuts AS (
+        SELECT doc_id::VARCHAR AS source_path, -1::BIGINT AS place, '' AS text, text AS rest FROM documents
+        UNION ALL
+        SELECT source_path, place + 1, substr(rest, 1, m), substr(rest, m + 1) FROM (
+          SELECT source_path, place, rest,
+                 list_max(list_filter(range(least(200, length(rest)), least(800, length(rest)) + 1), lambda n: strlen(substr(rest, 1, n)) <= 800)) AS m
+          FROM cuts WHERE rest <> ''))
+      SELECT source_path, place, text FROM cuts WHERE place >= 0""",
+    "decode_documents": """
+      WITH t AS (SELECT doc_id::VARCHAR AS source_path, lang = 'de' AS rejected, replace(text, '. ', '.' || chr(10)) AS t FROM documents)
+      SELECT source_path, rejected, CASE WHEN NOT rejected THEN md5(CASE WHEN t = '' OR ends_with(t, chr(10)) THEN t ELSE t || chr(10) END) END AS text_md5 FROM t""",
+    "chunk_markdown": r"""
+      WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS p, lang, source AS s, regexp_extract(text, '[a-zA-Z]+') AS w FROM documents),
+      rows AS (
+        SELECT p, unnest(range(1, 41)) AS i, '| ' || unnest(range(1, 41)) || ' | ' || s || ' xxxxxxxxxxxxxxxxxxxx ' || chr(10) AS r FROM d),
+      steps AS (
+        SELECT p, 0::BIGINT AS i, 'Table' || chr(10) || '| n | s ' || chr(10) AS block, '' AS done FROM d
+        UNION ALL
+        SELECT p, i, CASE WHEN strlen(block || r) > 800 THEN '| n | s ' || chr(10) ELSE block || r END,
+               CASE WHEN strlen(block || r) > 800 THEN trim(block || r, ' ' || chr(10)) ELSE '' END
+        FROM (SELECT s.p, s.i + 1 AS i, block, r FROM steps s JOIN rows n ON n.p = s.p AND n.i = s.i + 1)),
+      parts AS (
+        SELECT p, 1 AS a, 0 AS b, 'Document ' || p || 'In ' || lang || ' from the ' || s || '.' AS t FROM d
+        UNION ALL SELECT p, 2, 0, 'first' FROM d
+        UNION ALL SELECT p, 3, 0, w || 'inner' FROM d
+        UNION ALL SELECT p, 4, 0, '```' || chr(10) || 'print(' || p || ')' || chr(10) || '```' FROM d
+        UNION ALL SELECT p, 5, i, done FROM steps WHERE done <> ''
+        UNION ALL SELECT p, 6, 0, trim(block, ' ' || chr(10)) FROM steps WHERE i = 40
+        UNION ALL SELECT p, 7, 0, w || chr(10) || 'ref & ' || p FROM d)
+      SELECT p AS source_path, row_number() OVER (PARTITION BY p ORDER BY a, b) - 1 AS chunk_index, t AS text FROM parts WHERE t <> ''""",
     "content_hash": f"WITH {_HASHED} SELECT * FROM hashed",
     "changed_documents": f"""WITH {_HASHED}, {_LEDGER}
       SELECT h.source_path, h.content_hash, {_STATUS} AS status FROM hashed h LEFT JOIN ledger l ON h.source_path = l.source_path""",
@@ -160,9 +190,9 @@ ORACLES = {
       WITH w AS (SELECT DISTINCT item_id, h[2 * i + 1 : 2 * i + 6] AS g FROM (
         SELECT item_id, hex(encode(text)) AS h, unnest(range(strlen(text) - 2)) AS i FROM benchmark)),
       n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
-      b AS (SELECT x.item_id, y.item_id AS other_id, count(*) AS k FROM w x JOIN w y ON x.g = y.g AND x.item_id <= y.item_id GROUP BY ALL)
+      b AS (SELECT x.item_id, count(*) AS k FROM w x JOIN w y ON x.g = y.g AND x.item_id + 1 = y.item_id GROUP BY ALL)
       SELECT p.item_id, q.item_id AS other_id, round((coalesce(k, 0)::FLOAT / (p.n + q.n - coalesce(k, 0))::FLOAT)::FLOAT::DOUBLE, 4) AS jaccard
-      FROM n p JOIN n q ON p.item_id <= q.item_id LEFT JOIN b ON b.item_id = p.item_id AND b.other_id = q.item_id""",
+      FROM n p JOIN n q ON p.item_id + 1 = q.item_id LEFT JOIN b ON b.item_id = p.item_id""",
     "quantize": f"""
       WITH q AS (SELECT vec_id, {_quantized("embedding")} FROM embeddings)
       SELECT vec_id, list_aggregate(list_transform(vals, lambda x: x::VARCHAR), 'string_agg', ',') AS values,
@@ -177,8 +207,8 @@ ORACLES = {
       SELECT vec_id, {_bucket("vals", 64, 16)} AS bucket_16, {_bucket("vals", 64, 64)} AS bucket_64 FROM q""",
     "lsh_candidates": f"""
       WITH q AS (SELECT vec_id, {_quantized("embedding")} FROM embeddings),
-      b AS (SELECT vec_id, {_bucket("vals", 64, 16)} AS bucket FROM q WHERE norm > 0)
-      SELECT x.vec_id, count(*) AS n_candidates, min(y.vec_id) AS first_candidate FROM b x JOIN b y ON x.bucket = y.bucket GROUP BY x.vec_id""",
+      b AS (SELECT vec_id, {_bucket("vals", 64, 6)} AS bucket FROM q WHERE norm > 0)
+      SELECT x.vec_id, y.vec_id AS candidate, x.bucket FROM b x JOIN b y ON x.bucket = y.bucket WHERE x.vec_id % 100 = 0""",
     "embed_chunk": f"WITH {_bytes('benchmark', 'item_id', 'text', False)} SELECT k AS item_id, place, round(x, 4) AS x FROM unit",
     "embed_query": f"WITH {_bytes('benchmark', 'item_id', 'text', True)} SELECT k AS item_id, place, round(x, 4) AS x FROM unit",
     "with_fallback": f"""
@@ -186,14 +216,34 @@ ORACLES = {
       own AS (SELECT k, max(CASE WHEN place = 0 THEN x END) AS a, max(CASE WHEN place = 1 THEN x END) AS b FROM unit GROUP BY k)
       SELECT vec_id, 64 AS dim, round(CASE WHEN label = 0 THEN a ELSE embedding[1]::DOUBLE END, 4) AS first,
              round(CASE WHEN label = 0 THEN b ELSE embedding[2]::DOUBLE END, 4) AS second FROM embeddings JOIN own ON vec_id = k""",
+    "with_query_fallback": f"""
+      WITH {_bytes("embeddings", "vec_id", "'v' || vec_id", True)},
+      own AS (SELECT k, max(CASE WHEN place = 0 THEN x END) AS a, max(CASE WHEN place = 1 THEN x END) AS b FROM unit GROUP BY k)
+      SELECT vec_id, 64 AS dim, round(CASE WHEN label = 1 THEN a ELSE embedding[1]::DOUBLE END, 4) AS first,
+             round(CASE WHEN label = 1 THEN b ELSE embedding[2]::DOUBLE END, 4) AS second FROM embeddings JOIN own ON vec_id = k""",
+    "base64_vectors": """
+      WITH h AS (SELECT vec_id, md5(vec_id::VARCHAR) AS h FROM embeddings),
+      b AS (
+        SELECT vec_id, place, list_transform(range(3), lambda i: ('0x' || h[6 * place + 2 * i + 1 : 6 * place + 2 * i + 2])::BIGINT) AS b
+        FROM h, (VALUES (0::BIGINT), (1)) t(place))
+      SELECT vec_id, place, round(CASE WHEN place = 1 THEN -1 ELSE 1 END * pow(2::DOUBLE, b[3] // 128 - 1)
+        * (1 + ((b[3] % 128) * 65536 + b[2] * 256 + b[1]) / 8388608.0::DOUBLE), 6) AS x FROM b""",
+    "similarity_join": f"""
+      WITH {_POINTS}
+      SELECT q.vec_id AS query_id, p.point_id, round(round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12), 4) AS score
+      FROM points q, points p WHERE q.vec_id % 100 = 0""",
     "topk_search": f"""
-      WITH {_POINTS}, {_CENTRES},
-      scored AS (SELECT query_id, point_id, source_path, round(list_cosine_similarity(c::DOUBLE[], embedding::DOUBLE[]), 12) AS s FROM centres, points),
+      WITH {_POINTS},
+      scored AS (
+        SELECT q.vec_id AS query_id, p.point_id, p.source_path, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS s
+        FROM points q, points p WHERE q.vec_id % 100 = 0),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM scored)
       SELECT query_id, rank::INT AS rank, point_id, source_path, round(s, 4) AS score FROM ranked WHERE rank <= 5""",
     "answer_queries": f"""
-      WITH {_POINTS}, {_CENTRES},
-      scored AS (SELECT query_id, point_id, text, round(list_cosine_similarity(c::DOUBLE[], embedding::DOUBLE[]), 12) AS s FROM centres, points),
+      WITH {_POINTS},
+      scored AS (
+        SELECT q.vec_id AS query_id, p.point_id, p.text, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS s
+        FROM points q, points p WHERE q.vec_id % 100 = 0),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM scored)
       SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS answer FROM ranked WHERE rank <= 5 GROUP BY query_id""",
     "probe_cache": f"""

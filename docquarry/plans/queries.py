@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
@@ -13,6 +13,7 @@ from docquarry.operators import ingest as ig
 from docquarry.operators import search as se
 from docquarry.operators import wire as wi
 from docquarry.sources import corpus as co
+from docquarry.sources.scratch import materialize, spread
 from docquarry.streaming.stream import debounce
 
 DIM = 64
@@ -23,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spread(co.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +55,31 @@ def sentence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _documents(spark, sf_dir).select("source_path", byte_slices(F.col("text"), MAX_BYTES).alias("s"), "text")
-    biggest = F.array_max(F.transform("s", lambda x: F.octet_length(x)))
-    return cut.select(
-        "source_path", (F.array_join("s", "") == F.col("text")).alias("whole"), (F.coalesce(biggest, F.lit(0)) <= MAX_BYTES).alias("bounded"),
-        (F.size("s") >= F.ceil(F.octet_length("text") / MAX_BYTES)).alias("enough"),
+    cut = _documents(spark, sf_dir).select("source_path", F.posexplode(byte_slices(F.col("text"), MAX_BYTES)).alias("place", "text"))
+    return cut.select("source_path", F.col("place").cast("long").alias("place"), "text")
+
+
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes with line ends of two characters; those in German lose their last byte's meaning and are rejected."""
+    raw = F.encode(F.regexp_replace("text", r"\. ", ".\r\n"), "utf-8")
+    content = F.when(F.col("lang") == "de", F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    files = spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), content.alias("content")))
+    texts, rejects = co.decode_documents(files)
+    good = texts.select("source_path", F.lit(False).alias("rejected"), F.md5("text").alias("text_md5"))
+    return good.unionByName(rejects.select("source_path", F.lit(True).alias("rejected"), F.lit(None).cast("string").alias("text_md5")))
+
+
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's facts and text as a Markdown text of a heading, a list, code, a table and a quote."""
+    word, number = F.regexp_extract("text", "[a-zA-Z]+", 0), F.col("doc_id").cast("string")
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | **"), "source", F.lit(f"** {'x' * 20} |"))), "\n")
+    text = F.concat(
+        F.lit("# Document "), number, F.lit("\n\nIn *"), "lang", F.lit("* from [the `"), "source", F.lit("`](http://x.y/"), number, F.lit(" 'z').\n\n1. first\n2. "), word,
+        F.lit("\n   - inner\n\n```py\nprint("), number, F.lit(")\n```\n\nTable\n-----\n\n| n | s |\n|---|---|\n"), rows, F.lit("\n\n> "), word, F.lit("\n> [ref] &amp; <b>"), number,
+        F.lit("</b>\n\n[ref]: http://r\n<!-- gone -->\n"),
     )
+    documents = _table(spark, sf_dir, "documents").select(number.alias("source_path"), text.alias("text"))
+    return chunk_documents(spread(documents), MAX_BYTES)
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +159,11 @@ def trigram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item against the next one."""
     items = _table(spark, sf_dir, "benchmark").select("item_id", tx.trigrams(F.col("text")).alias("t"))
-    other = items.select(F.col("item_id").alias("other_id"), F.col("t").alias("u"))
+    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other_id"), F.col("t").alias("u"))
     overlap = F.round(tx.jaccard(F.col("t"), F.col("u")).cast("double"), 4)
-    return items.join(other, F.col("item_id") <= F.col("other_id")).select("item_id", "other_id", overlap.alias("jaccard"))
+    return items.join(other, "item_id").select("item_id", "other_id", overlap.alias("jaccard"))
 
 
 def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,11 +192,10 @@ def lsh_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many vectors share each vector's bucket of 16 bits."""
+    """The vectors in the bucket of 6 bits of each vector whose id is divisible by 100."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", vx.quantize(F.col("embedding")).alias("q"))
-    coded = rows.withColumn("bucket", vx.lsh_bucket(F.col("q.values"), 16))
-    pairs = ca.lsh_candidates(coded, coded)
-    return pairs.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("c_vec_id").alias("first_candidate"))
+    coded = materialize(rows.withColumn("bucket", vx.lsh_bucket(F.col("q.values"), 6)), "coded")
+    return ca.lsh_candidates(coded.where("vec_id % 100 = 0"), coded).select("vec_id", F.col("c_vec_id").alias("candidate"), "bucket")
 
 
 def _text_vectors(spark: SparkSession, sf_dir: str, signed: bool) -> DataFrame:
@@ -201,20 +221,48 @@ def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("vec_id", F.size("v").alias("dim"), F.round(F.get("v", F.lit(0)).cast("double"), 4).alias("first"), F.round(F.get("v", F.lit(1)).cast("double"), 4).alias("second"))
 
 
+def with_query_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the space of queries."""
+    points = _points(spark, sf_dir)
+    short = F.when(F.col("label") == 1, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    fixed = points.select("vec_id", vx.with_fallback(short, F.col("text"), DIM, space="query").alias("v"))
+    return fixed.select("vec_id", F.size("v").alias("dim"), F.round(F.get("v", F.lit(0)).cast("double"), 4).alias("first"), F.round(F.get("v", F.lit(1)).cast("double"), 4).alias("second"))
+
+
+def base64_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two little-endian numbers between 1/2 and 2, their low bytes from a digest of the id, as base64 and back."""
+    digest = F.md5(F.col("vec_id").cast("string"))
+    raw = F.concat(F.substring(digest, 1, 6), F.lit("3f"), F.substring(digest, 7, 6), F.lit("bf"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.base64(F.unhex(raw)).alias("b"))
+    return rows.select("vec_id", F.posexplode(vx.decode_f32_base64(F.col("b"))).alias("place", "x")).select(
+        "vec_id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 6).alias("x")
+    )
+
+
 def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).cast("float").alias("m"))
     return means.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select("query_id", F.col("s.m").alias("embedding"))
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each vector whose id is divisible by 100 with every vector."""
+    found = se.similarity_join(_searched(spark, sf_dir), _points(spark, sf_dir))
+    return found.select("query_id", "point_id", F.round("score", 4).alias("score"))
+
+
 def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 vectors nearest to the mean vector of each label."""
-    found = se.top_k(_centroids(spark, sf_dir), _points(spark, sf_dir))
+    """The 5 vectors nearest to each vector whose id is divisible by 100."""
+    found = se.top_k(_searched(spark, sf_dir), _points(spark, sf_dir))
     return found.select("query_id", "rank", "point_id", "source_path", F.round("score", 4).alias("score"))
 
 
 def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.search(_centroids(spark, sf_dir), _points(spark, sf_dir))
+    return se.search(_searched(spark, sf_dir), _points(spark, sf_dir))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,11 +271,16 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All different user turns with the place of their first occurrence."""
+    turns = _asked(spark, sf_dir).where("role = 'user'").groupBy("query").agg(F.min(F.col("conv_id") * 1000000 + F.col("turn")).alias("seq"))
+    return turns.select("query", "seq", F.md5("query").alias("value"))
+
+
 def probe_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns probe a cache of all different user turns."""
     asked = ca.cache_entries(_asked(spark, sf_dir), dim=DIM)
-    entries = _asked(spark, sf_dir).where("role = 'user'").groupBy("query").agg(F.min(F.struct("conv_id", "turn")).alias("m"))
-    cached = ca.cache_entries(entries.select("query", (F.col("m.conv_id") * 1000000 + F.col("m.turn")).alias("seq"), F.md5("query").alias("value")), dim=DIM)
+    cached = ca.cache_entries(_entries(spark, sf_dir), dim=DIM)
     found = ca.probe_cache(asked.select("query_id", "query", "q", "bucket"), cached)
     return found.select("query_id", "outcome", "matched_query", F.round(F.col("score").cast("double"), 2).alias("score"), "value")
 
@@ -240,10 +293,8 @@ def replay_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cached_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items asked through a cache of the user turns; misses search the documents' chunks."""
-    points = _chunk_points(spark, sf_dir)
-    entries = _asked(spark, sf_dir).where("role = 'user'").select("query").distinct()
-    order = F.row_number().over(Window.partitionBy(F.substring(F.md5("query"), 1, 2)).orderBy("query")).cast("long")
-    cached = ca.cache_entries(entries.select("query", order.alias("seq"), F.md5("query").alias("value")), dim=DIM)
+    points = materialize(_chunk_points(spark, sf_dir), "points")
+    cached = ca.cache_entries(_entries(spark, sf_dir), dim=DIM)
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
     def fresh(missed: DataFrame) -> DataFrame:
@@ -314,4 +365,4 @@ def _chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to vectors; the top 5 chunks of each benchmark item, as its answer."""
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), vx.embed_chunk(F.col("text"), DIM).alias("embedding"))
-    return se.search(items, _chunk_points(spark, sf_dir))
+    return se.search(items, materialize(_chunk_points(spark, sf_dir), "points"))

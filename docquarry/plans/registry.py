@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pack_sentences": q.sentence_packs,
     "byte_slices": q.slices,
     "chunk_documents": q.chunks,
+    "decode_documents": q.decoded,
+    "chunk_markdown": q.markdown_chunks,
     "content_hash": q.content_hashes,
     "changed_documents": q.changed_documents,
     "update_ledger": q.update_ledger,
@@ -37,6 +39,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_chunk": q.embed_chunk,
     "embed_query": q.embed_query,
     "with_fallback": q.with_fallback,
+    "with_query_fallback": q.with_query_fallback,
+    "base64_vectors": q.base64_vectors,
+    "similarity_join": q.similarity_join,
     "topk_search": q.topk_search,
     "answer_queries": q.answer_queries,
     "probe_cache": q.probe_cache,
