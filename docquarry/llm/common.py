@@ -1,14 +1,17 @@
-"""What the operators of this subpackage share: written intermediate tables, tokens, batches."""
+"""What the operators of this subpackage share: tokens, batches, and the library's written tables."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.sources.scratch import discard, materialize, spread
+
+__all__ = ["LOWER_ASCII", "bounded_batches", "discard", "materialize", "n_words", "spread", "unit_interval", "with_columns_free"]
+
 #: Word separators of the corpus contracts: space, tab, LF, VT, FF, CR.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,44 +21,6 @@ LOWER_ASCII = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the one that all executors share: spark.checkpoint.dir, else the warehouse.
-
-    It is deleted when the driver's JVM ends.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{(found or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/docquarry-{spark.sparkContext.applicationId}"
-    fs, path = _file_system(spark, folder)
-    fs.deleteOnExit(path)
-    return folder
-
-
-def _file_system(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage, so that a lost executor costs a re-read and not a re-computation, and lets
-    several consumers read a narrow result that was expensive to make.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.written_at = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that no frame reads any more."""
-    for table in tables:
-        fs, path = _file_system(table.sparkSession, table.written_at)
-        fs.delete(path, True)
-
-
 def bounded_batches(batches: Iterator[pa.RecordBatch], records: int = 1000, n_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``records`` rows and about ``n_bytes`` (a row that is longer stands by itself).
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import bounded_batches, with_columns_free
+from docquarry.llm.common import bounded_batches, spread, with_columns_free
 
 #: Fixed values of the query: its base phrases and their labels.
 PHRASES = (
@@ -235,5 +235,5 @@ def scan_licenses(
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return scan_licenses(docs).select("doc_id", *ADDED[:7])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, spread, with_columns_free
 
 MIN_WORDS = 50
 ADDED = ("n_lines", "n_removed", "removed_words", "removed")
@@ -212,7 +212,7 @@ def dedup_lines(
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "removed_words", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 

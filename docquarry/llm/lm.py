@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, spread, with_columns_free
 
 ADDED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Keys of the end of a text and of the context before its first word: no word hashes to an even number.
@@ -381,5 +381,5 @@ def score_texts(
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return score_texts(docs).select("doc_id", *ADDED)

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import n_words, unit_interval, with_columns_free
+from docquarry.llm.common import materialize, n_words, spread, unit_interval, with_columns_free
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 _KEY = ("_src", "_size", "_sub")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums (of whole numbers) in an order, up to and with each row, without one task for all rows.
+
+    The rows are dealt out by ranges of the order; a window runs within each range, and what stands in the
+    ranges before it is added from a table of one row a range.
+    """
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(c).alias(f"_all{n}") for n, c in sums.items()])
+    totals = totals.select("_r", *[F.coalesce(F.sum(f"_all{n}").over(before), F.lit(0)).alias(f"_all{n}") for n in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = ranges.join(F.broadcast(totals), F.col("_range") == F.col("_r"))
+    return joined.withColumns({n: F.sum(c).over(within) + F.col(f"_all{n}") for n, c in sums.items()}).select(*df.columns, *sums)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, ceiling: float) -> DataFrame:
     """Targets of sources: ``share`` of all sizes dealt by weight, none above ``ceiling`` times its source.
 
@@ -21,26 +36,30 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cei
     until none is above: with sources in order of ceiling / weight, source k is full exactly when its
     ratio is at most (total - ceilings before k) / (weights from k on); that level rises up to the first
     source that is not full and falls after it, so the largest level of a source not full is the one.
-    Only this table of one row per source passes through a single task.
+    Ranks and running sums are worked out range by range, so no task holds all sources.
     """
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_src").asc_nulls_last())))
+    ranked = _running(sizes, [F.col("_src").isNull(), F.col("_src")], {"_rank": F.lit(1)})
     weight = F.element_at(
         F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int")
     )
-    everything = Window.partitionBy()
-    order = Window.orderBy("_ratio", "_rank")
-    level = (
-        ranked.withColumn("_weight", weight)
-        .withColumn("_cap", F.col("source_size") * F.lit(float(ceiling)))
-        .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-        .withColumn("_total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("_before", F.sum("_cap").over(order) - F.col("_cap"))
-        .withColumn("_rest", F.sum("_weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_before")) / F.col("_rest"))
-        .withColumn("_found", F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(everything))
-    )
-    target = F.least(F.col("_cap"), F.coalesce(F.col("_found") * F.col("_weight"), F.col("_cap")))
-    return level.select("_src", "source_size", target.alias("target"))
+    weighed = ranked.withColumn("_weight", weight).withColumn("_cap", F.col("source_size") * F.lit(float(ceiling)))
+    weighed = weighed.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+    summed = _running(weighed, [F.col("_ratio"), F.col("_rank")], {"_caps": F.col("_cap"), "_weights": F.col("_weight")})
+    summed = materialize(summed, "mix-levels")
+    total, all_weights = summed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0.0))).first()
+    level = (F.lit(total * float(share)) - (F.col("_caps") - F.col("_cap"))) / (F.lit(all_weights) - F.col("_weights") + F.col("_weight"))
+    found = summed.agg(F.max(F.when(F.col("_ratio") > level, level))).first()[0]
+    target = F.col("_cap") if found is None else F.least(F.col("_cap"), F.lit(found) * F.col("_weight"))
+    return summed.select("_src", "source_size", target.alias("target"))
+
+
+def _text_digest(docs: DataFrame, text_col: str) -> Column:
+    return F.coalesce(F.md5(F.col(text_col)), F.lit("")) if text_col in docs.columns else F.lit("")
+
+
+def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``size`` in place of the text, written once: texts are counted in one scan."""
+    return materialize(with_columns_free(docs, "size").withColumn("size", n_words(F.col(text_col))).drop(text_col), "mix-sizes")
 
 
 def mix_sources(
@@ -53,11 +72,13 @@ def mix_sources(
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: str = "mix",
+    size_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken: how often the mix takes each document.
 
     Each document of a source is expected rate = target / source_size times. Documents of a source stand
-    in order of falling size (ties: two hex digits of md5 of the id, then the id); document i emits once
+    in order of falling size (ties: three hex digits of md5 of the id, or of the text where the id is null,
+    then the id); document i emits once
     for each whole number between u + (i-1) * rate and u + i * rate, where u is one random offset of the
     source. As neighbours have like sizes, the words taken miss the target by about one large document.
 
@@ -65,16 +86,18 @@ def mix_sources(
     size) and by (source, size, md5 digits) are summed first, and only the order within the last group
     is a window over rows, so neither a hot source nor a hot size meets in one task.
 
+    ``size_col`` names a column that has the sizes already, where the text is not at hand (``sized``).
+
     Null text: size 0. Null source: a source of its own, last. Null ids: in any order after the others.
     Repeated rows count one by one. Size 0 documents are placed like others (they add no words); a source
     of size 0 has target 0 and takes none. No rows: no rows. Columns named like the added ones are replaced.
     """
     base = (
-        with_columns_free(docs, *ADDED, *_KEY)
-        .withColumn("size", n_words(F.col(text_col)))
+        with_columns_free(docs, *[c for c in ADDED if c != size_col], *_KEY, "_in")
+        .withColumn("size", F.col(size_col) if size_col else n_words(F.col(text_col)))
         .withColumn("_src", F.col(source_col).cast("string"))
         .withColumn("_size", -F.col("size"))
-        .withColumn("_sub", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 2))
+        .withColumn("_sub", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), _text_digest(docs, text_col))), 1, 3))
     )
     ranked = base.withColumn("_in", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.col(id_col).asc_nulls_last())))
     groups = (
@@ -124,15 +147,15 @@ def emit_mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return mix_sources(sized(docs), size_col="size").select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS sub
+         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3) AS sub
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import bounded_batches, with_columns_free
+from docquarry.llm.common import bounded_batches, spread, with_columns_free
 from docquarry.llm.lm import mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -506,7 +506,7 @@ def decode_pieces(frame: DataFrame, *, pieces_col: str = "pieces", into: str = "
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     back = decode_pieces(encode_pieces(docs))
     return back.select(
         "doc_id",

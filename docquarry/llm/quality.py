@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import SPACES, materialize, with_columns_free
+from docquarry.llm.common import SPACES, materialize, spread, with_columns_free
 
 COUNTERS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 ADDED = (*COUNTERS, "base_failed", "rules_failed", "host_docs", "host_failures", "host_rate", "host_failed", "kept")
@@ -162,7 +162,7 @@ def apply_quality_rules(
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return apply_quality_rules(docs).select(
         "doc_id", *COUNTERS, "base_failed", "kept", "rules_failed", "host_docs", "host_failures", "host_rate", "host_failed"
     )

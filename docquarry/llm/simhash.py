@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import LOWER_ASCII, bounded_batches, discard, materialize, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, discard, materialize, spread, with_columns_free
 from docquarry.llm.components import components
 
 ADDED = ("fingerprint", "component_id")
@@ -231,7 +231,7 @@ def simhash_near_duplicates(
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return simhash_near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,9 @@ _FILTER = 1 << 27
 _SEEN = 1 << 20
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: np.ndarray) -> np.ndarray:
     """Sets of n members share one of their first so many members with every set of Jaccard 4/5 or more."""
-    return n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
+    return np.where(n > 0, n - -(-LEAST[0] * n // LEAST[1]) + 1, 0)
 
 
 def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -89,21 +90,24 @@ def prefixes(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for key, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key in seen:
-                    continue
+            new = np.zeros(batch.num_rows, bool)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                new[i] = key not in seen
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(key)
-                s = members.values.to_numpy(zero_copy_only=False)
-                late = np.isin(s, last.value)
-                prefix = np.concatenate((s[~late], s[late]))[: prefix_length(len(s))]
-                for column, x in zip(columns, (np.full(len(prefix), key), np.full(len(prefix), len(s)), np.arange(len(prefix)), prefix), strict=True):
-                    column.append(x)
-            made = [np.concatenate([*c, np.empty(0, np.int64)]) for c in columns]
+            some = batch.filter(pa.array(new))
+            size = pc.list_value_length(some.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = some.column(1).flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(size)), size)
+            place = np.minimum(np.searchsorted(last.value, flat), max(0, len(last.value) - 1))
+            late = last.value[place] == flat if len(last.value) else np.zeros(len(flat), bool)
+            order = np.argsort(2 * owner + late, kind="stable")  # rising within a set, the heavy ones last
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = at < np.repeat(prefix_length(size), size)
+            made = (some.column(0).to_numpy(zero_copy_only=False)[owner[keep]], np.repeat(size, size)[keep], at[keep], flat[order[keep]])
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64), k, safe=False) for x, k in zip(made, kinds, strict=True)], names=["_set", "_n", "at", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) for x, k in zip(made, kinds, strict=True)], names=["_set", "_n", "at", "h"])
 
     return sets.select("_set", "_shingles").mapInArrow(make, "_set long, _n int, at int, h long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ _LOW = (1 << _DIGIT) - 1
 
 def quantised(vector: Column, scale: int) -> Column:
     """floor(scale * x) of each component as a long, x as double; null if the vector takes no part."""
-    usable = vector.isNotNull() & ~F.exists(
+    usable = (F.size(vector) > 0) & ~F.exists(
         vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf")))
     )
     return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")))
@@ -133,7 +134,7 @@ def _index_block(group: pd.DataFrame) -> pd.DataFrame:
     values = np.stack(group["values"].to_numpy()).astype(np.int64)
     sliced = slices_of(values)
     return pd.DataFrame(
-        {"ib": [int(group["ib"].iloc[0])], "ids": [group["id"].to_numpy(np.int64).tobytes()], "bits": [sliced.shape[1]], "slices": [sliced.tobytes()]}
+        {"dim": [values.shape[1]], "ib": [int(group["ib"].iloc[0])], "ids": [group["id"].to_numpy(np.int64).tobytes()], "bits": [sliced.shape[1]], "slices": [sliced.tobytes()]}
     )
 
 
@@ -146,12 +147,9 @@ def _search(k: int):
         bits = int(index["bits"].iloc[0])
         words = (len(ids) + 63) // 64
         sliced = np.frombuffer(index["slices"].iloc[0], np.uint64).reshape(-1, bits, words)
-        columns = sliced.shape[0]
         valid = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
         wanted = np.stack(queries["values"].to_numpy()).astype(np.int64)
         query_ids, numbers = queries["id"].to_numpy(np.int64), queries["query_no"].to_numpy(np.int64)
-        if columns == 0 or wanted.shape[1] != columns:
-            raise ValueError(f"vectors of {columns} and {wanted.shape[1]} components")
         order = np.argsort(ids, kind="stable")
         sorted_ids = ids[order]
         out = []
@@ -190,29 +188,39 @@ def top_k(
     the boundary are settled on (score, id). k rows a query and block go on to one window per query.
     Both sides come in blocks dealt by a hash of the row's place, so blocks are even whatever repeats;
     the work is queries x candidates, as asked for, in units that fit a core's cache, and spreads over
-    (index blocks x query blocks) tasks. Nothing is collected; two counts reach the driver.
+    (index blocks x query blocks) tasks. Nothing is collected; one count for each number of components is made.
 
-    Vectors null or holding null, NaN or infinite components take no part, nor do rows with a null id.
+    Vectors null, without components, or holding null, NaN or infinite components take no part, nor do rows
+    with a null id. Vectors meet those with as many components; with others there is no inner product.
     Rows that repeat an id are candidates one by one; queries that repeat id and vector are answered
-    once, and a query id with different vectors is answered for each. Vectors of different length fail,
-    as there is no inner product; products must stay within 63 bits. An empty table gives no rows.
+    once, and a query id with different vectors is answered for each. Components so large that an inner
+    product could pass 62 bits are an error, raised before the search. An empty table gives no rows.
     """
     ready = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("values"))
-    ready = materialize(ready.where("id is not null and values is not null"), "quantised")
-    n, n_queries = ready.count(), ready.where(F.col("id") % every == 0).count()
-    index_blocks, query_blocks = max(1, -(-n // INDEX_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    ready = ready.where("id is not null and values is not null").withColumn("dim", F.size("values"))
+    ready = materialize(ready.withColumn("largest", F.array_max(F.transform("values", lambda x: F.abs(x.cast("double"))))), "quantised")
+    asked = F.count_if(F.col("id") % every == 0)
+    blocks = ready.groupBy(F.col("dim").alias("d")).agg(
+        F.ceil(F.count(F.lit(1)) / INDEX_ROWS).cast("int").alias("index_blocks"), F.greatest(F.lit(1), F.ceil(asked / QUERY_ROWS)).cast("int").alias("query_blocks"),
+        (F.max("largest") * F.max("largest") * F.col("d")).alias("most"),
+    )
+    blocks = materialize(blocks, "topk-blocks")  # a row for each number of components
+    if (found := blocks.where(F.col("most") >= float(1 << 62)).first()) is not None:
+        raise ValueError(f"components of up to {math.sqrt(found['most'] / found['d']):.3g} (times {scale}) in vectors of {found['d']}: inner products may pass 62 bits")
+    placed = ready.drop("largest").join(blocks.drop("most"), F.col("dim") == F.col("d")).drop("d")
     place = F.xxhash64(F.monotonically_increasing_id())
     index = (
-        ready.withColumn("ib", F.pmod(place, F.lit(index_blocks)).cast("int"))
-        .groupBy("ib")
-        .applyInPandas(_index_block, "ib int, ids binary, bits int, slices binary")
-    )
+        placed.withColumn("ib", F.pmod(place, F.col("index_blocks")).cast("int"))
+        .select("dim", "ib", "id", "values").groupBy("dim", "ib")
+        .applyInPandas(_index_block, "dim int, ib int, ids binary, bits int, slices binary")
+    )
     index = materialize(index, "slices")
-    queries = ready.where(F.col("id") % every == 0).distinct()
-    queries = queries.withColumn("query_no", F.xxhash64("values")).withColumn("qb", F.pmod(F.xxhash64("id", "values"), F.lit(query_blocks)).cast("int"))
-    cells = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).groupBy("ib", "qb")
-    visits = queries.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1)))).groupBy("ib", "qb")
-    found = cells.cogroup(visits).applyInPandas(_search(k), "query_id long, query_no long, vec_id long, score long")
+    queries = placed.where(F.col("id") % every == 0).distinct()
+    queries = queries.withColumn("query_no", F.xxhash64("values")).withColumn("qb", F.pmod(F.xxhash64("id", "values"), F.col("query_blocks")).cast("int"))
+    every_query_block = index.join(blocks.select("d", "query_blocks"), F.col("dim") == F.col("d")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    cells = every_query_block.select("dim", "ib", "qb", "ids", "bits", "slices").groupBy("dim", "ib", "qb")
+    visits = queries.withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("index_blocks") - 1))).select("dim", "ib", "qb", "id", "values", "query_no")
+    found = cells.cogroup(visits.groupBy("dim", "ib", "qb")).applyInPandas(_search(k), "query_id long, query_no long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import bounded_batches, materialize, with_columns_free
+from docquarry.llm.common import bounded_batches, materialize, spread, with_columns_free
 from docquarry.llm.licenses import words_of
 
 ADDED = ("held_out", "score", "predicted")
@@ -145,7 +145,8 @@ def train_toxicity(
     not: the ``vocabulary`` of them whose share of toxic rows differs most from their share of the
     unlabelled rows, in standard deviations, among those in at least ``least_rows``. The class prior is the toxic share of all training labels.
     Without a toxic row (or labels, or documents) the model is empty and scores everything at its prior,
-    held between 0.0001 and 0.5.
+    held between 0.0001 and 0.5. Of rows that repeat an id one (of the smallest hash of the text) is learnt
+    from. Null and empty texts have no features. Very long texts are read whole.
     """
     spark = docs.sparkSession
     known = (
@@ -169,7 +170,10 @@ def train_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["p", "u", "f"])
 
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    bag = materialize(rows.select("p", "u", "_text").mapInArrow(bags, "p int, u int, f array<binary>"), "toxicity-sample")
+    # An id that stands in many rows counts once, so the sample's bound is one of rows.
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("r")
+    rows = rows.groupBy("_id", "p", "u").agg(one).select("p", "u", "r._text")
+    bag = materialize(rows.mapInArrow(bags, "p int, u int, f array<binary>"), "toxicity-sample")
     n = bag.agg(F.sum("p").alias("p"), F.sum("u").alias("u")).first()
     if not n["p"] or not n["u"]:
         return empty
@@ -197,7 +201,7 @@ def score_toxicity(
     """``docs`` with held_out, score (0 to 1) and predicted (1 from ``threshold`` on).
 
     Only the text enters a score: the features of the whole text's distinct words. Null and empty texts get the
-    score of the bias alone. Null ids count as held out. Repeated rows get equal scores; no rows: no
+    score of the bias alone. Very long texts are scored whole. Null ids count as held out. Repeated rows get equal scores; no rows: no
     rows. Clashing columns are replaced. The model has at most as many words as its vocabulary bound;
     there is no shuffle.
     """
@@ -218,6 +222,6 @@ def score_toxicity(
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return score_toxicity(docs, model).select("doc_id", *ADDED)

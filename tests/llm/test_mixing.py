@@ -65,7 +65,7 @@ def test_copies_follow_the_running_position(spark):
     for source in "st":
         u = int(hashlib.md5(f"mix:{source}".encode()).hexdigest()[:8], 16) / 2**32
         own = [i for i, _, s, _ in rows if s == source]
-        own.sort(key=lambda i: (-got[i]["size"], hashlib.md5(str(i).encode()).hexdigest()[:2], i))
+        own.sort(key=lambda i: (-got[i]["size"], hashlib.md5(str(i).encode()).hexdigest()[:3], i))
         rate = got[own[0]]["target"] / got[own[0]]["source_size"]
         for n, i in enumerate(own, 1):
             assert got[i]["copies"] == math.floor(u + n * rate) - math.floor(u + (n - 1) * rate)

@@ -51,7 +51,7 @@ def mixed(rows):
     targets, out = plain_targets(sizes), Counter()
     for source in sizes:
         u = int(hashlib.md5(("mix:" + ("\x00null" if source is None else source)).encode()).hexdigest()[:8], 16) / 2**32
-        own = sorted((r for r in rows if r[2] == source), key=lambda r: (-len((r[1] or "").split()), hashlib.md5(str(r[0]).encode()).hexdigest()[:2], r[0]))
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: (-len((r[1] or "").split()), hashlib.md5(str(r[0]).encode()).hexdigest()[:3], r[0]))
         rate = targets[source] / sizes[source] if sizes[source] else 0.0
         for n, (i, _, _) in enumerate(own, 1):
             out[i] += math.floor(u + n * rate + 1e-12) - math.floor(u + (n - 1) * rate + 1e-12)

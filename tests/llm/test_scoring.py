@@ -121,6 +121,23 @@ def vectors():
     return rows + [(40, rows[40][1], 1), (41, rows[41][1], 1), (60, [0.9] * 6, 1)]
 
 
+def test_vectors_of_all_sizes(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(i % 3)]) for i in range(100)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 100, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]) > 0)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:3], 1)]
+    assert sorted(map(tuple, got)) == sorted(want) and 0 < len(want) < 15
+    big = spark.createDataFrame([(0, [1e3, 2e7]), (1, [2e7, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["score"] for r in top_k(big).collect()] == [64 * 64 * (2 * 10**10 + 2 * 10**7)]
+    for wide in (1e9, 1e18, 1e300):
+        with pytest.raises(ValueError, match="62 bits"):
+            top_k(spark.createDataFrame([(0, [wide, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     import docquarry.llm.topk as module
 
@@ -175,6 +192,34 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert a.place == b.place and a.weights.tolist() == b.weights.tolist() and a.bias == b.bias
 
 
+def test_toxicity_scores_equal_the_plain_sum(spark):
+    docs, labels, _ = toxic_corpus(300)
+    docs = [r[:2] for r in docs]
+    docs += [(9000, None), (9001, ""), (9002, "idiot " * 5000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = train_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for r in score_toxicity(frame, model).collect():
+        text = dict(docs)[r["doc_id"]]
+        logit = model.bias + sum(model.weights[model.place[f]] for f in features_of(text) if f in model.place)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-logit))) and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    docs, labels, _ = toxic_corpus(120)
+    docs = [r[:2] for r in docs]
+    seen = {}
+
+    def counting(positive, unlabelled, size, prior):
+        seen["rows"] = len(positive), len(unlabelled)
+        return np.zeros(size), 0.0
+
+    monkeypatch.setattr("docquarry.llm.toxicity.fit_nnpu", counting)
+    frame = spark.createDataFrame([r for r in docs for _ in range(40)], "doc_id long, text string")
+    train_toxicity(frame, spark.createDataFrame(labels * 3, "doc_id long, toxic int"), max_positive=5, max_unlabelled=10)
+    assert seen["rows"] == (5, 10)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from docquarry.llm.similar import keep_one_of_each, maybe_among, prefix_length
 from docquarry.llm.simhash import shingles_hashes, simhash
 
@@ -55,7 +57,7 @@ def test_equals_brute_force_in_every_band(spark):
 
 
 def test_prefix_is_long_enough():
-    for n in range(1, 60):
+    for n in map(np.array, range(1, 60)):
         assert n - prefix_length(n) < 0.8 * n <= n - prefix_length(n) + 1
 
 
