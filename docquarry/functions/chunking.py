@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ WHOLE_CODE_BYTES = 8192
 #: Chunk rows of one Arrow batch, about: a document is never divided between two.
 _ROWS = 10_000
 
+#: Texts of fewer characters are packed sentence by sentence; so are texts with white space in longer runs.
+_FEW, _RUN = 32_768, 64
+_WIDE_WHITE = re.compile(f"[{''.join(c for c in WHITE if c > chr(127))}]")
+_WHITE_BYTE, _ENDS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"\t\n\x0b\x0c\r ", b".!?\n"))
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$")
 
 
@@ -52,6 +57,14 @@ def pack(text: str, max_bytes: int) -> list[str]:
     The space after each sentence counts, so a chunk can pass the limit through its repeated sentence.
     A sentence over the limit ends the chunk, is sliced, and is not repeated.
     """
+    if len(text) < _FEW or not (text.isascii() or _WIDE_WHITE.search(text) is None):
+        return _pack_each(text, max_bytes)
+    spans = _sentences(np.frombuffer(text.encode(), np.uint8))
+    return _pack_each(text, max_bytes) if spans is None else _pack_spans(*spans, max_bytes)
+
+
+def _pack_each(text: str, max_bytes: int) -> list[str]:
+    """One sentence after the other, for short texts and for those with white space beyond ASCII."""
     out: list[str] = []
     held: list[str] = []  # the sentences of the open chunk
     length, last = 0, ""
@@ -78,6 +91,61 @@ def pack(text: str, max_bytes: int) -> list[str]:
     return out
 
 
+def _sentences(raw: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The text with a space wherever one character stands between two sentences, and where these begin and end, trimmed.
+
+    Also how many of the gaps up to each sentence are not one character. None if white space comes in long runs.
+    """
+    ends = np.flatnonzero(_ENDS[raw]) + 1
+    if not len(ends) or ends[-1] != len(raw):
+        ends = np.append(ends, len(raw))
+    begins = np.concatenate(([0], ends[:-1]))
+    for move, at, step in ((begins, 0, 1), (ends, -1, -1)):
+        for turn in range(_RUN + 1):
+            loose = np.flatnonzero(begins < ends)
+            loose = loose[_WHITE_BYTE[raw[move[loose] + at]]]
+            if not len(loose):
+                break
+            if turn == _RUN:
+                return None
+            move[loose] += step
+    kept = begins < ends
+    begins, ends = begins[kept], ends[kept]
+    single = begins[1:] - ends[:-1] == 1
+    joined = raw.copy()
+    joined[ends[:-1][single]] = 0x20
+    return joined.tobytes(), begins, ends, np.concatenate(([0], np.cumsum(~single)))
+
+
+def _pack_spans(joined: bytes, begins: np.ndarray, ends: np.ndarray, gaps: np.ndarray, max_bytes: int) -> list[str]:
+    """The same over the places of the sentences: where a chunk ends is looked up in the running sum of sizes."""
+    size = ends - begins
+    giants = np.flatnonzero(size > max_bytes).tolist()
+    total = np.concatenate(([0], np.cumsum(size + 1))).tolist()
+    first, last, gap = begins.tolist(), ends.tolist(), gaps.tolist()
+    out: list[str] = []
+
+    def say(j: int, k: int) -> None:
+        if gap[j] == gap[k]:
+            out.append(joined[first[j] : last[k]].decode())
+        else:
+            out.append(" ".join([joined[first[i] : last[i]].decode() for i in range(j, k + 1)]))
+
+    at = 0
+    for giant in [*giants, len(first)]:
+        j = at  # the first sentence of the open chunk
+        while at < giant:
+            # All sentences up to this one fit: their sizes and the spaces between them are within the limit.
+            end = bisect_right(total, total[j] + max_bytes + 1, at + 1, giant + 1) - 1
+            at = max(at + 1, end)
+            say(j, at - 1)
+            j = at - 1  # it is repeated, and the next one follows whatever its size
+        if giant < len(first):
+            out += slice_bytes(joined[first[giant] : last[giant]].decode(), max_bytes)
+        at = giant + 1
+    return out
+
+
 class Chunks:
     """Sink of Markdown blocks that makes chunks: one a paragraph, item, code block or run of table rows."""
 

@@ -46,6 +46,7 @@ _TARGET = re.compile(r"\(\s*(?:<[^<>\n]*>|[^\s()<]*(?:\([^\s()]*\)[^\s()]*)*)(?:
 _BREAK = re.compile(r"(?<!\\)\\\n")
 #: Lines that may end a paragraph; all others go on with it unless a table begins.
 _MAY_END = re.compile(r"[ \t]*(?:$|[`~#>*\-_+<=1])")
+_TICKS = re.compile("`+")
 _PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _TASK = re.compile(r"^\[[ xX]\][ \t]+")
 
@@ -294,7 +295,7 @@ class Blocks:
                 out.append(text[i + 1])
                 i += 2
             elif c == "`":
-                ticks = re.match("`+", text[i:])[0]
+                ticks = _TICKS.match(text, i)[0]
                 close = re.compile(rf"(?<!`){ticks}(?!`)").search(text, i + len(ticks))
                 if close:
                     code = text[i + len(ticks) : close.start()].replace("\n", " ")
@@ -371,7 +372,7 @@ class Blocks:
             if c == "\\":
                 j += 1
             elif c == "`":
-                ticks = re.match("`+", text[j:])[0]
+                ticks = _TICKS.match(text, j)[0]
                 close = re.compile(rf"(?<!`){ticks}(?!`)").search(text, j + len(ticks))
                 j = close.end() - 1 if close else j + len(ticks) - 1
             elif c == "[":

@@ -1,10 +1,11 @@
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docquarry.functions.chunking import chunk_documents, chunks_of, pack, size_of, slice_bytes
+from docquarry.functions.chunking import _pack_each, _pack_spans, _sentences, chunk_documents, chunks_of, pack, size_of, slice_bytes
 from docquarry.functions.text import WHITE
 
 
@@ -94,6 +95,22 @@ def test_every_sentence_is_packed(text, limit):
         assert part.strip(WHITE).replace(" ", "")[:1] in packed or not part.strip(WHITE)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab .!?\n\té\r", max_size=200), st.integers(1, 40))
+def test_packing_by_places_equals_packing_one_by_one(text, limit):
+    spans = _sentences(np.frombuffer(text.encode(), np.uint8)) if text else None
+    if spans is not None:
+        assert _pack_spans(*spans, limit) == _pack_each(text, limit)
+
+
+def test_packing_of_long_texts():
+    words = ["Short one.", "A sentence of some more words, it is!", "x" * 90 + ".", "é" * 50 + "?", "two\nlines", " " * 5]
+    text = " ".join(words[i * i % 6] for i in range(3000))
+    assert len(text) > 32_768 and pack(text, 80) == _pack_each(text, 80) and pack(text, 800) == _pack_each(text, 800)
+    for odd in (text + "\u3000end. " * 9, text + " " * 500 + "end."):
+        assert pack(odd, 120) == _pack_each(odd, 120)
+
+
 def test_ten_megabytes():
     text = "Ein Satz über Flüsse. 長い川の話 ends here, кто знает?\n" * 150_000
     begun = time.perf_counter()
