@@ -80,6 +80,14 @@ def make_templates(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple
     return found + [Template(label, tuple(words_of(text)), False) for label, text in templates]
 
 
+def template_table(table: DataFrame, label_col: str = "label", text_col: str = "text", *, most: int = 20_000) -> list[tuple[str, str]]:
+    """Templates for ``scan_licenses`` from a table of whole license texts, of ``most`` rows at most: they go along with the tasks."""
+    rows = table.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    return sorted((r["label"], r["text"]) for r in rows)
+
+
 def word_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> DataFrame:
     """How often each word of the templates stands in all texts: word, n."""
 
@@ -186,13 +194,14 @@ def scan_licenses(
     the template's words. The base phrases are templates of containment 1 whose words must also stand
     consecutively. The order of words is by their frequency in all documents, counted first over the
     whole table; only the templates' own words are counted, so what comes to the driver and goes to the
-    tasks has the size of the template list. No text is shuffled.
+    tasks has the size of the template list (whole license texts come from a table by ``template_table``).
+    No text is shuffled. ``blocks`` has every place of a base phrase, and of blocks of one template that
+    overlap in a row the best one (highest containment, then shortest, then first).
 
     score: the largest containment found, 0 without one. Null or empty text: no words, no labels, score 0.
     Places overlap freely and repeats all count. Texts of any length are scanned once, word by word.
-    Repeated rows stand one by one; no rows: no rows. Clashing columns are replaced.
+    Repeated rows are scanned one by one and alike; no rows: no rows. Clashing columns are replaced.
     """
-    spark = docs.sparkSession
     chosen = make_templates(phrases, templates)
     vocabulary = frozenset(w for t in chosen for w in t.words)
     frequency = {r["word"].encode(): r["n"] for r in word_frequencies(docs, text_col, vocabulary).collect()}

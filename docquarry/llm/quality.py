@@ -140,7 +140,9 @@ def apply_quality_rules(
     them; hosts are summed map-side first, and the join back is on the small host table, so a hot host
     only matters if that table is not broadcast, where the adaptive skew join splits it.
 
-    Null or empty text: counters 0, fails as too short. No rows: no rows. Columns that clash are replaced.
+    Null or empty text: counters 0, fails as too short. Repeated rows count one by one for their host and
+    are judged alike. Very long texts are counted whole, in one task each. No rows: no rows. Columns that
+    clash are replaced.
     """
     base = with_columns_free(docs, *ADDED, "_host", "_key")
     counted = quality_counters(base, text_col).drop(text_col)

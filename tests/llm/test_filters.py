@@ -1,9 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
-from docquarry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from docquarry.llm.licenses import PHRASES, TEMPLATES, scan_licenses, template_table
 from docquarry.llm.quality import apply_quality_rules
 from docquarry.llm.urls import BLOCK_GLOBS, HOST_END, RULES, HostRule, ShiftAnd, filter_urls
 
@@ -85,7 +86,8 @@ def test_thousands_of_globs_and_rules(spark):
 def counters(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    again = {i for i, w in enumerate(windows) if windows.count(w) > 1}
+    times = Counter(windows)
+    again = {i for i, w in enumerate(windows) if times[w] > 1}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return (
         len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines), len(lines) - len(set(lines)),
@@ -96,7 +98,8 @@ def counters(text):
 def quality_texts():
     rng = random.Random(2)
     texts = [None, "", " \n ", "a b c d e", "a b c d e f a b c d e", "x x x x x x x x x x x x", "a\na\nb\n \n \na", "é ü 😀 # * $\x0bq", "one " * 500]
-    return texts + [" ".join(rng.choices("abcd", k=rng.randrange(60))).replace("a b", "a\nb") for _ in range(60)]
+    texts += [" ".join(rng.choices("abcd", k=rng.randrange(60))).replace("a b", "a\nb") for _ in range(60)]
+    return texts + [" ".join(f"w{i % 700}" for i in range(5000)), *texts[3:9]]
 
 
 def test_quality_counters_and_hosts(spark):
@@ -125,10 +128,10 @@ def test_quality_counters_and_hosts(spark):
     assert apply_quality_rules(empty).count() == 0
 
 
-def plain_blocks(words):
+def plain_blocks(words, templates=TEMPLATES):
     """All blocks of every template, tried at every word."""
     labels, score = set(), 0.0
-    for label, text in TEMPLATES:
+    for label, text in templates:
         t = WORD.findall(text)
         width, distinct = int(1.5 * len(t)), set(t)
         for s in range(len(words)):
@@ -167,3 +170,26 @@ def test_licenses_equal_all_blocks(spark):
         assert r["labels"] == ",".join(sorted({x for _, x in places} | labels))
         assert r["score"] == pytest.approx(max([1.0] if places else [score]) if places or labels else 0.0)
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hundreds_of_templates_from_a_table(spark):
+    rng = random.Random(6)
+    words = [f"term{i}" for i in range(400)] + ["the", "of", "and"] * 20
+    licenses = [(f"l{i}", " ".join(rng.choices(words, k=rng.randrange(8, 60)))) for i in range(300)]
+    table = spark.createDataFrame([*licenses, (None, "x"), ("y", None), licenses[0]], "label string, text string")
+    templates = template_table(table)
+    assert templates == sorted(licenses)
+    with pytest.raises(ValueError, match="more than 10"):
+        template_table(table, most=10)
+    texts = []
+    for i in range(60):
+        body = rng.choice(licenses)[1].split()
+        for _ in range(rng.randrange(4)):
+            body[rng.randrange(len(body))] = "other"
+        texts.append(" ".join([*rng.choices(words, k=rng.randrange(60)), *body, *rng.choices(words, k=rng.randrange(60))]))
+    texts += texts[:2]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_licenses(rows, phrases=(), templates=templates).collect():
+        labels, score = plain_blocks(WORD.findall(texts[r["doc_id"]]), licenses)
+        assert r["labels"] == ",".join(sorted(labels)) and r["score"] == pytest.approx(score)
+        assert {b["label"] for b in r["blocks"]} == labels
