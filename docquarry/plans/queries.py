@@ -288,7 +288,7 @@ def probe_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's turns through a cache of its own, in order."""
     log = _asked(spark, sf_dir).select("conv_id", "turn", "query", F.md5("query").alias("value"))
-    return ca.replay_cache(log, "conv_id", "turn", max_entries=8, dim=DIM, num_bits=8)
+    return ca.replay_cache(log, "conv_id", "turn", dim=DIM, num_bits=8)
 
 
 def cached_search(spark: SparkSession, sf_dir: str) -> DataFrame:

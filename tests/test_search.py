@@ -23,7 +23,11 @@ def tables(spark, n=60, dim=6):
 
 def test_top_k_equals_expressions(spark):
     queries, points = tables(spark)
-    pairs = se.similarity_join(queries, points).collect()
+    every = queries.crossJoin(points.withColumnRenamed("embedding", "e")).where("size(embedding) = size(e) and embedding is not null and e is not null")
+    pairs = every.select("query_id", "point_id", se.cosine(F.col("embedding"), F.col("e")).alias("score")).collect()
+    for block in (0, 3):
+        got = {(r["query_id"], r["point_id"]): round(r["score"], 9) for r in se.similarity_join(queries, points, query_block=block).collect()}
+        assert got == {(r["query_id"], r["point_id"]): round(r["score"], 9) for r in pairs}
     want = {}
     for q in {r["query_id"] for r in pairs}:
         own = sorted((-round(r["score"], 6), r["point_id"]) for r in pairs if r["query_id"] == q)[:5]
