@@ -78,14 +78,19 @@ def segment_plan(most: int, n: int = 0) -> tuple[tuple[int, ...], tuple[int, ...
         raise ValueError("links are found at 0 to 11 differing bits")
     plans = []
     for k in (2, 3) if most <= 4 else (2, 3, 4):
-        bits = tuple(64 // k + (s >= k - 64 % k) for s in range(k))
-        radii = tuple((most + 1) // k + (s < (most + 1) % k) - 1 for s in range(k))
+        bits, radii = _segments(64, k, most)
         balls = [sum(comb(b, d) for d in range(r + 1)) for b, r in zip(bits, radii, strict=True)]
         if sum(balls) <= _MOST_LOOKUPS:
             plans.append((_ROW_COST * sum(balls) + sum(x * n / 2**b for x, b in zip(balls, bits, strict=True)), bits, radii))
     return min(plans)[1:]
 
 
+def _segments(width: int, k: int, most: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Bits and radii of k segments of ``width`` bits."""
+    bits = tuple(width // k + (s >= k - width % k) for s in range(k))
+    return bits, tuple((most + 1) // k + (s < (most + 1) % k) - 1 for s in range(k))
+
+
 def _slots(fp: Column, plan: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[Column, Column]:
     """Keys of the table slots that hold a fingerprint, and of the slots it looks into besides.
 
@@ -105,6 +110,21 @@ def _slots(fp: Column, plan: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[C
     return F.array(*homes), F.concat(*probes) if probes else F.array().cast("array<bigint>")
 
 
+def _slots_within(fp: Column, slot: Column, plan: tuple[tuple[int, ...], tuple[int, ...]], most: int) -> tuple[Column, Column]:
+    """The same within a full slot, for the bits beside the segment that all its tenants have in common."""
+    homes = probes = F.array().cast("array<bigint>")
+    shift = 0
+    for s, bits in enumerate(plan[0]):
+        below = fp.bitwiseAND(F.lit((1 << shift) - 1))
+        above = F.shiftleft(F.shiftrightunsigned(fp, shift + bits), shift) if shift + bits < 64 else F.lit(0)
+        rest = below.bitwiseOR(above.cast("long"))
+        inner_homes, inner_probes = _slots(rest, _segments(64 - bits, 3, most))
+        here = F.shiftrightunsigned(slot, 40) == s
+        homes, probes = F.when(here, inner_homes).otherwise(homes), F.when(here, inner_probes).otherwise(probes)
+        shift += bits
+    return homes, probes
+
+
 def _larger_in_ball(value: Column, masks: list[int], tag: int) -> Column:
     ball = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
     return F.transform(F.filter(ball, lambda x: x > value), lambda x: x + F.lit(tag))
@@ -147,8 +167,8 @@ def _link_slots(most: int):
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat((rest, frame), ignore_index=True)
-            slot, tile = frame["slot"].to_numpy(), frame["tile"].to_numpy()
-            cut = np.flatnonzero((slot[1:] != slot[:-1]) | (tile[1:] != tile[:-1])) + 1
+            cell = frame["cell"].to_numpy()
+            cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
             begin = int(cut[-1]) if len(cut) else 0
             yield _linked(frame.iloc[:begin], pairs)
             rest = frame.iloc[begin:]
@@ -159,9 +179,8 @@ def _link_slots(most: int):
 
 
 def _linked(frame: pd.DataFrame, pairs) -> pd.DataFrame:
-    fp, home = frame["fp"].to_numpy(), frame["home"].to_numpy()
-    slot, tile = frame["slot"].to_numpy(), frame["tile"].to_numpy()
-    cut = np.flatnonzero((slot[1:] != slot[:-1]) | (tile[1:] != tile[:-1])) + 1
+    fp, home, cell = frame["fp"].to_numpy(), frame["home"].to_numpy(), frame["cell"].to_numpy()
+    cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
     begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(fp)]))
     n_home = np.add.reduceat(home.astype(np.int64), begin) if len(fp) else np.empty(0, np.int64)
     out: list[tuple[int, int]] = []
@@ -171,30 +190,40 @@ def _linked(frame: pd.DataFrame, pairs) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array([x for x, _ in out], np.int64), "v": np.array([y for _, y in out], np.int64)})
 
 
+def _visits(rows: DataFrame, homes: Column, probes: Column, name: str) -> DataFrame:
+    """``rows`` by the slots they stand in (home) and those they look into."""
+    standing = rows.withColumn(name, F.explode(homes)).withColumn("home", F.lit(True))
+    return standing.union(rows.withColumn(name, F.explode(probes)).withColumn("home", F.lit(False)))
+
+
+def _full(visits: DataFrame, *keys: str) -> DataFrame:
+    """Slots with more than TILE tenants, and how many tiles that makes."""
+    counted = visits.where("home").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    return counted.select(*keys, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+
+
 def fingerprint_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """Links (u, v) that connect all of ``distinct`` (fp: long, no repeats) at ``most`` or fewer differing bits.
 
     Every fingerprint stands in the slot of each of its segments and looks into the slots within the
-    segment's radius (``segment_plan``); each slot's meetings are checked on all 64 bits. What comes out of a slot is a spanning
-    forest of its links, so its length is that of the slot and not its square, and no connection is lost.
+    segment's radius (``segment_plan``); each slot's meetings are checked on all 64 bits. What comes out of
+    a slot is a spanning forest of its links, so its length is that of the slot and not its square, and no
+    connection is lost.
 
-    Slots with more than TILE tenants are cut into tiles by a hash of the fingerprint; all who stand in
-    or look into the slot visit each tile, so no task holds more than one tile of tenants at a time and
-    every meeting still takes place.
+    All who visit a slot with more than TILE tenants are dealt out once more, by segments of the bits that
+    they do not have in common. Should such an inner slot be full again, it is cut into tiles by a hash of
+    the fingerprint, and all its visitors come to each tile: no task holds more than a tile of tenants.
     """
-    homes, probes = _slots(F.col("fp"), segment_plan(most, distinct.count()))
-    standing = distinct.select("fp", F.explode(homes).alias("slot")).withColumn("home", F.lit(True))
-    looking = distinct.select("fp", F.explode(probes).alias("slot")).withColumn("home", F.lit(False))
-    visits = standing.union(looking)
-    full = (
-        standing.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).select("slot", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    )
-    tiled = visits.join(full, "slot", "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    plain = tiled.where("tiles is null").select("slot", "fp", "home", F.lit(0).alias("tile"))
-    spread = tiled.where("tiles is not null").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("slot", "fp", (F.col("home") & (F.col("tile") == own)).alias("home"), "tile")
-    rows = plain.union(spread).repartition("slot", "tile").sortWithinPartitions("slot", "tile")
+    plan = segment_plan(most, distinct.count())
+    visits = _visits(distinct.select("fp"), *_slots(F.col("fp"), plan), "slot")
+    marked = visits.join(_full(visits, "slot"), "slot", "left")
+    plain = marked.where("tiles is null").select("fp", "home", F.xxhash64("slot").alias("cell"))
+    inner = _visits(marked.where("tiles is not null").select("fp", "slot"), *_slots_within(F.col("fp"), F.col("slot"), plan, most), "sub")
+    tiled = inner.join(_full(inner, "slot", "sub"), ["slot", "sub"], "left")
+    tiled = tiled.withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    own = F.col("tile") == F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1)))
+    deep = tiled.select("fp", (F.col("home") & own).alias("home"), F.xxhash64("slot", "sub", "tile").alias("cell"))
+    rows = plain.union(deep).repartition("cell").sortWithinPartitions("cell")
     return rows.mapInPandas(_link_slots(most), "u long, v long")
 
 

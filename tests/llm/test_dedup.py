@@ -78,18 +78,25 @@ def test_links_connect_all_close_fingerprints(spark, most, plan, monkeypatch):
     assert {x: got.get(x, x) for x in signed} == label
 
 
-def test_full_slots_are_tiled_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("kind,tile", [("low", 8), ("high", 8), ("middle", 8), ("close", 3)])
+def test_full_slots_are_cut_without_loss(spark, monkeypatch, kind, tile):
     import docquarry.llm.simhash as module
 
-    monkeypatch.setattr(module, "TILE", 8)
+    monkeypatch.setattr(module, "TILE", tile)
     rng = random.Random(1)
-    prints = sorted({rng.getrandbits(64 - 43) for _ in range(60)})  # one value in two whole segments
+    if kind == "close":  # inner slots are full too
+        prints = sorted({sum(1 << b for b in rng.sample(range(60), rng.randrange(4))) for _ in range(60)})
+    else:  # one value in two whole segments
+        shift = {"low": 0, "middle": 21, "high": 42}[kind]
+        prints = sorted({rng.getrandbits(21) << shift for _ in range(60)})
+        prints = sorted({*prints, *(x ^ 1 << shift + 3 for x in prints[:20]), *(x ^ 1 << (shift + 25) % 64 for x in prints[:20])})
+    prints = [x - (1 << 64) if x >> 63 else x for x in prints]
     got = components(module.fingerprint_links(spark.createDataFrame([(x,) for x in prints], "fp long"))).collect()
     label = {x: x for x in prints}
     for _ in prints:
         for x in prints:
             for y in prints:
-                if (x ^ y).bit_count() <= 4:
+                if ((x ^ y) & (2**64 - 1)).bit_count() <= 4:
                     label[x] = label[y] = min(label[x], label[y])
     found = {r["node"]: r["root"] for r in got}
     assert {x: found.get(x, x) for x in prints} == label
