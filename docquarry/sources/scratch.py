@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +35,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tidy(spark)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_at = path
     return found
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, every 10 seconds at most.
+
+    Its cleaner deletes what the driver's JVM has found to be unreachable, and a driver with little to do may
+    not collect garbage for long while a job of many steps fills the disks.
+    """
+    if time.monotonic() - _tidied[0] > _TIDY_SECONDS:
+        _tidied[0] = time.monotonic()
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+
+
+_TIDY_SECONDS = 10.0
+_tidied = [time.monotonic()]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no frame reads any more."""
     for table in tables:
