@@ -28,7 +28,7 @@ _SPELT = -20.0
 #: characters, so shares stay as they are, and weights of units up to _LONG stay within doubles.
 _LIFT = 10.0
 #: Characters that are encoded at once, and characters of different units whose lattices a task keeps.
-_PART, _KEPT = 2_000_000, 2_500_000
+_PART, _KEPT = 500_000, 1_000_000
 _U = np.uint64
 #: Base of the hash of units, odd so that it has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15

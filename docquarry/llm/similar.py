@@ -74,7 +74,7 @@ def heavy_shingles(sets: DataFrame) -> np.ndarray:
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 100_000):
             h, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], names=["h", "n"])
 
@@ -89,7 +89,7 @@ def prefixes(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in bounded_batches(batches, 100_000):
             new = np.zeros(batch.num_rows, bool)
             for i, key in enumerate(batch.column(0).to_pylist()):
                 new[i] = key not in seen
