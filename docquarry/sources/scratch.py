@@ -17,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = f"{(found or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/docquarry-{spark.sparkContext.applicationId}"
     fs, path = _file_system(spark, folder)
-    fs.deleteOnExit(path)
+    if not fs.exists(path):  # only what is there can be marked
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     return folder
 
 
