@@ -123,7 +123,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
     needed = pairs.select(F.col("u").alias("_set")).union(pairs.select("v")).distinct()
     near = maybe_among(sets.select("_set", "_shingles"), "_set", needed).where("_maybe")
-    members = near.join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("_shingles").alias("s"))
+    # Copies have one set: they are brought down to one row a task before anything is dealt out.
+    members = near.groupBy("_set").agg(F.first("_shingles").alias("s")).join(needed, "_set", "left_semi")
     members = materialize(members, "similar-sets")
     both = pairs.join(members.toDF("u", "su"), "u").join(members.toDF("v", "sv"), "v")
     common = F.size(F.array_intersect("su", "sv"))
