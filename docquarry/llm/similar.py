@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,71 +44,76 @@ def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return joined.select(*df.columns, hit.alias("_maybe"))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.sort(np.unique(shingles_hashes(text, width)).view(np.int64))
+
+
+def set_key(members: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(members.tobytes())
 
 
 def shingle_sets(narrow: DataFrame, width: int) -> DataFrame:
-    """``narrow`` (_id, _text, _row) without the text: its fingerprint, the set of its shingles, the set's hash and size."""
+    """``narrow`` (_id, _text, _row) without the text: its fingerprint, the hash of its set of shingles, the set's size.
+
+    ``_often`` (on one row of each part of a batch) has the shingles that stand three times or more in the part.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches):
             hashes = [shingles_hashes(t, width) for t in batch.column("_text").to_pylist()]
             sets = [np.sort(np.unique(h).view(np.int64)) for h in hashes]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            made = [pa.array(prints), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *made], names=["_id", "_row", "_fp", "_set", "_n", "_shingles"])
+            h, n = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_counts=True)
+            often = [{"h": x, "n": y} for x, y in zip(h[n > 2].tolist(), n[n > 2].tolist(), strict=True)]
+            noted = pa.array([often] + [None] * (batch.num_rows - 1), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
+            made = [pa.array(prints), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), noted]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *made], names=["_id", "_row", "_fp", "_set", "_n", "_often"])
 
     kind = narrow.schema["_id"].dataType.simpleString()
-    return narrow.mapInArrow(make, f"_id {kind}, _row long, _fp long, _set long, _n int, _shingles array<long>")
+    return narrow.mapInArrow(make, f"_id {kind}, _row long, _fp long, _set long, _n int, _often array<struct<h:bigint,n:bigint>>")
 
 
 def heavy_shingles(sets: DataFrame) -> np.ndarray:
     """Shingles of the highest counts, sorted: they go last in the order of prefixes.
 
-    All sets are counted, batch by batch; of a batch only what stands there three times or more goes on, so
+    All sets are counted, part by part; of a part only what stands there three times or more goes on, so
     counts are lower bounds. They decide the order alone, and any order gives the same links.
     """
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, 100_000):
-            h, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], names=["h", "n"])
-
-    top = sets.select("_shingles").mapInArrow(tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY)
+    top = sets.select(F.inline("_often")).groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY)
     return np.sort(np.array([r["h"] for r in top.collect()], np.int64))
 
 
-def prefixes(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
+def prefixes(narrow: DataFrame, width: int, heavy: np.ndarray) -> DataFrame:
     """(_set, _n, at, h): the members of each set's prefix with their places. A task gives a set once that it has met lately."""
-    spark = sets.sparkSession
-    last = spark.sparkContext.broadcast(heavy)
+    last = narrow.sparkSession.sparkContext.broadcast(heavy)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in bounded_batches(batches, 100_000):
-            new = np.zeros(batch.num_rows, bool)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                new[i] = key not in seen
+        for batch in bounded_batches(batches):
+            sets, keys = [], []
+            for text in batch.column(0).to_pylist():
+                members = shingle_set(text, width)
+                key = set_key(members)
+                if key not in seen:
+                    sets.append(members)
+                    keys.append(key)
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(key)
-            some = batch.filter(pa.array(new))
-            size = pc.list_value_length(some.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = some.column(1).flatten().to_numpy(zero_copy_only=False)
+            size = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate([*sets, np.empty(0, np.int64)])
             owner = np.repeat(np.arange(len(size)), size)
             place = np.minimum(np.searchsorted(last.value, flat), max(0, len(last.value) - 1))
             late = last.value[place] == flat if len(last.value) else np.zeros(len(flat), bool)
             order = np.argsort(2 * owner + late, kind="stable")  # rising within a set, the heavy ones last
             at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             keep = at < np.repeat(prefix_length(size), size)
-            made = (some.column(0).to_numpy(zero_copy_only=False)[owner[keep]], np.repeat(size, size)[keep], at[keep], flat[order[keep]])
+            made = (np.array(keys, np.uint64).view(np.int64)[owner[keep]], np.repeat(size, size)[keep], at[keep], flat[order[keep]])
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) for x, k in zip(made, kinds, strict=True)], names=["_set", "_n", "at", "h"])
 
-    return sets.select("_set", "_shingles").mapInArrow(make, "_set long, _n int, at int, h long")
+    return narrow.select("_text").mapInArrow(make, "_set long, _n int, at int, h long")
 
 
 def _can_meet(n: Column, at: Column, m: Column, other_at: Column) -> Column:
@@ -118,18 +122,35 @@ def _can_meet(n: Column, at: Column, m: Column, other_at: Column) -> Column:
     return (LEAST[0] + LEAST[1]) * most >= LEAST[0] * (n + m)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) of ``pairs`` (u, v) whose sets have the Jaccard asked for, by all their shingles."""
+def verified(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
+    """Links (u, v) of ``pairs`` (u, v) whose sets have the Jaccard asked for, by all their shingles.
+
+    One text of each set is fetched (texts take less room than the hashes of their shingles), and each
+    pair is worked out where its two texts have met.
+    """
     pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
     needed = pairs.select(F.col("u").alias("_set")).union(pairs.select("v")).distinct()
-    near = maybe_among(sets.select("_set", "_shingles"), "_set", needed).where("_maybe")
-    # Copies have one set: they are brought down to one row a task before anything is dealt out.
-    members = near.groupBy("_set").agg(F.first("_shingles").alias("s")).join(needed, "_set", "left_semi")
-    members = materialize(members, "similar-sets")
-    both = pairs.join(members.toDF("u", "su"), "u").join(members.toDF("v", "sv"), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    links = materialize(both.where(LEAST[1] * common >= LEAST[0] * (F.size("su") + F.size("sv") - common)).select("u", "v"), "similar-links")
-    discard(pairs, members)
+    chosen = maybe_among(sets.select("_set", "_row"), "_set", needed).where("_maybe")
+    chosen = materialize(chosen.groupBy("_set").agg(F.min("_row").alias("_row")).join(needed, "_set", "left_semi"), "similar-chosen")
+    near = maybe_among(narrow.select("_row", "_text"), "_row", chosen.select("_row")).where("_maybe").drop("_maybe")
+    members = materialize(near.join(chosen, "_row").select("_set", "_text").dropDuplicates(["_set"]), "similar-texts")
+    both = pairs.join(members.toDF("u", "tu"), "u").join(members.toDF("v", "tv"), "v")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, right = None, np.empty(0, np.int64)  # pairs come with equal v together
+        for batch in bounded_batches(batches):
+            hold = np.zeros(batch.num_rows, bool)
+            u, v, tu, tv = (batch.column(i) for i in range(4))
+            for i, (key, text) in enumerate(zip(v.to_pylist(), tu.to_pylist(), strict=True)):
+                if key != known:
+                    known, right = key, shingle_set(tv[i].as_py(), width)
+                left = shingle_set(text, width)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                hold[i] = LEAST[1] * common >= LEAST[0] * (len(left) + len(right) - common)
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(hold))
+
+    links = materialize(both.select("u", "v", "tu", "tv").mapInArrow(judge, "u long, v long"), "similar-links")
+    discard(pairs, chosen, members)
     return links
 
 
@@ -143,8 +164,8 @@ def simhash_pairs(sets: DataFrame, most: int) -> DataFrame:
     return equal.union(links.join(left, "u").join(right, "v").select("ru", "rv"))
 
 
-def similar_groups(sets: DataFrame, most: int) -> DataFrame:
-    """(node, root): the connected components of all pairs of different ``sets`` with Jaccard 4/5 or more.
+def similar_groups(sets: DataFrame, narrow: DataFrame, width: int, most: int) -> DataFrame:
+    """(node, root): the connected components of all pairs of different ``sets`` (of ``narrow``) with Jaccard 4/5 or more.
 
     First the pairs that operator 3 gives, and each bucket of sets that share a prefix member with one of
     its own, so large groups of near copies become one component in as many comparisons as they have
@@ -152,15 +173,16 @@ def similar_groups(sets: DataFrame, most: int) -> DataFrame:
     components those are compared that the positional filter lets meet, the smaller set by a member of its
     first ninth. Only links that hold on the whole sets count.
     """
-    every = prefixes(sets, heavy_shingles(sets))
+    every = materialize(prefixes(narrow, width, heavy_shingles(sets)), "similar-members")
     # Most members stand in one set only: they leave before anything else is dealt out.
     shared = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "similar-shared")
-    rows = materialize(every.join(shared, "h", "left_semi").distinct(), "similar-prefixes")
-    discard(shared)
+    rows = maybe_among(every, "h", shared).where("_maybe").drop("_maybe").join(shared, "h", "left_semi")
+    rows = materialize(rows.distinct(), "similar-prefixes")
+    discard(every, shared)
     first = F.min(F.struct(F.xxhash64("_set").alias("o"), F.col("_set").alias("rep"), F.col("_n").alias("rep_n"), F.col("at").alias("rep_at")))
     stars = materialize(rows.groupBy("h").agg(first.alias("f")).select("h", "f.rep", "f.rep_n", "f.rep_at"), "similar-stars")
     met = rows.join(stars, "h").where((F.col("_set") != F.col("rep")) & _can_meet(F.col("_n"), F.col("at"), F.col("rep_n"), F.col("rep_at")))
-    links = verified(simhash_pairs(sets, most).union(met.select("_set", "rep")), sets)
+    links = verified(simhash_pairs(sets, most).union(met.select("_set", "rep")), sets, narrow, width)
     roots = materialize(components(links), "similar-roots")
     labelled = rows.join(roots.toDF("_set", "found"), "_set", "left").withColumn("root", F.coalesce("found", "_set")).drop("found")
     split = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
@@ -171,7 +193,7 @@ def similar_groups(sets: DataFrame, most: int) -> DataFrame:
         (F.col("root") != F.col("o_root")) & (F.col("_n") <= F.col("o__n")) & (LEAST[1] * F.col("_n") >= LEAST[0] * F.col("o__n"))
         & _can_meet(F.col("_n"), F.col("at"), F.col("o__n"), F.col("o_at"))
     )
-    more = verified(meeting.select(F.col("_set").alias("u"), F.col("o__set").alias("v")), sets)
+    more = verified(meeting.select(F.col("_set").alias("u"), F.col("o__set").alias("v")), sets, narrow, width)
     return components(links.union(more))
 
 
@@ -210,6 +232,6 @@ def keep_one_of_each(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key.alias("_row"))
     sets = materialize(shingle_sets(narrow, width), "shingle-sets")
-    roots = similar_groups(sets, most)
+    roots = similar_groups(sets, narrow, width, most)
     found = sets.select("_id", "_row", "_set").join(roots, sets["_set"] == roots["node"], "left").select("_id", "_row", F.coalesce("root", "_set").alias("_group"))
     return keep_first(docs, found, row_key, id_col)
