@@ -77,7 +77,7 @@ def mix_sources(
     """``docs`` with size, source_size, target, copies and taken: how often the mix takes each document.
 
     Each document of a source is expected rate = target / source_size times. Documents of a source stand
-    in order of falling size (ties: three hex digits of md5 of the id, or of the text where the id is null,
+    in order of falling size (ties: two hex digits of md5 of the id, or of the text where the id is null,
     then the id); document i emits once
     for each whole number between u + (i-1) * rate and u + i * rate, where u is one random offset of the
     source. As neighbours have like sizes, the words taken miss the target by about one large document.
@@ -97,7 +97,7 @@ def mix_sources(
         .withColumn("size", F.col(size_col) if size_col else n_words(F.col(text_col)))
         .withColumn("_src", F.col(source_col).cast("string"))
         .withColumn("_size", -F.col("size"))
-        .withColumn("_sub", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), _text_digest(docs, text_col))), 1, 3))
+        .withColumn("_sub", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), _text_digest(docs, text_col))), 1, 2))
     )
     ranked = base.withColumn("_in", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.col(id_col).asc_nulls_last())))
     groups = (
@@ -155,7 +155,7 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3) AS sub
+         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS sub
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk
