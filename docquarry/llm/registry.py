@@ -8,6 +8,7 @@ from docquarry.llm.lm import op7_lm
 from docquarry.llm.mixing import OP4_SQL, op4_mixing
 from docquarry.llm.pieces import op8_pieces
 from docquarry.llm.quality import OP6_SQL, op6_quality
+from docquarry.llm.runs import op11_runs
 from docquarry.llm.simhash import op3_simhash
 from docquarry.llm.topk import OP5_SQL, op5_topk
 from docquarry.llm.toxicity import op10_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
 }
 ORACLES = {
     "op1_lines": OP1_SQL,
