@@ -5,6 +5,7 @@ from __future__ import annotations
 from docquarry.llm.licenses import op2_licenses
 from docquarry.llm.lines import OP1_SQL, op1_lines
 from docquarry.llm.lm import op7_lm
+from docquarry.llm.minhash import op13_minhash
 from docquarry.llm.mixing import OP4_SQL, op4_mixing
 from docquarry.llm.pieces import op8_pieces
 from docquarry.llm.quality import OP6_SQL, op6_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
+    "op13_minhash": op13_minhash,
 }
 ORACLES = {
     "op1_lines": OP1_SQL,

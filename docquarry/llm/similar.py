@@ -1,157 +1,14 @@
-"""Near-duplicates with links checked on shingles: SimHash links (operator 3), and the pairs that fingerprints miss."""
+"""Near-duplicates with links checked on shingles: SimHash links (operator 3), and the pairs that fingerprints miss (operator 13)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bounded_batches, discard, materialize
-from docquarry.llm.components import components
-from docquarry.llm.simhash import fingerprint_links, majority, shingles_hashes
-
-#: Jaccard bound as a fraction.
-LEAST = (4, 5)
-#: Shingles that go last in the order of prefixes, at most.
-HEAVY = 1 << 16
-#: Bits of the filter that spares rows a shuffle.
-_FILTER = 1 << 27
-_SEEN = 1 << 20
-
-
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """Sets of n members share one of their first so many members with every set of Jaccard 4/5 or more."""
-    return np.where(n > 0, n - -(-LEAST[0] * n // LEAST[1]) + 1, 0)
-
-
-def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``df`` with ``_maybe``: false only where the column ``key`` is none of ``keys`` (one long column).
-
-    The keys are hashed into a bitmap of fixed size, 4096 pieces of 4 KB, which is broadcast; with so many
-    keys that it is full it spares nothing, and what is built on ``_maybe`` has to look exactly.
-    """
-    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(_FILTER)) + 1
-    pieces = keys.groupBy(F.bitmap_bucket_number(place(keys.columns[0])).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(keys.columns[0]))).alias("_bits"))
-    pieces = materialize(pieces, "similar-filter")
-    placed = df.withColumn("_at", F.bitmap_bit_position(place(key))).withColumn("_in", F.bitmap_bucket_number(place(key)))
-    byte = F.conv(F.hex(F.expr("substring(_bits, int(_at div 8) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
-    joined = placed.join(F.broadcast(pieces), F.col("_in") == F.col("_piece"), "left")
-    return joined.select(*df.columns, hit.alias("_maybe"))
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.sort(np.unique(shingles_hashes(text, width)).view(np.int64))
-
-
-def set_key(members: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(members.tobytes())
-
-
-def shingle_sets(narrow: DataFrame, width: int) -> DataFrame:
-    """``narrow`` (_id, _text, _row) without the text: its fingerprint, the hash of its set of shingles, the set's size.
-
-    ``_often`` (on one row of each part of a batch) has the shingles that stand three times or more in the part.
-    """
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches):
-            hashes = [shingles_hashes(t, width) for t in batch.column("_text").to_pylist()]
-            sets = [np.sort(np.unique(h).view(np.int64)) for h in hashes]
-            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            h, n = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_counts=True)
-            often = [{"h": x, "n": y} for x, y in zip(h[n > 2].tolist(), n[n > 2].tolist(), strict=True)]
-            noted = pa.array([often] + [None] * (batch.num_rows - 1), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
-            made = [pa.array(prints), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), noted]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *made], names=["_id", "_row", "_fp", "_set", "_n", "_often"])
-
-    kind = narrow.schema["_id"].dataType.simpleString()
-    return narrow.mapInArrow(make, f"_id {kind}, _row long, _fp long, _set long, _n int, _often array<struct<h:bigint,n:bigint>>")
-
-
-def heavy_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles of the highest counts, sorted: they go last in the order of prefixes.
-
-    All sets are counted, part by part; of a part only what stands there three times or more goes on, so
-    counts are lower bounds. They decide the order alone, and any order gives the same links.
-    """
-    top = sets.select(F.inline("_often")).groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY)
-    return np.sort(np.array([r["h"] for r in top.collect()], np.int64))
-
-
-def prefixes(narrow: DataFrame, width: int, heavy: np.ndarray) -> DataFrame:
-    """(_set, _n, at, h): the members of each set's prefix with their places. A task gives a set once that it has met lately."""
-    last = narrow.sparkSession.sparkContext.broadcast(heavy)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in bounded_batches(batches):
-            sets, keys = [], []
-            for text in batch.column(0).to_pylist():
-                members = shingle_set(text, width)
-                key = set_key(members)
-                if key not in seen:
-                    sets.append(members)
-                    keys.append(key)
-                if len(seen) >= _SEEN:
-                    seen.clear()
-                seen.add(key)
-            size = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate([*sets, np.empty(0, np.int64)])
-            owner = np.repeat(np.arange(len(size)), size)
-            place = np.minimum(np.searchsorted(last.value, flat), max(0, len(last.value) - 1))
-            late = last.value[place] == flat if len(last.value) else np.zeros(len(flat), bool)
-            order = np.argsort(2 * owner + late, kind="stable")  # rising within a set, the heavy ones last
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            keep = at < np.repeat(prefix_length(size), size)
-            made = (np.array(keys, np.uint64).view(np.int64)[owner[keep]], np.repeat(size, size)[keep], at[keep], flat[order[keep]])
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) for x, k in zip(made, kinds, strict=True)], names=["_set", "_n", "at", "h"])
-
-    return narrow.select("_text").mapInArrow(make, "_set long, _n int, at int, h long")
-
-
-def _can_meet(n: Column, at: Column, m: Column, other_at: Column) -> Column:
-    """Positional filter: sets whose first common member stands at these places can reach the bound."""
-    most = F.least(n - at, m - other_at)  # members in common, at most
-    return (LEAST[0] + LEAST[1]) * most >= LEAST[0] * (n + m)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
-    """Links (u, v) of ``pairs`` (u, v) whose sets have the Jaccard asked for, by all their shingles.
-
-    One text of each set is fetched (texts take less room than the hashes of their shingles), and each
-    pair is worked out where its two texts have met.
-    """
-    pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
-    needed = pairs.select(F.col("u").alias("_set")).union(pairs.select("v")).distinct()
-    chosen = maybe_among(sets.select("_set", "_row"), "_set", needed).where("_maybe")
-    chosen = materialize(chosen.groupBy("_set").agg(F.min("_row").alias("_row")).join(needed, "_set", "left_semi"), "similar-chosen")
-    near = maybe_among(narrow.select("_row", "_text"), "_row", chosen.select("_row")).where("_maybe").drop("_maybe")
-    members = materialize(near.join(chosen, "_row").select("_set", "_text").dropDuplicates(["_set"]), "similar-texts")
-    both = pairs.join(members.toDF("u", "tu"), "u").join(members.toDF("v", "tv"), "v")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, right = None, np.empty(0, np.int64)  # pairs come with equal v together
-        for batch in bounded_batches(batches):
-            hold = np.zeros(batch.num_rows, bool)
-            u, v, tu, tv = (batch.column(i) for i in range(4))
-            for i, (key, text) in enumerate(zip(v.to_pylist(), tu.to_pylist(), strict=True)):
-                if key != known:
-                    known, right = key, shingle_set(tv[i].as_py(), width)
-                left = shingle_set(text, width)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                hold[i] = LEAST[1] * common >= LEAST[0] * (len(left) + len(right) - common)
-            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(hold))
-
-    links = materialize(both.select("u", "v", "tu", "tv").mapInArrow(judge, "u long, v long"), "similar-links")
-    discard(pairs, chosen, members)
-    return links
+from docquarry.llm.common import materialize
+from docquarry.llm.minhash import FULL, similar_roots, sketched
+from docquarry.llm.shingles import maybe_among
+from docquarry.llm.simhash import fingerprint_links
 
 
 def simhash_pairs(sets: DataFrame, most: int) -> DataFrame:
@@ -164,74 +21,41 @@ def simhash_pairs(sets: DataFrame, most: int) -> DataFrame:
     return equal.union(links.join(left, "u").join(right, "v").select("ru", "rv"))
 
 
-def similar_groups(sets: DataFrame, narrow: DataFrame, width: int, most: int) -> DataFrame:
-    """(node, root): the connected components of all pairs of different ``sets`` (of ``narrow``) with Jaccard 4/5 or more.
-
-    First the pairs that operator 3 gives, and each bucket of sets that share a prefix member with one of
-    its own, so large groups of near copies become one component in as many comparisons as they have
-    members. Every pair of the bound shares a prefix member; of a bucket's pairs that are left in different
-    components those are compared that the positional filter lets meet, the smaller set by a member of its
-    first ninth. Only links that hold on the whole sets count.
-    """
-    every = materialize(prefixes(narrow, width, heavy_shingles(sets)), "similar-members")
-    # Most members stand in one set only: they leave before anything else is dealt out.
-    shared = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "similar-shared")
-    rows = maybe_among(every, "h", shared).where("_maybe").drop("_maybe").join(shared, "h", "left_semi")
-    rows = materialize(rows.distinct(), "similar-prefixes")
-    discard(every, shared)
-    first = F.min(F.struct(F.xxhash64("_set").alias("o"), F.col("_set").alias("rep"), F.col("_n").alias("rep_n"), F.col("at").alias("rep_at")))
-    stars = materialize(rows.groupBy("h").agg(first.alias("f")).select("h", "f.rep", "f.rep_n", "f.rep_at"), "similar-stars")
-    met = rows.join(stars, "h").where((F.col("_set") != F.col("rep")) & _can_meet(F.col("_n"), F.col("at"), F.col("rep_n"), F.col("rep_at")))
-    links = verified(simhash_pairs(sets, most).union(met.select("_set", "rep")), sets, narrow, width)
-    roots = materialize(components(links), "similar-roots")
-    labelled = rows.join(roots.toDF("_set", "found"), "_set", "left").withColumn("root", F.coalesce("found", "_set")).drop("found")
-    split = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    left = materialize(labelled.join(materialize(split, "similar-open"), "h", "left_semi"), "similar-left")
-    small = left.where((LEAST[0] + LEAST[1]) * (F.col("_n") - F.col("at")) >= 2 * LEAST[0] * F.col("_n"))
-    other = left.toDF(*[c if c == "h" else f"o_{c}" for c in left.columns])
-    meeting = small.join(other, "h").where(
-        (F.col("root") != F.col("o_root")) & (F.col("_n") <= F.col("o__n")) & (LEAST[1] * F.col("_n") >= LEAST[0] * F.col("o__n"))
-        & _can_meet(F.col("_n"), F.col("at"), F.col("o__n"), F.col("o_at"))
-    )
-    more = verified(meeting.select(F.col("_set").alias("u"), F.col("o__set").alias("v")), sets, narrow, width)
-    return components(links.union(more))
-
-
-def keep_first(docs: DataFrame, found: DataFrame, row_key: Column, id_col: str) -> DataFrame:
+def keep_first(docs: DataFrame, found: DataFrame, row_key: Column) -> DataFrame:
     """One row of ``docs`` of each ``_group`` of ``found`` (_id, _row, _group), ``_row`` being the row's hash ``row_key``.
 
     The smallest id stays, null ids last, of rows with that id one. Rows that are alone in their group are
-    not shuffled; the others meet what is to be kept by their hash.
+    not shuffled; the others meet what is to be kept by their hash. A row travels as one struct, so its
+    columns may have any names.
     """
-    columns = docs.columns
     first = F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = materialize(found.groupBy("_group").agg(first.alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").select("_group", "k.row"), "groups")
     touched = found.join(groups, "_group").select("_row")
-    marked = maybe_among(docs.withColumn("_row", row_key), "_row", touched)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row_key.alias("_row"))
+    marked = maybe_among(packed, "_row", touched)
     keyed = touched.distinct().join(groups.select(F.col("row").alias("_row"), F.lit(True).alias("_first")).distinct(), "_row", "left")
     met = marked.where("_maybe").join(keyed.withColumn("_known", F.lit(True)), "_row", "left")
     # A row that the filter let through without being one of them stays, as often as it stands there.
-    strays = met.where("_known is null").select(*columns)
-    kept = met.where("_first").dropDuplicates(["_row"]).select(*columns)
-    return marked.where("not _maybe").select(*columns).union(strays).union(kept)
+    strays = met.where("_known is null").select("_doc")
+    kept = met.where("_first").dropDuplicates(["_row"]).select("_doc")
+    return marked.where("not _maybe").select("_doc").union(strays).union(kept).select("_doc.*")
 
 
-def keep_one_of_each(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5, most: int = 4) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = 5, most: int = 4, full: int = FULL) -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates: the smallest id stays (null ids last), of rows with that id one.
 
     Near-duplicates have 4/5 or more of their shingles of ``width`` words in common (Jaccard, repeats
     counted once; a shorter text is one shingle); groups are the connected components. Links come from
     operator 3 (fingerprints at ``most`` bits), each checked on its shingles. Fingerprints miss most pairs
-    with a Jaccard near the bound, so what they leave is completed by prefix filtering, which misses none
-    but for equal 64-bit hashes.
+    with a Jaccard near the bound, so what they leave is completed by operator 13's bands and sketches,
+    which miss one of exactly 0.8 once in some 2e7 times.
 
     Null and empty texts have the empty set and are one group. Repeated rows are one group. Very long texts
-    count whole. No rows: no rows. Columns that the work adds do not clash, as only the id, the text and a
-    hash of the row take part.
+    count whole. No rows: no rows. Columns of any names come back as they are.
     """
-    row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
+    row_key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key.alias("_row"))
-    sets = materialize(shingle_sets(narrow, width), "shingle-sets")
-    roots = similar_groups(sets, narrow, width, most)
+    sets = materialize(sketched(narrow, width, ("_id", "_row"), fingerprint=True), "shingle-sets")
+    roots = similar_roots(sets, narrow.select("_row", "_text"), width, simhash_pairs(sets, most), full=full)
     found = sets.select("_id", "_row", "_set").join(roots, sets["_set"] == roots["node"], "left").select("_id", "_row", F.coalesce("root", "_set").alias("_group"))
-    return keep_first(docs, found, row_key, id_col)
+    return keep_first(docs, found, row_key)

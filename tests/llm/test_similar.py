@@ -1,8 +1,7 @@
 import random
 
-import numpy as np
-
-from docquarry.llm.similar import keep_one_of_each, maybe_among, prefix_length
+from docquarry.llm.shingles import maybe_among
+from docquarry.llm.similar import keep_one_of_each
 from docquarry.llm.simhash import shingles_hashes, simhash
 
 
@@ -56,11 +55,6 @@ def test_equals_brute_force_in_every_band(spark):
     assert len(far) > 50  # pairs that fingerprints at 4 bits do not link
 
 
-def test_prefix_is_long_enough():
-    for n in map(np.array, range(1, 60)):
-        assert n - prefix_length(n) < 0.8 * n <= n - prefix_length(n) + 1
-
-
 def test_no_rows_and_no_pairs(spark):
     assert keep_one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert keep_one_of_each(spark.createDataFrame([(1, "a b"), (None, "c d"), (None, "c d")], "doc_id long, text string")).count() == 2
@@ -68,9 +62,15 @@ def test_no_rows_and_no_pairs(spark):
 
 def test_rows_of_one_group(spark):
     rows = [(3, "a b c d e f", "x", 1), (3, "a b c d e f", "x", 1), (2, "A b c d e f", "y", 2), (None, "a b c d e f", "x", 1), (9, None, "x", 1), (8, " ", "x", 1), (5, "other", "z", 0), (None, "p q", "z", 0), (None, "p q", "z", 0)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, _set string, root int")
+    names = "_set string, root int, _row string, _at int, _first string, _known int, _doc int, `a b.c` int"
+    frame = spark.createDataFrame([(*r, "r", 7, "f", 8, 9, 1) for r in rows], f"doc_id long, text string, {names}")
     got = keep_one_of_each(frame)
     assert got.columns == frame.columns
+    assert {tuple(r)[4:] for r in got.collect()} == {("r", 7, "f", 8, 9, 1)}
+    assert_rows(got.select("doc_id", "text", "_set", "root"))
+
+
+def assert_rows(got):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "A b c d e f", "y", 2), (8, " ", "x", 1), (5, "other", "z", 0), (None, "p q", "z", 0)], key=str)
 
 
