@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docquarry.llm.conversations import op12_conversations
 from docquarry.llm.licenses import op2_licenses
 from docquarry.llm.lines import OP1_SQL, op1_lines
 from docquarry.llm.lm import op7_lm
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
+    "op12_conversations": op12_conversations,
     "op13_minhash": op13_minhash,
 }
 ORACLES = {
