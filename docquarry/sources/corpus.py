@@ -134,22 +134,26 @@ def write_points(points: DataFrame, path: str, dim: int, mode: str = "overwrite"
     writer.mode("overwrite").parquet(path)
 
 
-def latest_points(updates: DataFrame) -> DataFrame:
-    """One row of ``updates`` for each id: that of the greatest (path, index, text)."""
-    order = Window.partitionBy("point_id").orderBy(F.desc("source_path"), F.desc("chunk_index"), F.desc("text"))
-    return updates.select(*points_schema().names).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def latest_points(updates: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One row of ``updates`` for each id: that of the greatest ``order_col``, then of the greatest (path, index, text)."""
+    first = [F.desc(order_col)] if order_col else []
+    order = Window.partitionBy("point_id").orderBy(*first, F.desc("source_path"), F.desc("chunk_index"), F.desc("text"))
+    return updates.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*points_schema().names)
 
 
-def upsert_points(existing: DataFrame, updates: DataFrame, *, delete_stale: bool = False) -> DataFrame:
+def upsert_points(existing: DataFrame, updates: DataFrame, *, delete_stale: bool = False, documents: DataFrame | None = None, order_col: str | None = None) -> DataFrame:
     """``existing`` with each row of ``updates`` in place of the one with its id.
 
     Rows of a longer older version of a document stay unless ``delete_stale`` asks for whole documents
-    to be replaced. Of updates with one id the greatest (path, index, text) counts. Both sides are dealt
-    out once, by id; nothing else is shuffled.
+    to be replaced: those of ``documents`` (source_path), else those that have rows in ``updates``, by which a
+    document that has become empty keeps its old rows. Of updates with one id that of the greatest
+    ``order_col`` counts, then the greatest (path, index, text). Both sides are dealt out once, by id; nothing
+    else is shuffled.
     """
     names = points_schema().names
-    latest = latest_points(updates)
+    latest = latest_points(updates, order_col)
     kept = existing.select(*names)
     if delete_stale:
-        kept = kept.join(updates.select("source_path").distinct(), "source_path", "left_anti")
+        whole = updates if documents is None else documents
+        kept = kept.join(whole.select("source_path").distinct(), "source_path", "left_anti")
     return kept.join(latest, "point_id", "left_anti").select(*names).unionByName(latest)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -60,10 +61,15 @@ def drained(changes: DataFrame, emitted: DataFrame, *, gap: str = DEBOUNCE) -> D
 def ingest_stream(
     files: DataFrame, *, points_path: str, ledger_path: str, checkpoint: str, available_now: bool = True, relist: Callable[[], DataFrame] | None = None, **options
 ) -> StreamingQuery:
-    """Each micro-batch of ``files`` brings the points table and the ledger up to date; replays change nothing."""
+    """Each micro-batch of ``files`` brings the points table and the ledger up to date; replays change nothing.
+
+    A micro-batch is known by the query's id, which its checkpoint keeps, and its number.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        ingest(df.sparkSession, df, points_path=points_path, ledger_path=ledger_path, relist=relist, snapshot=f"batch-{number:012d}", **options)
+        spark = df.sparkSession
+        name = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        ingest(spark, df, points_path=points_path, ledger_path=ledger_path, relist=relist, snapshot=name, batch=number, **options)
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
