@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from docquarry.llm.common import bounded_batches, discard, materialize, spread, with_columns_free
 from docquarry.llm.components import components
-from docquarry.llm.shingles import LEAST, maybe_among, set_key, shingle_set, verified
+from docquarry.llm.shingles import LEAST, maybe_among, set_key, shingle_set, texts_of, verified
 from docquarry.llm.simhash import majority, shingles_hashes
 
 ADDED = ("n_shingles", "component_id", "kept")
@@ -22,6 +22,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, as so many longs, and how often a pair of the bound may be thought too far apart.
 WORDS, MISS = 8, 1e-9
+#: Nearest sets are looked at when their sketches are no further apart than those of all but this share of pairs of the bound.
+LIKELY = 0.02
 #: Sets in a slot from which on they are dealt out again by their other bands.
 FULL = 4096
 _SKETCH = [f"s{i}" for i in range(WORDS)]
@@ -154,11 +156,11 @@ def star_pairs(slots: DataFrame, most: int) -> DataFrame:
     return met.select(F.col("a._set").alias("u"), F.col("b._set").alias("v"))
 
 
-def open_pairs(slots: DataFrame, roots: DataFrame, classes: DataFrame, most: int, full: int = FULL) -> DataFrame:
-    """Pairs of one slot that ``roots`` has in different components and whose sketches are close.
+def open_slots(slots: DataFrame, roots: DataFrame, classes: DataFrame, full: int) -> DataFrame:
+    """Rows (key, _set, _n, root, sketch) of the slots that hold sets of different components.
 
-    Slots that lie in one component are done. One with more than ``full`` sets is dealt out again by all
-    other bands of its sets: two of the bound that share it share another band too, but for once in 1e7 times.
+    A slot of more than ``full`` sets is dealt out again by all other bands of its sets: two of the bound that
+    share it share another band too, but for once in 1e7 times.
     """
     labelled = slots.join(roots.toDF("_set", "found"), "_set", "left").withColumn("root", F.coalesce("found", "_set")).drop("found")
     counted = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("tenants")).where("lo <> hi")
@@ -166,18 +168,145 @@ def open_pairs(slots: DataFrame, roots: DataFrame, classes: DataFrame, most: int
     left = materialize(labelled.join(counted, "key"), "minhash-left")
     again = left.where("full").join(classes.select("_set", "bands"), "_set").withColumn("other", F.explode("bands")).where("other <> key")
     again = again.withColumn("key", F.xxhash64("key", "other")).select("key", "_set", "_n", "root", *_SKETCH)
-    rows = left.where("not full").select("key", "_set", "_n", "root", *_SKETCH).union(again)
-    pairs = rows.alias("a").join(rows.alias("b"), "key").where((F.col("a._set") < F.col("b._set")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b", most))
-    return pairs.select(F.col("a._set").alias("u"), F.col("b._set").alias("v"))
+    return left.where("not full").select("key", "_set", "_n", "root", *_SKETCH).union(again)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a partition sorted by its first column, cut so that equal keys stand in one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        if key[0] == key[-1]:
+            if held and held[-1].column(0)[0].as_py() != key[0]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch)
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        yield pa.concat_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _slots_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Begin and end of each key with two rows or more."""
+    key = np.asarray(batch.column(0))
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    yield from ((b, e) for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if e - b > 1)
+
+
+class _Slot:
+    """The sets of one slot: which can be links by their sizes and sketches, and are not connected yet."""
+
+    def __init__(self, columns: list[np.ndarray], most: int):
+        self.sets, self.sizes, self.roots = columns[:3]
+        self.sketch = np.stack(columns[3:], axis=1).view(np.uint64)
+        self.most = most
+
+    def apart(self, i: int, rows: slice | np.ndarray) -> np.ndarray:
+        """Bits between sketch i and those of ``rows``; more than can be where the pair is none to look at."""
+        z = np.bitwise_count(self.sketch[rows] ^ self.sketch[i]).sum(axis=1, dtype=np.int64)
+        n, m = self.sizes[rows], self.sizes[i]
+        fits = (self.roots[rows] != self.roots[i]) & (LEAST[1] * np.minimum(n, m) >= LEAST[0] * np.maximum(n, m)) & (z <= self.most)
+        return np.where(fits, z, 64 * WORDS + 1)
+
+
+def _arrays(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
+    return [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in names]
+
+
+def nearest_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs (u, v) of each set with the one of its slot that is nearest by sketch and of another component: one a row at most."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches):
+            columns = _arrays(batch, ["_set", "_n", "root", *_SKETCH])
+            pairs = []
+            for begin, end in _slots_of(batch):
+                slot = _Slot([c[begin:end] for c in columns], most)
+                for i in range(end - begin):
+                    z = slot.apart(i, slice(None))
+                    if z[j := int(z.argmin())] <= most:
+                        pairs.append((slot.sets[i], slot.sets[j]))
+            found = np.array(pairs, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(find, "u long, v long")
+
+
+def undecided(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of sets that have one in their slot, not connected to them, to which the sketches allow a link."""
+    names = ["key", "_set", "_n", "root", *_SKETCH]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches):
+            columns = _arrays(batch, names[1:])
+            hold = np.zeros(batch.num_rows, bool)
+            for begin, end in _slots_of(batch):
+                slot = _Slot([c[begin:end] for c in columns], most)
+                for i in range(end - begin):
+                    if not hold[begin + i]:
+                        near = slot.apart(i, slice(None)) <= most
+                        hold[begin:end] |= near
+                        hold[begin + i] = near.any()
+            yield batch.filter(pa.array(hold))
+
+    ordered = rows.select(*names).repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(find, ordered.schema)
+
+
+def links_in_slots(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """Links (u, v) that connect what is linked in each slot, by whole sets: ``rows`` has the texts (_text) too.
+
+    Sets of a slot that the sketches allow to link are compared by all their shingles where they have met, unless
+    they are connected already; so out comes a forest, shorter than the slot.
+    """
+
+    def link(slot: _Slot, texts: list[str]) -> Iterator[tuple[int, int]]:
+        sets = [shingle_set(t, width) for t in texts]
+        size = np.array([len(x) for x in sets])
+        _, members = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.concatenate(([0], np.cumsum(size)))
+        there = np.zeros(int(members.max(initial=-1)) + 1, bool)
+        for i in range(len(sets)):
+            near = np.flatnonzero(slot.apart(i, slice(i + 1, None)) <= most) + i + 1
+            if not len(near):
+                continue
+            own = members[begins[i] : begins[i + 1]]
+            there[own] = True
+            for j in near.tolist():
+                if slot.roots[i] != slot.roots[j]:
+                    common = int(np.count_nonzero(there[members[begins[j] : begins[j + 1]]]))
+                    if LEAST[1] * common >= LEAST[0] * (size[i] + size[j] - common):
+                        yield int(slot.sets[i]), int(slot.sets[j])
+                        slot.roots[slot.roots == slot.roots[j]] = slot.roots[i]
+            there[own] = False
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches):
+            columns = _arrays(batch, ["_set", "_n", "root", *_SKETCH])
+            texts = batch.column(batch.schema.get_field_index("_text"))
+            found = []
+            for begin, end in _slots_of(batch):
+                found += link(_Slot([c[begin:end].copy() for c in columns], most), texts.slice(begin, end - begin).to_pylist())
+            table = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["u", "v"])
+
+    ordered = rows.select("key", "_set", "_n", "root", *_SKETCH, "_text").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(find, "u long, v long")
 
 
 def similar_roots(sets: DataFrame, narrow: DataFrame, width: int, more: DataFrame | None = None, *, full: int = FULL) -> DataFrame:
     """(node, root): the connected components of all pairs of different ``sets`` (of ``narrow``) with Jaccard 4/5 or more.
 
     Sets meet in the slots of their bands. First each is compared with one set of each of its slots (and by
-    the pairs ``more``), so a large group of near copies becomes one component in as many comparisons as it
-    has members; then the pairs that are left in different components. Sketches say which pairs are worth
-    their texts; only links that hold on the whole sets count.
+    the pairs ``more``), then, where a slot still holds sets of different components, with the nearest of
+    another one by sketch; so a large group of near copies becomes one component in as many comparisons as it
+    has members. What is left over is compared in its slots, with whole sets at hand: no list of pairs is made that
+    grows with the square of a group. Only links that hold on the whole sets count.
     """
     most = most_apart()
     columns = [F.first(c).alias(c) for c in ("_n", "bands", *_SKETCH)]
@@ -186,9 +315,13 @@ def similar_roots(sets: DataFrame, narrow: DataFrame, width: int, more: DataFram
     pairs = star_pairs(slots, most)
     links = verified(pairs.union(more) if more is not None else pairs, sets, narrow, width)
     roots = materialize(components(links), "minhash-roots")
-    others = verified(open_pairs(slots, roots, classes, most, full), sets, narrow, width)
-    found = components(links.union(others))
-    discard(roots, slots, classes)
+    links = links.union(verified(nearest_pairs(open_slots(slots, roots, classes, full), most_apart(LIKELY)), sets, narrow, width))
+    roots = materialize(components(links), "minhash-roots")
+    left = materialize(undecided(open_slots(slots, roots, classes, full // 8), most), "minhash-undecided")
+    texts = texts_of(left.select("_set").distinct(), sets, narrow)
+    links = links.union(materialize(links_in_slots(left.join(texts, "_set"), width, most), "minhash-links"))
+    found = components(links)
+    discard(slots, classes, left, texts)
     return found
 
 

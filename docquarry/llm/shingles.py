@@ -43,19 +43,25 @@ def set_key(members: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(members.tobytes())
 
 
+def texts_of(needed: DataFrame, sets: DataFrame, narrow: DataFrame) -> DataFrame:
+    """(_set, _text): one text of each set in ``needed`` (_set); ``sets`` (_set, _row) and ``narrow`` (_row, _text) say where."""
+    chosen = maybe_among(sets.select("_set", "_row"), "_set", needed).where("_maybe")
+    chosen = materialize(chosen.groupBy("_set").agg(F.min("_row").alias("_row")).join(needed, "_set", "left_semi"), "similar-chosen")
+    near = maybe_among(narrow.select("_row", "_text"), "_row", chosen.select("_row")).where("_maybe").drop("_maybe")
+    found = materialize(near.join(chosen, "_row").select("_set", "_text").dropDuplicates(["_set"]), "similar-texts")
+    discard(chosen)
+    return found
+
+
 def verified(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
     """Links (u, v) of ``pairs`` (u, v) whose sets have the Jaccard asked for, by all their shingles.
 
-    ``sets`` (_set, _row) and ``narrow`` (_row, _text) say where a set's text is. One text of each set is
-    fetched (texts take less room than the hashes of their shingles), and each pair is worked out where its
-    two texts have met.
+    One text of each set is fetched (``texts_of``; texts take less room than the hashes of their shingles), and each
+    pair is worked out where its two texts have met.
     """
     pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
     needed = pairs.select(F.col("u").alias("_set")).union(pairs.select("v")).distinct()
-    chosen = maybe_among(sets.select("_set", "_row"), "_set", needed).where("_maybe")
-    chosen = materialize(chosen.groupBy("_set").agg(F.min("_row").alias("_row")).join(needed, "_set", "left_semi"), "similar-chosen")
-    near = maybe_among(narrow.select("_row", "_text"), "_row", chosen.select("_row")).where("_maybe").drop("_maybe")
-    members = materialize(near.join(chosen, "_row").select("_set", "_text").dropDuplicates(["_set"]), "similar-texts")
+    members = texts_of(needed, sets, narrow)
     both = pairs.join(members.toDF("u", "tu"), "u").join(members.toDF("v", "tv"), "v")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,5 +78,5 @@ def verified(pairs: DataFrame, sets: DataFrame, narrow: DataFrame, width: int) -
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(hold))
 
     links = materialize(both.select("u", "v", "tu", "tv").mapInArrow(judge, "u long, v long"), "similar-links")
-    discard(pairs, chosen, members)
+    discard(pairs, members)
     return links

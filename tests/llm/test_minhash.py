@@ -35,8 +35,7 @@ def test_equals_brute_force(spark, tmp_path):
 
 
 def test_full_slots_are_dealt_out_again(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "FULL", 2)
-    monkeypatch.setattr(minhash.similar_roots, "__kwdefaults__", {"full": 2})
+    monkeypatch.setattr(minhash.similar_roots, "__kwdefaults__", {"full": 16})
     rows = corpus(9)
     got = [tuple(r) for r in minhash_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(brute_force(rows))
@@ -75,7 +74,23 @@ def test_one_opening_makes_no_pairs(spark):
     sets = minhash.sketched(spark.createDataFrame(rows, "_id long, _text string"), 5, ("_id",))
     slots = minhash.shared_slots(sets)
     nothing = spark.createDataFrame([], "node long, root long")
-    assert minhash.star_pairs(slots, most_apart()).count() + minhash.open_pairs(slots, nothing, sets, most_apart()).count() < 5000
+    left = minhash.open_slots(slots, nothing, sets, minhash.FULL)
+    assert minhash.star_pairs(slots, most_apart()).count() + minhash.undecided(left, most_apart()).count() < 5000
+
+
+def test_family_below_the_bound_makes_no_square(spark):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base, 9))) for i in range(400)]  # Jaccard of two some 0.55: near the bound, no links
+    narrow = spark.createDataFrame(rows, "_id long, _text string").selectExpr("_id", "_text", "_id as _row")
+    sets = minhash.sketched(narrow, 4, ("_id", "_row"))
+    slots = minhash.shared_slots(sets)
+    nothing = spark.createDataFrame([], "node long, root long")
+    left = minhash.open_slots(slots, nothing, sets, minhash.FULL)
+    assert minhash.nearest_pairs(left, most_apart(minhash.LIKELY)).count() <= slots.count()
+    assert minhash.undecided(left, most_apart()).count() <= slots.count()
+    got = [tuple(r) for r in minhash_near_duplicates(narrow.selectExpr("_id as doc_id", "_text as text")).collect()]
+    assert sorted(got) == sorted(brute_force(rows))
 
 
 def test_nulls_repeats_and_clashes(spark):
