@@ -1,19 +1,14 @@
-"""Structured Streaming forms: document source, debounce, micro-batch ingest, stateful cache."""
+"""Structured Streaming forms: document source, debounce, micro-batch ingest."""
 
 from __future__ import annotations
 
 import json
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docquarry.functions.vectors import DIMENSION, LSH_BITS, LSH_SEED
-from docquarry.operators.cache import MAX_ENTRIES, REPLAY, ShardCache
 from docquarry.operators.ingest import ingest
 from docquarry.sources.corpus import FILES, _plain_path
 
@@ -25,11 +20,11 @@ def stream_markdown(spark: SparkSession, root: str, *, max_files: int = 1024) ->
     """New ``.md`` files below ``root`` as a stream: the first trigger gives all that are there.
 
     ``max_files`` a trigger holds back the rest. A file that is written anew is not read again by this
-    source: changed files come through a table of changes, or a listing met with the ledger.
+    source: ``files.watch_markdown`` is the one that does. A file deleted before it is read is passed over.
     """
     files = (
         spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-        .option("maxFilesPerTrigger", max_files).load(root)
+        .option("ignoreMissingFiles", True).option("maxFilesPerTrigger", max_files).load(root)
     )
     return files.where(F.col("path").rlike(r"[^/]\.md$")).select(_plain_path(F.col("path")).alias("source_path"), "content", "length", "modificationTime")
 
@@ -49,13 +44,13 @@ def drained(changes: DataFrame, emitted: DataFrame, *, gap: str = DEBOUNCE) -> D
     """The runs of ``changes`` (all changes of a stopped stream, as a table) that are not among the ``emitted`` ones.
 
     A stream in append mode closes a run when its watermark passes the run's end, so it stops with the last
-    ones open. They are found by the batch form: with what the stream has emitted, every run is handed over
-    once and none is lost. Late changes that the stream dropped come out too, in the run they belong to.
+    ones open. A change counts as handed over if an emitted run holds its path at its time; what is left is
+    debounced by itself, so late changes that the stream dropped come out too, without those they would have
+    been with. All changes are met with all runs by (root, path): ``stateful.open_runs`` reads just what is open.
     """
-    runs = debounce(changes, gap=gap)
-    known = emitted.select("root", F.explode("paths").alias("path"), "started").distinct()
-    open_paths = runs.select("root", "started", "ended", F.explode("paths").alias("path")).join(known, ["root", "started", "path"], "left_anti")
-    return open_paths.groupBy("root", "started", "ended").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    held = emitted.select("root", F.explode("paths").alias("path"), F.col("started").alias("_from"), F.col("ended").alias("_to"))
+    same = (changes["root"] == held["root"]) & (changes["path"] == held["path"]) & (changes["ts"] >= held["_from"]) & (changes["ts"] <= held["_to"])
+    return debounce(changes.join(held, same, "left_anti"), gap=gap)
 
 
 def ingest_stream(
@@ -73,26 +68,3 @@ def ingest_stream(
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def stream_cache(
-    log: DataFrame, shard_col: str, order_col: str, *, max_entries: int = MAX_ENTRIES, dim: int = DIMENSION, num_bits: int = LSH_BITS, seed: int = LSH_SEED
-) -> DataFrame:
-    """``replay_cache`` of a stream: the state of a shard is its cache, of ``max_entries`` at most.
-
-    Within a micro-batch a shard's queries run in the order of ``order_col``, for which a task holds that
-    shard's part of the micro-batch: bound it by the source's rate limit.
-    """
-    rows = log.select(F.col(shard_col).cast("string").alias("shard"), F.col(order_col).cast("long").alias("seq"), "query", "value").where("query is not null")
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cache = ShardCache(max_entries, dim, num_bits, seed)
-        if state.exists:
-            entries, cache.by_bucket = pickle.loads(state.get[0])  # noqa: S301  written by this function
-            cache.entries.update(entries)
-        arrived = pd.concat(list(frames)).sort_values(["seq", "query"], kind="stable")
-        out = [(key[0], seq, query, *cache.ask(query, value)) for _, seq, query, value in arrived.itertuples(index=False, name=None)]
-        state.update((pickle.dumps((list(cache.entries.items()), cache.by_bucket)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
-
-    return rows.groupBy("shard").applyInPandasWithState(step, REPLAY, "entries binary", "append", GroupStateTimeout.NoTimeout)

@@ -7,7 +7,7 @@ from docquarry.functions.vectors import bytes_vector
 from docquarry.operators import cache as ca
 from docquarry.operators import search as se
 from docquarry.operators import wire as wi
-from docquarry.streaming.stream import stream_cache
+from docquarry.streaming.stateful import stream_cache
 
 
 def tables(spark, n=60, dim=6):
@@ -117,7 +117,7 @@ def test_replay(spark):
     assert {r["outcome"] for r in got} == {"SureHit", "GreyZone", "Miss"} or {r["outcome"] for r in got} == {"SureHit", "Miss"}
 
 
-def test_stream_of_queries(spark, tmp_path):
+def test_stream_of_queries(spark, tmp_path, rocksdb):
     log = query_log()
     frame = spark.createDataFrame(log, "user string, n long, query string, value string")
     for k in range(2):
