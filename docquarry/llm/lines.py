@@ -100,7 +100,14 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc
     paired but a later place with its earliest one: fingerprints and contents are aggregated with map-side
     combine, so a line that stands everywhere costs its own places and no more.
     """
-    lines = materialize(lines_of(docs, text_col, id_col, min_words), "lines")
+    written = materialize(lines_of(docs, text_col, id_col, min_words).withColumn("_copy", F.monotonically_increasing_id()), "lines")
+    # Of rows that repeat id and text one counts; only ids and hashes are dealt out to find them.
+    copies = written.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("n"), F.min("_copy").alias("_one")).where("n > 1")
+    copies = materialize(copies.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "_one"), "line-copies")
+    lines = written
+    if not copies.isEmpty():
+        met = written.join(copies, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
+        lines = materialize(met.where("_one is null or _one = _copy").drop("_doc", "_row", "_one"), "lines-once")
     found = lines.select("doc", "row", F.inline(F.arrays_zip(*_WINDOW)))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", F.col("anchor").alias("at"))
     # The small tables are written, so the joins below stand on plain exchanges and a hot key is split.

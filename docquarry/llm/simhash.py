@@ -216,15 +216,22 @@ def fingerprint_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """
     plan = segment_plan(most, distinct.count())
     visits = _visits(distinct.select("fp"), *_slots(F.col("fp"), plan), "slot")
-    marked = visits.join(_full(visits, "slot"), "slot", "left")
+    # Full slots are written before visits meet them: mostly there are none, else the joins stand on plain exchanges.
+    full = materialize(_full(visits, "slot"), "simhash-full")
+    if full.isEmpty():
+        return _linked_cells(visits.select("fp", "home", F.xxhash64("slot").alias("cell")), most)
+    marked = visits.join(full, "slot", "left")
     plain = marked.where("tiles is null").select("fp", "home", F.xxhash64("slot").alias("cell"))
     inner = _visits(marked.where("tiles is not null").select("fp", "slot"), *_slots_within(F.col("fp"), F.col("slot"), plan, most), "sub")
-    tiled = inner.join(_full(inner, "slot", "sub"), ["slot", "sub"], "left")
+    tiled = inner.join(materialize(_full(inner, "slot", "sub"), "simhash-full"), ["slot", "sub"], "left")
     tiled = tiled.withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
     own = F.col("tile") == F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1)))
     deep = tiled.select("fp", (F.col("home") & own).alias("home"), F.xxhash64("slot", "sub", "tile").alias("cell"))
-    rows = plain.union(deep).repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInPandas(_link_slots(most), "u long, v long")
+    return _linked_cells(plain.union(deep), most)
+
+
+def _linked_cells(rows: DataFrame, most: int) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_link_slots(most), "u long, v long")
 
 
 def simhash_near_duplicates(

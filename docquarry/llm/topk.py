@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +18,13 @@ _LOW = (1 << _DIGIT) - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a long, x as double; null if the vector takes no part."""
+    """floor(scale * x) of each component as a long, x as double; null if the vector takes no part. What is no long is an error."""
     usable = (F.size(vector) > 0) & ~F.exists(
         vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf")))
     )
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")))
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    too_large = F.raise_error(F.lit(f"a component times {scale} is no 64-bit integer")).cast("long")
+    return F.when(usable, F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < F.lit(float(1 << 63)), F.floor(scaled(x)).cast("long")).otherwise(too_large)))
 
 
 def slices_of(values: np.ndarray) -> np.ndarray:
@@ -70,7 +71,7 @@ def block_scores(sliced: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.n
     columns, bits, words = sliced.shape
     size = np.abs(queries)
     digits = max(1, -(-int(size.max(initial=0)).bit_length() // _DIGIT))
-    width = min(64, bits + int(size.sum(axis=1).max(initial=0)).bit_length() + 2)
+    width = bits + max((sum(row).bit_length() for row in size.tolist()), default=0) + 2
     table = _multiples(sliced, int(((size[:, :, None] >> (_DIGIT * np.arange(digits))) & _LOW).max(initial=0)), width)
     s, t, u, x = (np.empty((width, words), np.uint64) for _ in range(4))
     carries = np.zeros((width + 1, words), np.uint64)  # row k + 1 takes the carry of row k
@@ -123,11 +124,18 @@ def top_rows(score: np.ndarray, valid: np.ndarray, k: int) -> np.ndarray:
     return sure | open_
 
 
-def _scores_at(score: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _scores_at(score: np.ndarray, rows: np.ndarray, below: int = 0) -> np.ndarray:
+    """The numbers at ``rows``, plus ``below``; an error if one is no 64-bit integer."""
     bits = (score[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)
-    weight = np.left_shift(np.int64(1), np.arange(len(score), dtype=np.int64))
-    weight[-1] = -weight[-1]
-    return (bits.astype(np.int64) * weight[:, None]).sum(axis=0)
+    n = len(bits)
+    if n <= 62:
+        weight = np.left_shift(np.int64(1), np.arange(n, dtype=np.int64))
+        weight[-1] = -weight[-1]
+        return (bits.astype(np.int64) * weight[:, None]).sum(axis=0) + below
+    whole = [sum(1 << k for k, bit in enumerate(column[:-1]) if bit) - (column[-1] << (n - 1)) + below for column in bits.T.tolist()]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in whole):
+        raise OverflowError("an inner product among the highest of a block is no 64-bit integer")
+    return np.array(whole, np.int64)
 
 
 def _index_block(group: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +168,7 @@ def _search(k: int):
                 mask = valid.copy()
                 np.bitwise_and.at(mask, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
             rows = np.flatnonzero(np.unpackbits(top_rows(score, mask, k).view(np.uint8), bitorder="little"))
-            found = _scores_at(score, rows) + below
+            found = _scores_at(score, rows, below)
             best = np.lexsort((ids[rows], -found))[:k]  # boundary rows: smaller id first
             out.append((np.full(len(best), query_ids[i]), np.full(len(best), numbers[i]), ids[rows][best], found[best]))
         return pd.DataFrame(dict(zip(empty.columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -193,21 +201,19 @@ def top_k(
     Vectors null, without components, or holding null, NaN or infinite components take no part, nor do rows
     with a null id. Vectors meet those with as many components; with others there is no inner product.
     Rows that repeat an id are candidates one by one; queries that repeat id and vector are answered
-    once, and a query id with different vectors is answered for each. Components so large that an inner
-    product could pass 62 bits are an error, raised before the search. An empty table gives no rows.
+    once, and a query id with different vectors is answered for each. Sums have as many slices as their
+    block needs, so components of any size are added exactly; a component, or a
+    score among the highest of a block, that is no 64-bit integer is an error. An empty table gives no rows.
     """
     ready = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("values"))
     ready = ready.where("id is not null and values is not null").withColumn("dim", F.size("values"))
-    ready = materialize(ready.withColumn("largest", F.array_max(F.transform("values", lambda x: F.abs(x.cast("double"))))), "quantised")
+    ready = materialize(ready, "quantised")
     asked = F.count_if(F.col("id") % every == 0)
     blocks = ready.groupBy(F.col("dim").alias("d")).agg(
         F.ceil(F.count(F.lit(1)) / INDEX_ROWS).cast("int").alias("index_blocks"), F.greatest(F.lit(1), F.ceil(asked / QUERY_ROWS)).cast("int").alias("query_blocks"),
-        (F.max("largest") * F.max("largest") * F.col("d")).alias("most"),
     )
     blocks = materialize(blocks, "topk-blocks")  # a row for each number of components
-    if (found := blocks.where(F.col("most") >= float(1 << 62)).first()) is not None:
-        raise ValueError(f"components of up to {math.sqrt(found['most'] / found['d']):.3g} (times {scale}) in vectors of {found['d']}: inner products may pass 62 bits")
-    placed = ready.drop("largest").join(blocks.drop("most"), F.col("dim") == F.col("d")).drop("d")
+    placed = ready.join(blocks, F.col("dim") == F.col("d")).drop("d")
     place = F.xxhash64(F.monotonically_increasing_id())
     index = (
         placed.withColumn("ib", F.pmod(place, F.col("index_blocks")).cast("int"))

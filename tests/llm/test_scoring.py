@@ -133,9 +133,17 @@ def test_vectors_of_all_sizes(spark):
     assert sorted(map(tuple, got)) == sorted(want) and 0 < len(want) < 15
     big = spark.createDataFrame([(0, [1e3, 2e7]), (1, [2e7, 1.0])], "vec_id long, embedding array<double>")
     assert [r["score"] for r in top_k(big).collect()] == [64 * 64 * (2 * 10**10 + 2 * 10**7)]
-    for wide in (1e9, 1e18, 1e300):
-        with pytest.raises(ValueError, match="62 bits"):
-            top_k(spark.createDataFrame([(0, [wide, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    rows = [(i, [rng.uniform(-1, 1) * (5e6 if i == 3 else 1) for _ in range(64)]) for i in range(60)] + [(60, [5e6] * 64), (80, [-5e6] * 64)]
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()}
+    for q in (0, 20, 40, 60, 80):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:2]
+        assert [got[q, n] for n in (1, 2)] == [(i, -s) for s, i in best]
+    wide = [(0, [2e8] * 64), (1, [-2e8] * 64), (2, [1.0] * 64)]  # its lowest score is no long, and it is not among the highest
+    assert [tuple(r)[2:] for r in top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), k=1).collect()] == [(2, 64 * 64 * 64 * 2 * 10**8)]
+    for far in (1e12, 1e300):
+        with pytest.raises(Exception, match="no 64-bit integer"):
+            top_k(spark.createDataFrame([(0, [far, 1.0]), (1, [far, 1.0])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
