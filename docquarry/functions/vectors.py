@@ -94,15 +94,14 @@ def _matrix(rows: Sequence[np.ndarray]) -> np.ndarray:
 @F.pandas_udf(QUANTIZED)
 def quantize(vectors: pd.Series) -> pd.DataFrame:
     """8-bit values with their scale, and the norm of the vector before; null for null. Lengths may differ."""
-    out = pd.DataFrame({"values": [None] * len(vectors), "scale": np.nan, "norm": np.nan}, dtype=object)
-    sizes = vectors.map(lambda v: -1 if v is None else len(v))
-    for size in sizes.unique():
-        if size < 0:
-            continue
-        rows = np.flatnonzero(sizes.to_numpy() == size)
+    made = [np.empty(len(vectors), object), np.full(len(vectors), np.nan, object), np.full(len(vectors), np.nan, object)]
+    sizes = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+    for size in np.unique(sizes[sizes >= 0]):
+        rows = np.flatnonzero(sizes == size)
         values, scale, norm = quantized(_matrix([vectors.iloc[i] for i in rows]))
-        for at, i in enumerate(rows):
-            out.iat[i, 0], out.iat[i, 1], out.iat[i, 2] = values[at], scale[at], norm[at]
+        made[0][rows] = list(values) if size else [np.empty(0, np.int8) for _ in rows]
+        made[1][rows], made[2][rows] = scale, norm
+    out = pd.DataFrame(dict(zip(("values", "scale", "norm"), made, strict=True)), dtype=object)
     return out.where(out.notna(), None)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the one that all executors share: spark.checkpoint.dir, else the warehouse.
 
-    It is deleted when the driver's JVM ends.
+    It is deleted when the driver's JVM ends. Without spark.checkpoint.dir a warehouse on a local disk is taken
+    only where all tasks run on this machine; on a cluster that is an error, as each executor would write to a
+    disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{(found or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/docquarry-{spark.sparkContext.applicationId}"
+    root = (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master) and urlsplit(root).scheme in ("", "file"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse, {root}, is a local one")
+    folder = f"{root}/docquarry-{spark.sparkContext.applicationId}"
     fs, path = _file_system(spark, folder)
     if not fs.exists(path):  # only what is there can be marked
         fs.mkdirs(path)
@@ -69,10 +76,14 @@ def discard(*tables: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it lies in fewer than half as many filled partitions; else as it is.
 
-    A file of one row group is read by one task. Large tables have more partitions than cores and stay put.
+    A file of one row group is read by one task. Large tables have more partitions than cores and stay put: the
+    plan tells that, and only where there are few partitions are the filled ones counted.
     """
     from pyspark.sql import functions as F
 
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() != "AdaptiveSparkPlan" and plan.execute().getNumPartitions() > 4 * cores:
+        return df
     filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
     return df.repartition(cores) if 0 < 2 * filled <= cores else df
