@@ -259,43 +259,49 @@ def undecided(rows: DataFrame, most: int) -> DataFrame:
 
 
 def links_in_slots(rows: DataFrame, width: int, most: int) -> DataFrame:
-    """Links (u, v) that connect what is linked in each slot, by whole sets: ``rows`` has the texts (_text) too.
+    """Links (u, v) that connect what is linked in each slot, by whole sets: ``rows`` has the bands and texts (_text) too.
 
-    Sets of a slot that the sketches allow to link are compared by all their shingles where they have met, unless
-    they are connected already; so out comes a forest, shorter than the slot.
+    Sets of a slot that the sketches allow to link are compared by all their shingles, unless they are connected
+    already, in the first slot that they share; so out comes a forest, shorter than the slot. A set of the
+    slot's largest component is compared with those of others only.
     """
 
-    def link(slot: _Slot, texts: list[str]) -> Iterator[tuple[int, int]]:
+    def link(slot: _Slot, bands: np.ndarray, key: int, texts: list[str]) -> Iterator[tuple[int, int]]:
         sets = [shingle_set(t, width) for t in texts]
         size = np.array([len(x) for x in sets])
         _, members = np.unique(np.concatenate(sets), return_inverse=True)
-        begins = np.concatenate(([0], np.cumsum(size)))
-        there = np.zeros(int(members.max(initial=-1)) + 1, bool)
-        for i in range(len(sets)):
-            near = np.flatnonzero(slot.apart(i, slice(i + 1, None)) <= most) + i + 1
-            if not len(near):
+        begins = np.cumsum(size) - size
+        there = np.zeros(int(members.max()) + 1, bool)
+        names, n = np.unique(slot.roots, return_counts=True)
+        dealt_again = not (bands[0] == key).any()
+        for i in np.flatnonzero(slot.roots != names[n.argmax()]).tolist():
+            near = slot.apart(i, slice(None)) <= most
+            if not dealt_again:
+                near &= bands[i][(bands == bands[i]).argmax(axis=1)] == key
+            if not near.any():
                 continue
-            own = members[begins[i] : begins[i + 1]]
+            own = members[begins[i] : begins[i] + size[i]]
             there[own] = True
-            for j in near.tolist():
-                if slot.roots[i] != slot.roots[j]:
-                    common = int(np.count_nonzero(there[members[begins[j] : begins[j + 1]]]))
-                    if LEAST[1] * common >= LEAST[0] * (size[i] + size[j] - common):
-                        yield int(slot.sets[i]), int(slot.sets[j])
-                        slot.roots[slot.roots == slot.roots[j]] = slot.roots[i]
+            common = np.add.reduceat(there[members], begins, dtype=np.int64)
             there[own] = False
+            for j in np.flatnonzero(near & (LEAST[1] * common >= LEAST[0] * (size[i] + size - common))).tolist():
+                if slot.roots[i] != slot.roots[j]:
+                    yield int(slot.sets[i]), int(slot.sets[j])
+                    slot.roots[slot.roots == slot.roots[j]] = slot.roots[i]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
-            columns = _arrays(batch, ["_set", "_n", "root", *_SKETCH])
+            keys, *columns = _arrays(batch, ["key", "_set", "_n", "root", *_SKETCH])
+            bands = np.asarray(batch.column(batch.schema.get_field_index("bands")).flatten()).reshape(-1, BANDS)
             texts = batch.column(batch.schema.get_field_index("_text"))
             found = []
             for begin, end in _slots_of(batch):
-                found += link(_Slot([c[begin:end].copy() for c in columns], most), texts.slice(begin, end - begin).to_pylist())
+                slot = _Slot([c[begin:end].copy() for c in columns], most)
+                found += link(slot, bands[begin:end], int(keys[begin]), texts.slice(begin, end - begin).to_pylist())
             table = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["u", "v"])
 
-    ordered = rows.select("key", "_set", "_n", "root", *_SKETCH, "_text").repartition("key").sortWithinPartitions("key")
+    ordered = rows.select("key", "_set", "_n", "root", *_SKETCH, "bands", "_text").repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(find, "u long, v long")
 
 
@@ -317,11 +323,11 @@ def similar_roots(sets: DataFrame, narrow: DataFrame, width: int, more: DataFram
     roots = materialize(components(links), "minhash-roots")
     links = links.union(verified(nearest_pairs(open_slots(slots, roots, classes, full), most_apart(LIKELY)), sets, narrow, width))
     roots = materialize(components(links), "minhash-roots")
-    left = materialize(undecided(open_slots(slots, roots, classes, full // 8), most), "minhash-undecided")
-    texts = texts_of(left.select("_set").distinct(), sets, narrow)
+    left = materialize(undecided(open_slots(slots, roots, classes, full), most), "minhash-undecided")
+    texts = texts_of(left.select("_set").distinct(), sets, narrow).join(classes.select("_set", "bands"), "_set")
     links = links.union(materialize(links_in_slots(left.join(texts, "_set"), width, most), "minhash-links"))
     found = components(links)
-    discard(slots, classes, left, texts)
+    discard(slots, classes, left)
     return found
 
 
