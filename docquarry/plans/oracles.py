@@ -283,3 +283,4 @@ ORACLES = {
           ELSE ',"result":{{"content":[{{"type":"text","text":"' || answer || '"}}],"isError":false}}}}' END AS reply
       FROM parsed WHERE NOT parse_error""",
 }
+ORACLES["topk_cells"] = ORACLES["topk_search"]

@@ -9,6 +9,7 @@ from docquarry.functions import text as tx
 from docquarry.functions import vectors as vx
 from docquarry.functions.chunking import MAX_BYTES, byte_slices, chunk_documents, pack_sentences
 from docquarry.operators import cache as ca
+from docquarry.operators import cells as ce
 from docquarry.operators import ingest as ig
 from docquarry.operators import search as se
 from docquarry.operators import wire as wi
@@ -261,6 +262,13 @@ def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "point_id", "source_path", F.round("score", 4).alias("score"))
 
 
+def topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of cells, of which only those are read that can hold a result."""
+    points = _points(spark, sf_dir)
+    found, _ = ce.cell_top_k(_searched(spark, sf_dir), ce.cell_index(points, DIM))
+    return found.join(points.select("point_id", "source_path"), "point_id").select("query_id", "rank", "point_id", "source_path", F.round("score", 4).alias("score"))
+
+
 def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.search(_searched(spark, sf_dir), _points(spark, sf_dir))
 

@@ -43,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "base64_vectors": q.base64_vectors,
     "similarity_join": q.similarity_join,
     "topk_search": q.topk_search,
+    "topk_cells": q.topk_cells,
     "answer_queries": q.answer_queries,
     "probe_cache": q.probe_cache,
     "replay_cache": q.replay_cache,
