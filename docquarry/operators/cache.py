@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +82,6 @@ def probe_cache(
 
 
 class _Entry(NamedTuple):
-    windows: frozenset[bytes]
     values: np.ndarray
     scale: np.float32
     norm: np.float32
@@ -110,21 +109,22 @@ class ShardCache:
 
     def described(self, query: str, value: str) -> _Entry:
         values, scale, norm = quantized(bytes_vector(query, self.dim, True)[None, :])
-        return _Entry(_windows(query), values[0], scale[0], norm[0], int(buckets(values, self.num_bits, self.seed)[0]), value)
+        return _Entry(values[0], scale[0], norm[0], int(buckets(values, self.num_bits, self.seed)[0]), value)
 
-    def ask(self, query: str, fresh: str) -> tuple[str, str | None, float | None, str]:
-        """outcome, matched query, score and value; a miss stores ``fresh`` under the query."""
-        own = self.described(query, fresh)
+    def ask(self, query: str, fresh: str, own: _Entry | None = None) -> tuple[str, str | None, float | None, str]:
+        """outcome, matched query, score and value; a miss stores ``fresh`` under the query. ``own``: what ``described`` gives, if it is at hand."""
+        own = own or self.described(query, fresh)
         best, best_score = None, np.float32(-np.inf)
+        wide = own.values.astype(np.int64)
         for key in self.by_bucket.get(own.bucket, ()):
             e = self.entries[key]
             zero = own.norm == 0 or e.norm == 0
-            score = np.float32(0) if zero else np.float32(np.float32(int(own.values.astype(np.int64) @ e.values)) * own.scale * e.scale) / (own.norm * e.norm)
+            score = np.float32(0) if zero else np.float32(np.float32(int(wide @ e.values)) * own.scale * e.scale) / (own.norm * e.norm)
             if score > best_score:
                 best, best_score = key, score
         if best is not None:
             sure = best_score >= np.float32(SURE)
-            grey = np.float32(GREY) <= best_score and _overlap(own.windows, self.entries[best].windows) >= GREY_JACCARD
+            grey = np.float32(GREY) <= best_score and _overlap(_windows(query), _windows(best)) >= GREY_JACCARD
             if sure or grey:
                 self.entries.move_to_end(best)
                 return "SureHit" if sure else "GreyZone", best, float(best_score), self.entries[best].value
@@ -158,24 +158,40 @@ def replay_cache(
 ) -> DataFrame:
     """What one cache a shard would have answered: shard, seq, query, outcome, matched_query, score, value.
 
-    ``log`` has query and value (the answer a fresh search gives); the queries of a shard run in order. The
-    log is dealt out by shard and sorted, and each task streams its shards through, holding one cache of
-    ``max_entries`` at a time, so a long shard costs time and no memory. A shard is sequential by its nature.
+    ``log`` has query and value (the answer a fresh search gives); the queries of a shard run in order. First
+    the rows are coded where they lie (vector, codes), whatever their shard. Then the log is dealt out by
+    shard and sorted, and each task streams its shards through, holding one cache of ``max_entries`` at a
+    time, so a long shard costs time and no memory: what is sequential by its nature, which entry answers and
+    which one goes, is all that is done there.
     """
-    rows = log.select(F.col(shard_col).cast("string").alias("shard"), F.col(order_col).cast("long").alias("seq"), "query", "value")
-    ordered = rows.where("query is not null").repartition("shard").sortWithinPartitions("shard", "seq", "query")
+    rows = log.select(F.col(shard_col).cast("string").alias("shard"), F.col(order_col).cast("long").alias("seq"), "query", "value").where("query is not null")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                values, scale, norm = quantized(np.stack([bytes_vector(q, dim, True) for q in part.column(2).to_pylist()]))
+                made = [pa.array([v.tobytes() for v in values], pa.binary()), pa.array(scale), pa.array(norm), pa.array(buckets(values, num_bits, seed))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "v", "scale", "norm", "bucket"])
+
+    coded = rows.mapInArrow(code, "shard string, seq long, query string, value string, v binary, scale float, norm float, bucket long")
+    ordered = coded.repartition("shard").sortWithinPartitions("shard", "seq", "query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, shard, begun = None, None, False
-        for frame in frames:
+        for batch in batches:
             out = []
-            for s, seq, query, value in frame.itertuples(index=False, name=None):
+            scales, norms = batch.column(5).to_numpy(), batch.column(6).to_numpy()
+            texts = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7)), strict=True)
+            for i, (s, seq, query, value, v, bucket) in enumerate(texts):
                 if not begun or s != shard:
                     cache, shard, begun = ShardCache(max_entries, dim, num_bits, seed), s, True
-                out.append((s, seq, query, *cache.ask(query, value)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
+                out.append((s, seq, query, *cache.ask(query, value, _Entry(np.frombuffer(v, np.int8), scales[i], norms[i], bucket, value))))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float32(), pa.string())
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in REPLAY.split(", ")])
 
-    return ordered.mapInPandas(run, REPLAY)
+    return ordered.mapInArrow(run, REPLAY)
 
 
 def answer_queries(queries: DataFrame, cache: DataFrame, search, *, dim: int = DIMENSION, num_bits: int = LSH_BITS, seed: int = LSH_SEED) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docquarry.functions.vectors import DIMENSION, LSH_BITS, LSH_SEED
-from docquarry.operators.cache import MAX_ENTRIES, REPLAY, ShardCache, _Entry, _windows
+from docquarry.operators.cache import MAX_ENTRIES, REPLAY, ShardCache, _Entry
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -38,7 +38,7 @@ class _CacheState(StatefulProcessor):
         cache = ShardCache(*self.settings)
         found = [(key[0], *row) for key, row in self.entries.iterator()]
         for query, value, bucket, _, _, scale, norm, components in sorted(found, key=lambda e: e[4]):
-            cache.entries[query] = _Entry(_windows(query), np.frombuffer(bytes(components), np.int8), np.float32(scale), np.float32(norm), bucket, value)
+            cache.entries[query] = _Entry(np.frombuffer(bytes(components), np.int8), np.float32(scale), np.float32(norm), bucket, value)
         for query, _, bucket, *_ in sorted(found, key=lambda e: e[3]):
             cache.by_bucket.setdefault(bucket, {})[query] = None
         return cache, {e[0]: (e[3], e[4]) for e in found}
