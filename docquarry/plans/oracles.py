@@ -166,6 +166,14 @@ ORACLES = {
         UNION ALL SELECT p, 6, 0, trim(block, ' ' || chr(10)) FROM steps WHERE i = 40
         UNION ALL SELECT p, 7, 0, w || chr(10) || 'ref & ' || p FROM d)
       SELECT p AS source_path, row_number() OVER (PARTITION BY p ORDER BY a, b) - 1 AS chunk_index, t AS text FROM parts WHERE t <> ''""",
+    "chunk_shapes": r"""
+      WITH w AS (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]+') AS w FROM documents),
+      p AS (SELECT doc_id, unnest(range(0, (len(w) + 1) // 2)) AS i, w FROM w),
+      s AS (SELECT doc_id, i, w[2 * i + 1] AS a, coalesce(w[2 * i + 2], 'end') AS b, doc_id % 5 AS kind FROM p),
+      parts AS (
+        SELECT doc_id, i, 0 AS n, CASE kind WHEN 1 THEN a || chr(10) || b WHEN 3 THEN a WHEN 4 THEN b ELSE a || b END AS t FROM s
+        UNION ALL SELECT doc_id, i, 1, '```' || chr(10) || b || chr(10) || '```' FROM s WHERE kind = 3)
+      SELECT doc_id::VARCHAR AS source_path, row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1 AS chunk_index, t AS text FROM parts""",
     "content_hash": f"WITH {_HASHED} SELECT * FROM hashed",
     "changed_documents": f"""WITH {_HASHED}, {_LEDGER}
       SELECT h.source_path, h.content_hash, {_STATUS} AS status FROM hashed h LEFT JOIN ledger l ON h.source_path = l.source_path""",

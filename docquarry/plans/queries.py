@@ -83,6 +83,21 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(spread(documents), MAX_BYTES)
 
 
+def markdown_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each document, two by two, as Markdown of one of five kinds, and its chunks.
+
+    By id: nested lists, quotes with lazy lines, underlined headings, indented code, HTML blocks.
+    """
+    words = F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"))
+    shapes = (("- ", "\n  - ", "\n"), ("> ", "\n", "\n\n"), ("", "\n===\n\n", "\n\n"), ("", "\n\n    ", "\n\n"), ("<div>\n", "\n</div>\n\n", "\n\n"))
+    kind = F.pmod(F.col("doc_id"), F.lit(len(shapes)))
+    part = lambda n: F.element_at(F.array(*[F.lit(s[n]) for s in shapes]), kind.cast("int") + 1)
+    firsts, seconds = F.filter(words, lambda w, i: i % 2 == 0), F.filter(words, lambda w, i: i % 2 == 1)
+    text = F.array_join(F.zip_with(firsts, seconds, lambda a, b: F.concat(part(0), a, part(1), F.coalesce(b, F.lit("end")), part(2))), "")
+    documents = spread(_table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("source_path"), F.coalesce(text, F.lit("")).alias("text"))
+    return chunk_documents(documents, MAX_BYTES)
+
+
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("source_path", tx.content_hash(F.col("text").cast("binary")).alias("content_hash"))
 

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_documents": q.chunks,
     "decode_documents": q.decoded,
     "chunk_markdown": q.markdown_chunks,
+    "chunk_shapes": q.markdown_shapes,
     "content_hash": q.content_hashes,
     "changed_documents": q.changed_documents,
     "update_ledger": q.update_ledger,
