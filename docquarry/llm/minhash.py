@@ -22,8 +22,6 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, as so many longs, and how often a pair of the bound may be thought too far apart.
 WORDS, MISS = 8, 1e-9
-#: Nearest sets are looked at when their sketches are no further apart than those of all but this share of pairs of the bound.
-LIKELY = 0.02
 #: Sets in a slot from which on they are dealt out again by their other bands.
 FULL = 4096
 _SKETCH = [f"s{i}" for i in range(WORDS)]
@@ -218,25 +216,6 @@ def _arrays(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
     return [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in names]
 
 
-def nearest_pairs(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of each set with the one of its slot that is nearest by sketch and of another component: one a row at most."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_key(batches):
-            columns = _arrays(batch, ["_set", "_n", "root", *_SKETCH])
-            pairs = []
-            for begin, end in _slots_of(batch):
-                slot = _Slot([c[begin:end] for c in columns], most)
-                for i in range(end - begin):
-                    z = slot.apart(i, slice(None))
-                    if z[j := int(z.argmin())] <= most:
-                        pairs.append((slot.sets[i], slot.sets[j]))
-            found = np.array(pairs, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(find, "u long, v long")
-
-
 def undecided(rows: DataFrame, most: int) -> DataFrame:
     """The rows of sets that have one in their slot, not connected to them, to which the sketches allow a link."""
     names = ["key", "_set", "_n", "root", *_SKETCH]
@@ -309,10 +288,10 @@ def similar_roots(sets: DataFrame, narrow: DataFrame, width: int, more: DataFram
     """(node, root): the connected components of all pairs of different ``sets`` (of ``narrow``) with Jaccard 4/5 or more.
 
     Sets meet in the slots of their bands. First each is compared with one set of each of its slots (and by
-    the pairs ``more``), then, where a slot still holds sets of different components, with the nearest of
-    another one by sketch; so a large group of near copies becomes one component in as many comparisons as it
-    has members. What is left over is compared in its slots, with whole sets at hand: no list of pairs is made that
-    grows with the square of a group. Only links that hold on the whole sets count.
+    the pairs ``more``), so most of a large group of near copies becomes one component in as many comparisons as
+    it has rows in slots. Where a slot still holds sets of different components that the sketches allow to link,
+    they are compared there, with whole sets at hand: no list of pairs is made that grows with the square of a
+    group. Only links that hold on the whole sets count.
     """
     most = most_apart()
     columns = [F.first(c).alias(c) for c in ("_n", "bands", *_SKETCH)]
@@ -321,8 +300,6 @@ def similar_roots(sets: DataFrame, narrow: DataFrame, width: int, more: DataFram
     pairs = star_pairs(slots, most)
     links = verified(pairs.union(more) if more is not None else pairs, sets, narrow, width)
     roots = materialize(components(links), "minhash-roots")
-    links = links.union(verified(nearest_pairs(open_slots(slots, roots, classes, full), most_apart(LIKELY)), sets, narrow, width))
-    roots = materialize(components(links), "minhash-roots")
     left = materialize(undecided(open_slots(slots, roots, classes, full), most), "minhash-undecided")
     texts = texts_of(left.select("_set").distinct(), sets, narrow).join(classes.select("_set", "bands"), "_set")
     links = links.union(materialize(links_in_slots(left.join(texts, "_set"), width, most), "minhash-links"))
