@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from docquarry.llm.common import materialize, n_words, spread, unit_interval, wi
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 _KEY = ("_src", "_size", "_sub")
+#: Rows of one source, size and digest from which on ids that are there often are dealt out by themselves.
+HOT = 1 << 16
 
 
 def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -53,8 +56,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cei
     return summed.select("_src", "source_size", target.alias("target"))
 
 
-def _text_digest(docs: DataFrame, text_col: str) -> Column:
-    return F.coalesce(F.md5(F.col(text_col)), F.lit("")) if text_col in docs.columns else F.lit("")
+def _same_group(left: DataFrame, right: DataFrame, *names: str) -> Column:
+    return reduce(Column.__and__, [left[n].eqNullSafe(right[f"_of{n}"]) for n in (*_KEY, *names)])
+
+
+def _dealt_out(base: DataFrame, groups: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and groups with a key of its own for each row of a crowd: an id, or no id, that fills a group.
+
+    A crowd stands behind the other rows of its source and size, in order of a digest of the whole row, then in 256
+    parts by place: equal rows may stand in any order, so any part of them is as good as another.
+    """
+    full = groups.where(F.col("_n") > HOT).select(*[F.col(c).alias(f"_of{c}") for c in _KEY])
+    if full.isEmpty():
+        return base, groups
+    crowded = base.join(full, _same_group(base, full)).groupBy(*_KEY, "_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT // 16)
+    crowds = materialize(crowded.select(*[F.col(c).alias(f"_of{c}") for c in (*_KEY, "_id")], F.lit(True).alias("_crowd")), "mix-crowds")
+    digest = F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    part = F.substring(F.md5(F.monotonically_increasing_id().cast("string")), 1, 2)
+    placed = base.withColumn("_own", F.concat(F.lit("r"), digest, part))
+    joined = placed.join(crowds, _same_group(placed, crowds, "_id"), "left").withColumn("_sub", F.when(F.col("_crowd"), F.col("_own")).otherwise(F.col("_sub")))
+    rows = materialize(joined.select(*base.columns), "mix-rows")
+    return rows, materialize(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_n")), "mix-groups")
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,33 +99,31 @@ def mix_sources(
     """``docs`` with size, source_size, target, copies and taken: how often the mix takes each document.
 
     Each document of a source is expected rate = target / source_size times. Documents of a source stand
-    in order of falling size (ties: two hex digits of md5 of the id, or of the text where the id is null,
-    then the id); document i emits once
+    in order of falling size (ties: two hex digits of md5 of the id, then the id); document i emits once
     for each whole number between u + (i-1) * rate and u + i * rate, where u is one random offset of the
     source. As neighbours have like sizes, the words taken miss the target by about one large document.
 
     The running position of a document needs no pass over its source in one task: counts by (source,
     size) and by (source, size, md5 digits) are summed first, and only the order within the last group
-    is a window over rows, so neither a hot source nor a hot size meets in one task.
+    is a window over rows, so neither a hot source nor a hot size meets in one task. An id that is there HOT / 16
+    times in a group of over HOT rows (or so many rows without id) comes behind the others of its size, dealt out further.
 
     ``size_col`` names a column that has the sizes already, where the text is not at hand (``sized``).
 
-    Null text: size 0. Null source: a source of its own, last. Null ids: in any order after the others.
+    Null text: size 0; a very long text counts whole. Null source: a source of its own, last. Null ids: in any order after the others.
     Repeated rows count one by one. Size 0 documents are placed like others (they add no words); a source
     of size 0 has target 0 and takes none. No rows: no rows. Columns named like the added ones are replaced.
     """
     base = (
-        with_columns_free(docs, *[c for c in ADDED if c != size_col], *_KEY, "_in")
+        with_columns_free(docs, *[c for c in ADDED if c != size_col], *_KEY, "_in", "_id")
         .withColumn("size", F.col(size_col) if size_col else n_words(F.col(text_col)))
         .withColumn("_src", F.col(source_col).cast("string"))
         .withColumn("_size", -F.col("size"))
-        .withColumn("_sub", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), _text_digest(docs, text_col))), 1, 2))
+        .withColumn("_id", F.col(id_col))
+        .withColumn("_sub", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 2))
     )
+    base, groups = _dealt_out(base, materialize(base.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_n")), "mix-groups"), docs.columns)
     ranked = base.withColumn("_in", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.col(id_col).asc_nulls_last())))
-    groups = (
-        base.groupBy(*_KEY)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
     by_size = groups.groupBy("_src", "_size").agg(F.sum("_n").alias("_m"))
     per_source = by_size.groupBy("_src").agg(F.sum(-F.col("_size") * F.col("_m")).alias("source_size"))
     targets = source_targets(per_source, weights, share, ceiling)
@@ -135,7 +155,7 @@ def mix_sources(
     return (
         placed.withColumn("copies", F.least(crossed, F.ceil(rate)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop(*_KEY, "_osrc", "_osize", "_osub", "_in", "_start")
+        .drop(*_KEY, "_id", "_osrc", "_osize", "_osub", "_in", "_start")
     )
 
 

@@ -86,3 +86,27 @@ def test_empty(spark):
     assert mix_sources(none).count() == 0 and emit_mix(none).count() == 0
     zero = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [(r["size"], r["target"], r["taken"]) for r in mix_sources(zero).collect()] == [(0, 0.0, 0)]
+
+
+def test_crowds_are_dealt_out(spark, monkeypatch):
+    import docquarry.llm.mixing as module
+
+    monkeypatch.setattr(module, "HOT", 64)
+    rows = [(None, "q r s", "a", 0)] * 1500 + [(7, "x y z", "a", i % 3) for i in range(900)] + [(i, "u v w", "a", 0) for i in range(10, 300)] + [(None, "long " * 5000, "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int").repartition(6)
+    seen = []
+    deal = module._dealt_out
+
+    def noted(*args):
+        seen.append(deal(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(module, "_dealt_out", noted)
+    got = mix_sources(docs).collect()
+    assert len(got) == len(rows) and seen[0][1].agg({"_n": "max"}).first()[0] < 64
+    for source, n in (("a", 3 * 2690), ("b", 5000)):
+        of = [r for r in got if r["source"] == source]
+        assert of[0]["source_size"] == n and abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 2 * max(r["size"] for r in of)
+        assert all(0 <= r["copies"] <= 2 for r in of)
+    key = lambda r: str((r["doc_id"], r["source"], r["k"], r["copies"]))
+    assert sorted(map(key, mix_sources(docs.repartition(3)).collect())) == sorted(map(key, got))
