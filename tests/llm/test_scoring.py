@@ -248,3 +248,34 @@ def test_features_match_between_training_and_scoring():
 def test_nnpu_separates():
     weights, bias = fit_nnpu([np.array([0])] * 50, [np.array([1])] * 160 + [np.array([0])] * 40, 2, 0.2)
     assert weights[0] + bias > 0 > weights[1] + bias
+
+
+def test_training_equals_finite_differences():
+    rng = np.random.default_rng(2)
+    x_p, x_u = rng.random((12, 5)) < 0.5, rng.random((30, 5)) < 0.4
+    x_p[:, 0], x_u[:, 0] = True, rng.random(30) < 0.2
+    prior, l2, rate = 0.4, 3e-4, 0.05
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts(w):
+        fp, fu = x_p @ w[:-1] + w[-1], x_u @ w[:-1] + w[-1]
+        return prior * loss(fp).mean(), loss(-fu).mean() - prior * loss(-fp).mean()
+
+    def slope(f, w):
+        step = 1e-5 * np.eye(len(w))
+        return np.array([(f(w + e) - f(w - e)) / 2e-5 for e in step])
+
+    w = np.zeros(6)
+    w[5] = np.log(prior / (1 - prior))
+    m, v, turned = np.zeros(6), np.zeros(6), 0
+    for n in range(1, 301):
+        back = parts(w)[1] < 0
+        turned += back
+        g = slope(lambda x: -parts(x)[1], w) if back else slope(lambda x: sum(parts(x)), w)
+        g[:5] += l2 * w[:5]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
+        if n in (1, 40, 300):
+            got, bias = fit_nnpu([np.flatnonzero(r) for r in x_p], [np.flatnonzero(r) for r in x_u], 5, prior, rounds=n, rate=rate, l2=l2)
+            assert np.allclose([*got, bias], w, atol=1e-3), n
+    assert 0 < turned < 300  # both steps of the risk were taken
