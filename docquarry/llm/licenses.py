@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.llm.common import bounded_batches, spread, with_columns_free
+from docquarry.llm.license_texts import LICENSE_TEXTS
 
 #: Fixed values of the query: its base phrases and their labels.
 PHRASES = (
@@ -80,11 +81,15 @@ def make_templates(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple
     return found + [Template(label, tuple(words_of(text)), False) for label, text in templates]
 
 
-def template_table(table: DataFrame, label_col: str = "label", text_col: str = "text", *, most: int = 20_000) -> list[tuple[str, str]]:
-    """Templates for ``scan_licenses`` from a table of whole license texts, of ``most`` rows at most: they go along with the tasks."""
-    rows = table.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} templates")
+def template_table(
+    table: DataFrame, label_col: str = "label", text_col: str = "text", *, most: int = 20_000, most_bytes: int = 64 << 20
+) -> list[tuple[str, str]]:
+    """Templates for ``scan_licenses`` from a table of whole license texts: they go along with the tasks, so rows and bytes have a bound."""
+    rows = table.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null").distinct()
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n > most or size > most_bytes:
+        raise ValueError(f"more than {most} templates" if n > most else f"templates of more than {most_bytes} bytes")
+    rows = rows.collect()
     return sorted((r["label"], r["text"]) for r in rows)
 
 
@@ -114,7 +119,8 @@ class BlockScan:
     look-up a word.
     """
 
-    def __init__(self, templates: Sequence[Template], frequency: dict[bytes, int], threshold: float, stretch: float):
+    def __init__(self, templates: Sequence[Template], frequency: dict[bytes, int], threshold: float, stretch: float, every: bool = False):
+        self.every = every
         ranked = sorted({w for t in templates for w in t.words}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(ranked)}
         self.templates = [t for t in templates if t.words]
@@ -130,7 +136,7 @@ class BlockScan:
                 self.prefix.setdefault(r, []).append((k, p))
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, containment): for phrases each place, for others each best block of a hit run."""
+        """(template, start, end, containment): for phrases each place, for others each best block of a hit run, or every block."""
         rank, prefix = self.rank, self.prefix
         known = [(i, r) for i, r in enumerate(map(rank.get, words)) if r is not None]
         if not known:
@@ -167,6 +173,9 @@ class BlockScan:
                 if share < least:
                     continue
                 hit = (k, s, inside[-1][0] + 1, share / len(of))
+                if self.every:
+                    found.append(hit)
+                    continue
                 if best is not None and s < best[2]:
                     best = max(best, hit, key=lambda x: (x[3], -(x[2] - x[1]), -x[1]))
                     continue
@@ -183,9 +192,10 @@ def scan_licenses(
     *,
     text_col: str = "text",
     phrases: Sequence[tuple[str, str]] = PHRASES,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple[str, str]] = TEMPLATES + LICENSE_TEXTS,
     threshold: float = 0.9,
     stretch: float = 1.5,
+    every_block: bool = False,
 ) -> DataFrame:
     """``docs`` without the text, with word count, base places, labels, score and the matching blocks.
 
@@ -194,9 +204,11 @@ def scan_licenses(
     the template's words. The base phrases are templates of containment 1 whose words must also stand
     consecutively. The order of words is by their frequency in all documents, counted first over the
     whole table; only the templates' own words are counted, so what comes to the driver and goes to the
-    tasks has the size of the template list (whole license texts come from a table by ``template_table``).
+    tasks has the size of the template list: openings and whole texts of common licenses, or a table of the
+    caller's by ``template_table``.
     No text is shuffled. ``blocks`` has every place of a base phrase, and of blocks of one template that
-    overlap in a row the best one (highest containment, then shortest, then first).
+    overlap in a row the best one (highest containment, then shortest, then first), or with ``every_block`` all
+    that meet the threshold and begin with a word of the template, each up to its last such word.
 
     score: the largest containment found, 0 without one. Null or empty text: no words, no labels, score 0.
     Places overlap freely and repeats all count. Texts of any length are scanned once, word by word.
@@ -205,7 +217,7 @@ def scan_licenses(
     chosen = make_templates(phrases, templates)
     vocabulary = frozenset(w for t in chosen for w in t.words)
     frequency = {r["word"].encode(): r["n"] for r in word_frequencies(docs, text_col, vocabulary).collect()}
-    scan = BlockScan(chosen, frequency, threshold, stretch)
+    scan = BlockScan(chosen, frequency, threshold, stretch, every_block)
     kept = with_columns_free(docs, *ADDED)
     columns = [c for c in kept.columns if c != text_col]
     schema = T.StructType(

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from docquarry.llm.license_texts import LICENSE_TEXTS
 from docquarry.llm.licenses import PHRASES, TEMPLATES, scan_licenses, template_table
 from docquarry.llm.quality import apply_quality_rules
 from docquarry.llm.urls import BLOCK_GLOBS, HOST_END, RULES, HostRule, ShiftAnd, filter_urls
@@ -128,11 +129,11 @@ def test_quality_counters_and_hosts(spark):
     assert apply_quality_rules(empty).count() == 0
 
 
-def plain_blocks(words, templates=TEMPLATES):
+def plain_blocks(words, templates=TEMPLATES + LICENSE_TEXTS):
     """All blocks of every template, tried at every word."""
     labels, score = set(), 0.0
     for label, text in templates:
-        t = WORD.findall(text)
+        t = WORD.findall(text.lower())
         width, distinct = int(1.5 * len(t)), set(t)
         for s in range(len(words)):
             c = len(distinct & set(words[s : s + width])) / len(distinct)
@@ -151,6 +152,8 @@ def license_texts():
         w[rng.randrange(len(w))] = "zzz"
         texts += [f"x {t.upper()} y", " ".join(w), " foo ".join(t.split())]
     texts += [" ".join(rng.choices(pool, k=rng.randrange(5, 80))) for _ in range(40)]
+    for _, t in LICENSE_TEXTS:
+        texts += [f"Copyright (c) 2020 X. All rights reserved.\n{t}", t.replace("the", "a"), t[: len(t) // 2]]
     return texts + [TEMPLATES[0][1], "\u212a " + "a" * 100000]
 
 
@@ -172,6 +175,21 @@ def test_licenses_equal_all_blocks(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_every_block_is_there_if_asked_for(spark):
+    words = "x y released under the mit license z released under the mit license under the mit".split()
+    frame = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    template = "released under the mit license".split()
+    want = []
+    for s, w in enumerate(words):
+        inside = [j for j in range(s, min(len(words), s + 7)) if words[j] in template]
+        if w in template and len({words[j] for j in inside}) == 5:
+            want.append(("mit", s, inside[-1] + 1))
+    got = scan_licenses(frame, phrases=(), templates=(("mit", " ".join(template)),), every_block=True).first()["blocks"]
+    assert [tuple(b)[:3] for b in got] == want and len(want) > 2
+    kept = scan_licenses(frame, phrases=(), templates=(("mit", " ".join(template)),)).first()["blocks"]
+    assert {tuple(b)[:3] for b in kept} < set(want)
+
+
 def test_hundreds_of_templates_from_a_table(spark):
     rng = random.Random(6)
     words = [f"term{i}" for i in range(400)] + ["the", "of", "and"] * 20
@@ -181,6 +199,8 @@ def test_hundreds_of_templates_from_a_table(spark):
     assert templates == sorted(licenses)
     with pytest.raises(ValueError, match="more than 10"):
         template_table(table, most=10)
+    with pytest.raises(ValueError, match="more than 100 bytes"):
+        template_table(table, most_bytes=100)
     texts = []
     for i in range(60):
         body = rng.choice(licenses)[1].split()
