@@ -245,28 +245,33 @@ def links_in_slots(rows: DataFrame, width: int, most: int) -> DataFrame:
     slot's largest component is compared with those of others only.
     """
 
-    def link(slot: _Slot, bands: np.ndarray, key: int, texts: list[str]) -> Iterator[tuple[int, int]]:
-        sets = [shingle_set(t, width) for t in texts]
-        size = np.array([len(x) for x in sets])
-        _, members = np.unique(np.concatenate(sets), return_inverse=True)
-        begins = np.cumsum(size) - size
-        there = np.zeros(int(members.max()) + 1, bool)
+    def link(slot: _Slot, bands: np.ndarray, key: int, texts: pa.Array) -> Iterator[tuple[int, int]]:
         names, n = np.unique(slot.roots, return_counts=True)
         dealt_again = not (bands[0] == key).any()
+        meet = []
         for i in np.flatnonzero(slot.roots != names[n.argmax()]).tolist():
-            near = slot.apart(i, slice(None)) <= most
-            if not dealt_again:
-                near &= bands[i][(bands == bands[i]).argmax(axis=1)] == key
-            if not near.any():
-                continue
-            own = members[begins[i] : begins[i] + size[i]]
-            there[own] = True
-            common = np.add.reduceat(there[members], begins, dtype=np.int64)
-            there[own] = False
-            for j in np.flatnonzero(near & (LEAST[1] * common >= LEAST[0] * (size[i] + size - common))).tolist():
+            near = np.flatnonzero(slot.apart(i, slice(None)) <= most)
+            if len(near) and not dealt_again:
+                near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == key]
+            if len(near):
+                meet.append((i, near))
+        if not meet:
+            return
+        needed = np.unique(np.concatenate([np.array([i for i, _ in meet]), *(near for _, near in meet)])).tolist()
+        sets = [shingle_set(texts[i].as_py(), width) for i in needed]
+        size = np.array([len(x) for x in sets])
+        _, members = np.unique(np.concatenate(sets), return_inverse=True)
+        parts = dict(zip(needed, np.split(members, np.cumsum(size)[:-1]), strict=True))
+        there = np.zeros(int(members.max()) + 1, bool)
+        for i, near in meet:
+            there[parts[i]] = True
+            for j in near.tolist():
                 if slot.roots[i] != slot.roots[j]:
-                    yield int(slot.sets[i]), int(slot.sets[j])
-                    slot.roots[slot.roots == slot.roots[j]] = slot.roots[i]
+                    common = int(np.count_nonzero(there[parts[j]]))
+                    if LEAST[1] * common >= LEAST[0] * (len(parts[i]) + len(parts[j]) - common):
+                        yield int(slot.sets[i]), int(slot.sets[j])
+                        slot.roots[slot.roots == slot.roots[j]] = slot.roots[i]
+            there[parts[i]] = False
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
@@ -276,7 +281,7 @@ def links_in_slots(rows: DataFrame, width: int, most: int) -> DataFrame:
             found = []
             for begin, end in _slots_of(batch):
                 slot = _Slot([c[begin:end].copy() for c in columns], most)
-                found += link(slot, bands[begin:end], int(keys[begin]), texts.slice(begin, end - begin).to_pylist())
+                found += link(slot, bands[begin:end], int(keys[begin]), texts.slice(begin, end - begin))
             table = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["u", "v"])
 
