@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.sources.scratch import discard, materialize, spread
 
-__all__ = ["LOWER_ASCII", "bounded_batches", "discard", "materialize", "n_words", "spread", "unit_interval", "with_columns_free"]
+__all__ = ["LOWER_ASCII", "bounded_batches", "discard", "materialize", "n_words", "split_words", "spread", "unit_interval", "with_columns_free"]
 
 #: Word separators of the corpus contracts: space, tab, LF, VT, FF, CR.
 SPACES = r"[\x20\x09-\x0D]"
@@ -33,6 +35,15 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], records: int = 1000, n_by
             yield batch.slice(begin, size)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of ``texts`` (null: none), and where each text's begin and end."""
+    parts = pc.ascii_split_whitespace(texts.fill_null(""))
+    words, ends = parts.flatten(), np.asarray(parts.offsets)
+    real = np.asarray(pc.not_equal(words, ""), bool)
+    total = np.concatenate(([0], np.cumsum(real)))
+    return words.filter(pa.array(real)), total[ends - ends[0]]
+
+
 def n_words(text: Column) -> Column:
     """Words between separators; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

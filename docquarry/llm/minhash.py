@@ -7,13 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import bounded_batches, discard, materialize, spread, with_columns_free
+from docquarry.llm.common import bounded_batches, discard, materialize, split_words, spread, with_columns_free
 from docquarry.llm.components import components
-from docquarry.llm.shingles import LEAST, maybe_among, set_key, shingle_set, texts_of, verified
+from docquarry.llm.shingles import LEAST, maybe_among, set_key, texts_of, verified
 from docquarry.llm.simhash import majority, shingles_hashes
 
 ADDED = ("n_shingles", "component_id", "kept")
@@ -40,7 +42,7 @@ def samples(members: np.ndarray) -> np.ndarray:
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
     hashes = members.view(np.uint64)
     for at in range(0, len(hashes), 256):
-        np.minimum(least, (hashes[at : at + 256, None] * _DRAWN[0] + _DRAWN[1]).min(axis=0), out=least)
+        np.minimum(least, (hashes[at : at + 256, None] * _DRAWN[0]).min(axis=0), out=least)
     return least
 
 
@@ -95,6 +97,27 @@ def estimated(apart: int) -> float:
     return 1 + n_bits / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * apart / n_bits)))
 
 
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The set of each text's shingles as sorted hashes: each different word of the batch is hashed once, neighbours are combined as arrays."""
+    words, ends = split_words(pc.ascii_lower(texts))
+    coded = words.dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = known[np.asarray(coded.indices)]
+    factors = _DRAWN[1][:width]
+    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    for k in range(width):
+        total += hashes[k : k + len(total)] * factors[k]
+    total = _mixed(total).view(np.int64)
+    out = []
+    for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if end - begin >= width:
+            out.append(np.unique(total[begin : end - width + 1]))
+        else:  # the whole sequence, and its length
+            n = end - begin
+            out.append(_mixed((hashes[begin:end] * factors[:n]).sum(keepdims=True) + np.uint64(n)).view(np.int64) if n else np.empty(0, np.int64))
+    return out
+
+
 def sketched(rows: DataFrame, width: int, passed: Sequence[str], *, fingerprint: bool = False) -> DataFrame:
     """``passed`` columns of ``rows`` (with ``_text``), the hash of the set of shingles, its size, bands and odd sketch.
 
@@ -108,13 +131,14 @@ def sketched(rows: DataFrame, width: int, passed: Sequence[str], *, fingerprint:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches):
             keys, sizes, prints, drawn = [], [], [], np.empty((batch.num_rows, SAMPLES), np.uint64)
-            for i, text in enumerate(batch.column(len(passed)).to_pylist()):
-                if fingerprint:
-                    hashes = shingles_hashes(text, width)
-                    prints.append(majority(hashes))
-                    members = np.sort(np.unique(hashes).view(np.int64))
-                else:
-                    members = shingle_set(text, width)
+            texts = batch.column(len(passed))
+            if fingerprint:
+                hashes = [shingles_hashes(t, width) for t in texts.to_pylist()]
+                prints = [majority(h) for h in hashes]
+                sets = [np.sort(np.unique(h).view(np.int64)) for h in hashes]
+            else:
+                sets = shingle_sets(texts, width)
+            for i, members in enumerate(sets):
                 keys.append(set_key(members))
                 sizes.append(len(members))
                 drawn[i] = samples(members)
@@ -258,7 +282,7 @@ def links_in_slots(rows: DataFrame, width: int, most: int) -> DataFrame:
         if not meet:
             return
         needed = np.unique(np.concatenate([np.array([i for i, _ in meet]), *(near for _, near in meet)])).tolist()
-        sets = [shingle_set(texts[i].as_py(), width) for i in needed]
+        sets = shingle_sets(texts.take(pa.array(needed)), width)
         size = np.array([len(x) for x in sets])
         _, members = np.unique(np.concatenate(sets), return_inverse=True)
         parts = dict(zip(needed, np.split(members, np.cumsum(size)[:-1]), strict=True))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import SPACES, bounded_batches, spread, with_columns_free
+from docquarry.llm.common import SPACES, bounded_batches, split_words, spread, with_columns_free
 
 #: Words that a run has at least.
 LEAST = 12
@@ -176,18 +176,9 @@ def runs_of(words: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted((start, length, lag) for (start, length), lag in best.items())
 
 
-def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of ``texts`` (null: none), and where each text's begin and end."""
-    parts = pc.ascii_split_whitespace(texts.fill_null(""))
-    words, ends = parts.flatten(), np.asarray(parts.offsets)
-    real = np.asarray(pc.not_equal(words, ""), bool)
-    total = np.concatenate(([0], np.cumsum(real)))
-    return words.filter(pa.array(real)), total[ends - ends[0]]
-
-
 def _found(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Words, runs and collapsed text of each text."""
-    words, ends = _split(texts)
+    words, ends = split_words(texts)
     size = np.diff(ends)
     coded = words.dictionary_encode()
     codes = np.asarray(coded.indices).astype(np.int64) + np.repeat(np.arange(len(size)), size) * max(1, len(coded.dictionary))
