@@ -59,7 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and sources with the sampled pieces of each text; copies in the mix have equal pieces."""
-    return encode_pieces(docs).select("doc_id", "source", "n_chars", "pieces", "n_pieces")
+    return encode_pieces(docs.select("doc_id", "text", "source", "n_chars"), keep_text=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

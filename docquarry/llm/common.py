@@ -27,12 +27,15 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], records: int = 1000, n_by
     """The batches in parts of at most ``records`` rows and about ``n_bytes`` (a row that is longer stands by itself).
 
     What comes in is bounded by Spark itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); parts
-    bound what is worked out of it, without a change of the caller's session.
+    bound what is worked out of it, without a change of the caller's session. Behind each batch Arrow's pool gives back
+    what it holds free: workers wait for their next task, or for another operator's, beside the executor's heap.
     """
     for batch in batches:
         size = max(1, min(records, batch.num_rows * n_bytes // max(1, batch.nbytes)))
         for begin in range(0, batch.num_rows, size):
             yield batch.slice(begin, size)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

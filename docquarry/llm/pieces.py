@@ -27,8 +27,9 @@ _SPELT = -20.0
 #: Added to the log weight of a piece for each of its characters: all segmentations of a unit have as many
 #: characters, so shares stay as they are, and weights of units up to _LONG stay within doubles.
 _LIFT = 10.0
-#: Characters that are encoded at once, and characters of different units whose lattices a task keeps.
-_PART, _KEPT = 500_000, 1_000_000
+#: Characters that are encoded at once, and characters of different units whose lattices a task keeps (some 55 bytes
+#: each): the Python workers of all cores stand beside the executor's heap in one container.
+_PART, _KEPT = 80_000, 400_000
 _U = np.uint64
 #: Base of the hash of units, odd so that it has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -185,6 +186,7 @@ class Lattices:
 
     def __init__(self, chars: np.ndarray, size: np.ndarray, vocab: Vocabulary):
         self.chars = chars
+        self.rooms: dict[str, np.ndarray] = {}
         self.begin = np.cumsum(size) - size  # the unit's first character
         self.first = np.cumsum(size + 1) - (size + 1)
         self.last = self.first + size
@@ -230,17 +232,21 @@ class Lattices:
             next_[end] += 1
         self.bound[(self.into + arcs - 1)[arcs > 0]] = (1 << 32) - 1
 
-    def joined(self, other: Lattices) -> Lattices:
-        """These units, then the other's."""
-        out = Lattices.__new__(Lattices)
-        nodes, arcs = len(self.into), len(self.source)
-        out.chars = np.concatenate((self.chars, other.chars))
-        out.begin = np.concatenate((self.begin, other.begin + len(self.chars)))
-        out.first, out.last = (np.concatenate((a, b + nodes)) for a, b in ((self.first, other.first), (self.last, other.last)))
-        out.into = np.concatenate((self.into, other.into + arcs))
-        out.source = np.concatenate((self.source, other.source + np.int32(nodes)))
-        out.number, out.bound, out.char = (np.concatenate((getattr(self, k), getattr(other, k))) for k in ("number", "bound", "char"))
-        return out
+    def append(self, other: Lattices) -> None:
+        """Put the other's units behind these. Arrays get room for half as much again, so they are seldom copied, and one by one."""
+        chars, nodes, arcs = len(self.chars), len(self.into), len(self.source)
+        moved = {
+            "chars": other.chars, "begin": other.begin + chars, "first": other.first + nodes, "last": other.last + nodes,
+            "into": other.into + arcs, "source": other.source + np.int32(nodes), "number": other.number, "bound": other.bound, "char": other.char,
+        }
+        for name, more in moved.items():
+            own = getattr(self, name)
+            n, room = len(own) + len(more), self.rooms.get(name, own)
+            if len(room) < n:
+                room = self.rooms[name] = np.empty(n * 3 // 2, own.dtype)
+                room[: len(own)] = own
+            room[len(own) : n] = more
+            setattr(self, name, room[:n])
 
     def sample(self, unit: np.ndarray, seed: np.ndarray, ordinal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs of a sampled segmentation of each occurrence, in order, and how many each has."""
@@ -353,7 +359,7 @@ class Encoder:
             some = first[new]
             picked = np.repeat(begin[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(int(size[some].sum()))
             number = len(self.kept.first) + np.arange(len(some))
-            self.kept = self.kept.joined(Lattices(chars[picked], size[some], self.vocab))
+            self.kept.append(Lattices(chars[picked], size[some], self.vocab))
             keys, unit = np.concatenate((self.keys, distinct[new])), np.concatenate((self.unit, number))
             order = np.argsort(keys, kind="stable")
             self.keys, self.unit = keys[order], unit[order]
@@ -430,7 +436,7 @@ def _in_parts(texts: list[str | None], seeds: np.ndarray, encoder: Encoder) -> I
 
 
 def encode_pieces(
-    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL, alpha: float = 1.0, seed: int = 0
+    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", model: str = MODEL, alpha: float = 1.0, seed: int = 0, keep_text: bool = True
 ) -> DataFrame:
     """``docs`` with ``pieces`` (ids of a sampled segmentation of the whole text) and n_pieces.
 
@@ -446,9 +452,10 @@ def encode_pieces(
     bytes. Rows that repeat an id and text get the same pieces; a null id is an id of its own. Very long
     texts are encoded whole; a unit of any length too, cut first where no piece crosses, and what is left
     over 60 characters in time in proportion to its length. No rows: no rows. Clashing columns are replaced.
+    Without ``keep_text`` the text column goes, and texts do not come back from the Python workers.
     """
     base = with_columns_free(docs, *ADDED, "_seed").withColumn("_seed", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(id_col).isNull()))
-    columns = [c for c in base.columns if c != "_seed"]
+    columns = [c for c in base.columns if c != "_seed" and (keep_text or c != text_col)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(model, alpha))
@@ -462,7 +469,7 @@ def encode_pieces(
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=missing), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in columns], lists, pa.array(sizes)], names=[*columns, *ADDED])
 
-    schema = T.StructType([*base.drop("_seed").schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
+    schema = T.StructType([*[base.schema[c] for c in columns], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
     return base.mapInArrow(encode, schema)
 
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -117,6 +118,25 @@ def test_kept_lattices_change_nothing(monkeypatch):
     assert np.concatenate(got).tolist() == want.tolist() and [len(x) for x in got] == sizes.tolist()
 
 
+def test_encoding_stays_small_in_memory():
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (130_000, 9))]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]  # 1.3 million characters, all units different
+    seeds, encoder = np.arange(len(texts)).astype(np.uint64), Encoder(vocabulary(MODEL, 1.0))
+    tracemalloc.start()
+    n = sum(int(sizes.sum()) for _, sizes in module._in_parts(texts, seeds, encoder))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n > len(words) and peak < 100e6
+
+
+def test_texts_may_stay_behind(spark):
+    docs = spark.createDataFrame([(1, "one two", "a"), (2, None, "b")], "doc_id long, text string, source string")
+    whole, narrow = encode_pieces(docs), encode_pieces(docs, keep_text=False)
+    assert narrow.columns == ["doc_id", "source", "pieces", "n_pieces"]
+    assert sorted(whole.drop("text").collect()) == sorted(narrow.collect())
+
+
 def test_decoding_of_odd_lists(spark):
     vocab = vocabulary(MODEL, 1.0)
     lone = [vocab.byte_id[0x20], vocab.byte_id[0xFF], vocab.byte_id[0x41]]
