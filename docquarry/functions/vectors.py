@@ -19,7 +19,7 @@ DIMENSION = 1024
 
 FLOATS = T.ArrayType(T.FloatType())
 QUANTIZED = T.StructType(
-    [T.StructField("values", T.ArrayType(T.ByteType())), T.StructField("scale", T.FloatType()), T.StructField("norm", T.FloatType())]
+    [T.StructField("values", T.ArrayType(T.ByteType())), T.StructField("scale", T.FloatType()), T.StructField("norm", T.DoubleType())]
 )
 
 
@@ -27,15 +27,16 @@ def bytes_vector(text: str, dim: int, signed: bool) -> np.ndarray:
     """The text's bytes dealt round the dimensions and summed, as a unit vector (zero for an empty text).
 
     Unsigned (chunks) a byte adds b/255, signed (queries) 2b/255 - 1: two spaces that do not compare.
+    Sums are in doubles and the unit vector is rounded once, so a component depends on no order of adding.
     """
-    raw = np.frombuffer(text.encode(), np.uint8).astype(np.float32) / np.float32(255)
+    raw = np.frombuffer(text.encode(), np.uint8) / 255.0
     if signed:
-        raw = raw * np.float32(2) - np.float32(1)
-    padded = np.zeros(-(-max(len(raw), 1) // dim) * dim, np.float32)
+        raw = raw * 2 - 1
+    padded = np.zeros(-(-max(len(raw), 1) // dim) * dim)
     padded[: len(raw)] = raw
-    vector = padded.reshape(-1, dim).sum(axis=0, dtype=np.float32)
-    norm = np.sqrt((vector * vector).sum(dtype=np.float32))
-    return vector / norm if norm > 0 else vector
+    vector = padded.reshape(-1, dim).sum(axis=0)
+    norm = np.sqrt((vector * vector).sum())
+    return (vector / norm if norm > 0 else vector).astype(np.float32)
 
 
 def _embedder(dim: int, signed: bool):
@@ -75,16 +76,17 @@ def quantize_expression(vector: Column) -> Column:
     values = F.transform(
         vector, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round((x.cast("float") / scale).cast("float")).cast("int"))).cast("byte")
     )
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)).cast("float")
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.struct(values.alias("values"), scale.alias("scale"), norm.alias("norm"))
 
 
 def quantized(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values (int8), scale and norm of each row of a float32 matrix; halves round away from zero."""
+    """Values (int8), scale and norm (a double) of each row of a float32 matrix; halves round away from zero."""
     scale = np.maximum(np.abs(matrix).max(axis=1, initial=0), np.float32(EPSILON)) / np.float32(127)
     scaled = matrix / scale[:, None]
     values = np.clip(np.sign(scaled) * np.floor(np.abs(scaled).astype(np.float64) + 0.5), -127, 127).astype(np.int8)
-    return values, scale, np.sqrt((matrix * matrix).sum(axis=1, dtype=np.float32))
+    wide = matrix.astype(np.float64)
+    return values, scale, np.sqrt((wide * wide).sum(axis=1))
 
 
 def _matrix(rows: Sequence[np.ndarray]) -> np.ndarray:
@@ -106,11 +108,11 @@ def quantize(vectors: pd.Series) -> pd.DataFrame:
 
 
 def quantized_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two quantized vectors: 0 if either norm is 0; the shorter length counts."""
+    """Cosine of two quantized vectors, in doubles: 0 if either norm is 0; the shorter length counts."""
     n = F.least(F.size(a["values"]), F.size(b["values"]))
     products = F.zip_with(F.slice(a["values"], 1, n), F.slice(b["values"], 1, n), lambda x, y: x.cast("double") * y.cast("double"))
     dot = F.aggregate(products, F.lit(0.0), lambda s, x: s + x) * a["scale"] * b["scale"]
-    return F.when((a["norm"] == 0) | (b["norm"] == 0), F.lit(0.0)).otherwise(dot / (a["norm"] * b["norm"])).cast("float")
+    return F.when((a["norm"] == 0) | (b["norm"] == 0), F.lit(0.0)).otherwise(dot / (a["norm"] * b["norm"]))
 
 
 @lru_cache(maxsize=16)

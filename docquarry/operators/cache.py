@@ -47,7 +47,8 @@ def probe_cache(
     """query_id, query, outcome (SureHit, GreyZone, Miss), matched_query, score, value for each query.
 
     ``queries``: query_id, query, q, bucket; ``cache``: query, q, bucket, value, seq (place in insertion
-    order). Of the entries in a query's bucket the most similar one counts, the earliest of equals; from
+    order). Of the entries in a query's bucket the most similar one counts, the earliest of equals (scores are
+    doubles, and equal where they are in single precision, as copies of a vector are); from
     ``sure`` on it is a hit, from ``grey`` on only if the texts' trigrams overlap enough, which is looked at
     for that one entry alone. Equal query texts are looked up once.
     """
@@ -60,11 +61,11 @@ def probe_cache(
         quantized_cosine(F.col("q"), F.col("c_q")).alias("score"),
     )
     best = pairs.groupBy("query").agg(
-        F.max_by(F.struct("matched_query", "value", "score"), F.struct("score", -F.col("_seq"))).alias("b")
+        F.max_by(F.struct("matched_query", "value", "score"), F.struct(F.col("score").cast("float"), -F.col("_seq"))).alias("b")
     )
     scored = best.select("query", "b.*")
     score = F.col("score")
-    sure_, grey_ = F.lit(sure).cast("float"), F.lit(grey).cast("float")
+    sure_, grey_ = F.lit(float(sure)), F.lit(float(grey))
     overlap = jaccard(trigrams(F.col("query")), trigrams(F.col("matched_query")))
     in_grey = (score >= grey_) & (score < sure_)
     outcome = F.when(score >= sure_, "SureHit").when(in_grey & (overlap >= F.lit(min_jaccard).cast("float")), "GreyZone").otherwise("Miss")
@@ -109,7 +110,7 @@ class ShardCache:
 
     def described(self, query: str, value: str) -> _Entry:
         values, scale, norm = quantized(bytes_vector(query, self.dim, True)[None, :])
-        return _Entry(values[0], scale[0], norm[0], int(buckets(values, self.num_bits, self.seed)[0]), value)
+        return _Entry(values[0], scale[0], np.float32(norm[0]), int(buckets(values, self.num_bits, self.seed)[0]), value)
 
     def ask(self, query: str, fresh: str, own: _Entry | None = None) -> tuple[str, str | None, float | None, str]:
         """outcome, matched query, score and value; a miss stores ``fresh`` under the query. ``own``: what ``described`` gives, if it is at hand."""
@@ -171,7 +172,7 @@ def replay_cache(
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 values, scale, norm = quantized(np.stack([bytes_vector(q, dim, True) for q in part.column(2).to_pylist()]))
-                made = [pa.array([v.tobytes() for v in values], pa.binary()), pa.array(scale), pa.array(norm), pa.array(buckets(values, num_bits, seed))]
+                made = [pa.array([v.tobytes() for v in values], pa.binary()), pa.array(scale), pa.array(norm, pa.float32()), pa.array(buckets(values, num_bits, seed))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "v", "scale", "norm", "bucket"])
 
     coded = rows.mapInArrow(code, "shard string, seq long, query string, value string, v binary, scale float, norm float, bucket long")
