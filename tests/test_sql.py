@@ -29,3 +29,8 @@ def test_probe_cache_scores_near_a_rounding_border(spark, tmp_path):
     ]
     turns = [(i, 0, "user", t) for i, t in enumerate(texts)] + [(9, 0, "assistant", "unlike"), (9, 1, "user", ""), (9, 2, "assistant", None)]
     assert differences(spark, tmp_path, "probe_cache", {"conversations": (turns, "conv_id long, turn long, role string, text string")}) == ([], [])
+
+
+def test_chunk_markdown_of_odd_documents(spark, tmp_path):
+    rows = [(1, "Ñ Ñ Ñ.", "es", "src1"), (2, "", "en", "src1"), (3, None, "en", "src2"), (4, "abc", None, "src2"), (5, "abc", "en", None), (6, "a Word.", "en", "src17"), (-9, None, None, None), (None, "ok", "de", "src1")]
+    assert differences(spark, tmp_path, "chunk_markdown", {"documents": (rows, "doc_id long, text string, lang string, source string")}) == ([], [])
