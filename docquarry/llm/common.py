@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.sources.scratch import discard, materialize, spread
+from docquarry.sources.scratch import discard, materialize, spread, tidy
 
-__all__ = ["LOWER_ASCII", "bounded_batches", "discard", "materialize", "n_words", "split_words", "spread", "unit_interval", "with_columns_free"]
+__all__ = ["LOWER_ASCII", "bounded_batches", "discard", "materialize", "n_words", "split_words", "spread", "tidy", "unit_interval", "with_columns_free"]
 
 #: Word separators of the corpus contracts: space, tab, LF, VT, FF, CR.
 SPACES = r"[\x20\x09-\x0D]"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import LOWER_ASCII, bounded_batches, materialize, spread, with_columns_free
+from docquarry.llm.common import LOWER_ASCII, bounded_batches, discard, materialize, spread, tidy, with_columns_free
 
 ADDED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Keys of the end of a text and of the context before its first word: no word hashes to an even number.
@@ -128,10 +128,6 @@ class LogBloom:
         return found
 
 
-def _part_of(key: Column, parts: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(parts)).cast("int")
-
-
 _PARTS = "part int, bits binary, words array<bigint>, counts array<bigint>, stats array<bigint>"
 
 
@@ -195,38 +191,85 @@ def counted(parts: DataFrame) -> Counted:
     return Counted(int(word_sum.sum()), int(word_n.sum()), int(pair_sum[2:].sum()), *means)
 
 
-def probe_parts(keys: DataFrame, parts: DataFrame, n: int) -> DataFrame:
-    """(key, level) of ``keys`` (key, no repeats): each part of the filter meets the keys that belong to it in one task."""
+#: Text of one chunk, whose n-grams are asked for together, and parts of the filter that answer in one task.
+CHUNK_BYTES, ANSWERING = 8 << 20, 8
+
+
+def in_chunks(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` with _uid (rising along each partition) and _chunk (the _uid of its first row), written once, so that both stand."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        uid = chunk = (context.partitionId() if context else 0) << 40
+        held = 0
+        for batch in bounded_batches(batches):
+            n, n_bytes = batch.num_rows, batch.column(batch.schema.get_field_index(text_col)).nbytes
+            if held and held + n_bytes > chunk_bytes:
+                chunk, held = uid, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uid + np.arange(n)), pa.array(np.full(n, chunk))], names=[*batch.schema.names, "_uid", "_chunk"])
+            uid, held = uid + n, held + n_bytes
+
+    schema = T.StructType([*docs.schema.fields]).add("_uid", T.LongType()).add("_chunk", T.LongType())
+    return materialize(docs.mapInArrow(number, schema), "lm-chunks")
+
+
+def _dealt(word_keys: np.ndarray, pair_keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different words and pairs of some text in the order of the parts that answer: keys, their places before, and who answers."""
+    keys = np.concatenate((word_keys, pair_keys))
+    by = ((keys >> _U(40)) % _U(parts)).astype(np.int32) // ANSWERING
+    order = np.argsort(by.astype(np.uint16) if parts <= ANSWERING << 16 else by, kind="stable")  # short numbers sort by digits
+    return keys[order], order, by[order]
 
-    def probe(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        key = asked["key"].to_numpy(np.int64)
-        level = LogBloom(1, {0: part["bits"].iloc[0]}).levels(key.view(np.uint64)) if len(part) and len(key) else np.zeros(len(key), np.int64)
-        return pd.DataFrame({"key": key, "level": level})
 
-    asked = keys.withColumn("part", _part_of(F.col("key"), n))
-    return asked.groupBy("part").cogroup(parts.select("part", "bits").groupBy("part")).applyInPandas(probe, "key long, level long")
+def _different(keys: np.ndarray) -> np.ndarray:
+    """The different keys in rising order: np.unique hashes, which takes longer than sorting here."""
+    keys = np.sort(keys)
+    return keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
 
 
-def joined_scores(pairs: DataFrame, parts: DataFrame, n: int, counted: Counted, rarity: float, denominator: float) -> DataFrame:
-    """(_uid, score) from ``pairs`` (_uid, pair, before, word, m), without the filter in any one place.
+def levels_asked(chunked: DataFrame, text_col: str, parts: DataFrame, n: int) -> DataFrame:
+    """(chunk, first, by, levels) for tables of ``in_chunks``, whose filter of ``n`` parts is in no one place.
 
-    A probability belongs to the pair and not to the place, so it is worked out once for each different
-    pair: pairs and words are brought down to distinct keys with map-side combine, probed part by
-    part, and joined back; the adaptive skew join splits a pair or word that is met often.
+    The different words and pairs of a chunk go once to the tasks that hold their parts, 8 bytes each in one row for each
+    such task, and a byte for each comes back. Where a chunk is read by two tasks each asks for its rows (``first``: the
+    least _uid of them).
     """
-    distinct = materialize(pairs.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word")), "lm-pairs")
-    keys = distinct.select(F.col("pair").alias("key")).union(distinct.select("before").distinct()).union(distinct.select("word")).distinct()
-    levels = materialize(probe_parts(keys, parts, n), "lm-levels")
-    words, of_pairs = (F.array(*[F.lit(float(x)) for x in v]) for v in (counted.word_means, counted.pair_means))
-    is_word = F.col("key").bitwiseAND(F.lit(1)) == 1
-    found = levels.select("key", F.when(is_word, F.get(words, F.col("level"))).otherwise(F.get(of_pairs, F.col("level"))).alias("c"))
-    full = distinct
-    for name in ("pair", "before", "word"):
-        full = full.join(found.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name)
-    share = F.when(F.col("c_before") > 0, F.least("c_pair", "c_before") / F.col("c_before")).otherwise(0.0)
-    weight = F.when(F.col("c_before") > 0, F.col("c_before") / (F.col("c_before") + rarity)).otherwise(0.0)
-    p = full.select("pair", F.log10(weight * share + (1 - weight) * (F.col("c_word") + 1) / denominator).alias("p"))
-    return pairs.select("_uid", "pair", "m").join(p, "pair").groupBy("_uid").agg(F.sum(F.col("m") * F.col("p")).alias("score"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, chunk, first = WordKeys(), [], None, 0
+
+        def gathered() -> pa.RecordBatch:
+            tokens = np.concatenate(held)
+            found, _, by = _dealt(unigram_keys(_different(tokens)), _different(bigram_keys(contexts(tokens), tokens)), n)
+            begin = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
+            ends = np.append(begin, len(by)).astype(np.int32) * np.int32(8)
+            packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(found)])
+            return pa.RecordBatch.from_arrays([pa.array(by[begin]), pa.array(np.full(len(begin), chunk)), pa.array(np.full(len(begin), first)), packed], names=["by", "chunk", "first", "keys"])
+
+        for batch in bounded_batches(batches):
+            uids, chunks = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and chunks[begin] != chunk:
+                    yield gathered()
+                    held = []
+                if not held:
+                    chunk, first = chunks[begin], uids[begin]
+                held.append(token_keys(batch.column(0).slice(begin, end - begin).to_pylist(), keys)[0])
+        if held:
+            yield gathered()
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        model = LogBloom(n, dict(zip(held["part"].to_pylist(), held["bits"].to_pylist(), strict=True)))
+        packed = asked["keys"].to_pylist()
+        levels = model.levels(np.frombuffer(b"".join(packed), np.uint64)).astype(np.int8).tobytes()
+        ends = np.cumsum([0, *(len(x) // 8 for x in packed)]).tolist()
+        said = pa.array([levels[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table({"chunk": asked["chunk"], "first": asked["first"], "by": asked["by"], "levels": said})
+
+    asked = chunked.select(text_col, "_uid", "_chunk").mapInArrow(ask, "by int, chunk long, first long, keys binary")
+    held = parts.select("part", "bits", F.floor(F.col("part") / ANSWERING).cast("int").alias("by"))
+    return asked.groupBy("by").cogroup(held.groupBy("by")).applyInArrow(answer, "chunk long, first long, by int, levels binary")
 
 
 def _distinct(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,21 +314,22 @@ def score_texts(
     p(w | v) = a * c(v w) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1) with a = c(v) / (c(v) + k), where all
     counts c come from the log-frequency Bloom filter by repeated membership probes. Every token and pair
     is put in, those seen once too. The filter has a part for each ``part_bytes`` of text, each as wide as
-    its entries need (``n_bits`` each). Up to ``most_bytes`` it is broadcast; the parts of a larger one stay apart and the
-    n-grams are dealt out to them (``joined_scores``), with the same scores. The share
+    its entries need (``n_bits`` each). Up to ``most_bytes`` it is broadcast; the parts of a larger one stay apart, the
+    different n-grams of each chunk of text ask them (``levels_asked``), and chunks meet their answers, with the same scores. The share
     of pairs seen once is the (Good-Turing) chance of an unseen pair, and k is such that a is one minus
     that share on average.
 
     base_score and n_known need exact counts: the most frequent tokens, at most ``frequent`` of them, go
     along with the task; all other occurrences are joined to the whole table of counts and summed. No
-    token of the join is frequent, so it has no hot key. Texts are tokenised twice and never shuffled.
+    token of the join is frequent, so it has no hot key. Texts are tokenised twice and never shuffled; with the parts
+    apart three times, and once dealt out by chunks.
 
     Null and empty texts consist of the end alone. Null ids are held out. Repeated rows are learnt from
     and scored one by one. Very long texts are scored whole, in one task. Without training text N and V are 0 and each token has probability 1 (base).
     No rows: no rows. Clashing columns are replaced. Words meet by 64-bit hash.
     """
     spark = docs.sparkSession
-    base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare", "_pairs").withColumn("held_out", is_held_out(F.col(id_col)))
+    base = with_columns_free(docs, *ADDED, "_uid", "_base", "_known", "_rare", "_chunk").withColumn("held_out", is_held_out(F.col(id_col)))
     n_bytes = base.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     n_parts = max(1, -(-n_bytes // part_bytes))
     parts = materialize(ngram_parts(base.where(~F.col("held_out")), text_col, n_parts, n_bits), "lm-parts")
@@ -309,69 +353,87 @@ def score_texts(
     apart = (parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > most_bytes
     shared = None if apart else spark.sparkContext.broadcast(LogBloom(n_parts, {r["part"]: bytes(r["bits"]) for r in parts.select("part", "bits").collect()}))
     columns = [c for c in base.columns if c != text_col]
-    pairs_type = pa.list_(pa.struct([*[(n, pa.int64()) for n in ("pair", "before", "word")], ("m", pa.int32())]))
     rare_type = pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int32())]))
 
+    def scored_rows(batch: pa.RecordBatch | pa.Table, uids: np.ndarray, keys: WordKeys, levels: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        """The columns that are worked out; ``levels`` gives those of different words and of the pair at each token."""
+        tokens, sizes = token_keys(batch.column(text_col).to_pylist(), keys)
+        begin = np.cumsum(sizes) - sizes
+        words, inverse = np.unique(tokens, return_inverse=True)
+        word_keys = unigram_keys(words)
+        at = np.minimum(np.searchsorted(top_keys, word_keys), max(0, len(top_keys) - 1))
+        hit = top_keys[at] == word_keys if len(top_keys) else np.zeros(len(words), bool)
+        exact = np.where(hit, top_counts[at] if len(top_keys) else 0, 0)
+        is_top = hit[inverse]
+        base_sum = np.add.reduceat(np.log10(exact + 1.0)[inverse], begin)
+        n_known = np.add.reduceat(is_top.astype(np.int64), begin)
+        word_levels, pair_levels = levels(word_keys, bigram_keys(contexts(tokens), tokens))
+        before = np.where(np.arange(len(tokens)) == np.repeat(begin, sizes), -1, np.concatenate(([0], inverse[:-1])))
+        # The beginning stands before each text once, as often as the end does.
+        before = np.where(before >= 0, before, int(np.searchsorted(words, END)))
+        word_count = sums.word_means[word_levels]
+        before_count = word_count[before]
+        pair_count = np.minimum(sums.pair_means[pair_levels], before_count)
+        pair = np.divide(pair_count, before_count, out=np.zeros(len(tokens)), where=before_count > 0)
+        weight = np.divide(before_count, before_count + rarity, out=np.zeros(len(tokens)), where=before_count > 0)
+        p = weight * pair + (1 - weight) * (word_count[inverse] + 1) / denominator
+        total = np.add.reduceat(np.log10(p), begin)
+        row, rare = np.repeat(np.arange(len(sizes)), sizes), np.flatnonzero(~is_top)
+        at, times, ends = _distinct(row[rare], word_keys[inverse[rare]], len(sizes))
+        members = [pa.array(word_keys[inverse[rare[at]]].view(np.int64)), pa.array(times)]
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(members, names=["key", "m"]), type=rare_type)
+        return [pa.array(uids), pa.array(sizes), pa.array(n_known), pa.array(base_sum), pa.array(total), lists]
+
+    names = [*columns, "_uid", "n_tokens", "_known", "_base", "score", "_rare"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, model = WordKeys(), None if apart else shared.value
+        keys, model = WordKeys(), shared.value
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 40
         for batch in bounded_batches(batches):
-            tokens, sizes = token_keys(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), keys)
-            begin = np.cumsum(sizes) - sizes
-            words, inverse = np.unique(tokens, return_inverse=True)
-            word_keys = unigram_keys(words)
-            at = np.minimum(np.searchsorted(top_keys, word_keys), max(0, len(top_keys) - 1))
-            hit = top_keys[at] == word_keys if len(top_keys) else np.zeros(len(words), bool)
-            exact = np.where(hit, top_counts[at] if len(top_keys) else 0, 0)
-            is_top = hit[inverse]
-            base_sum = np.add.reduceat(np.log10(exact + 1.0)[inverse], begin)
-            n_known = np.add.reduceat(is_top.astype(np.int64), begin)
-            before = np.where(np.arange(len(tokens)) == np.repeat(begin, sizes), -1, np.concatenate(([0], inverse[:-1])))
-            # The beginning stands before each text once, as often as the end does.
-            before = np.where(before >= 0, before, int(np.searchsorted(words, END)))
-            pairs = bigram_keys(contexts(tokens), tokens)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            if apart:
-                total = np.zeros(len(sizes))
-                at, times, ends = _distinct(row, pairs, len(sizes))
-                members = [pa.array(k[at].view(np.int64)) for k in (pairs, word_keys[before], word_keys[inverse])] + [pa.array(times)]
-                open_pairs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(members, names=["pair", "before", "word", "m"]), type=pairs_type)
-            else:
-                word_count = sums.word_means[model.levels(word_keys)]
-                before_count = word_count[before]
-                pair_count = np.minimum(sums.pair_means[model.levels(pairs)], before_count)
-                pair = np.divide(pair_count, before_count, out=np.zeros(len(tokens)), where=before_count > 0)
-                weight = np.divide(before_count, before_count + rarity, out=np.zeros(len(tokens)), where=before_count > 0)
-                p = weight * pair + (1 - weight) * (word_count[inverse] + 1) / denominator
-                total = np.add.reduceat(np.log10(p), begin)
-                open_pairs = pa.nulls(len(sizes), pairs_type)
-            rare = np.flatnonzero(~is_top)
-            at, times, ends = _distinct(row[rare], word_keys[inverse[rare]], len(sizes))
-            members = [pa.array(word_keys[inverse[rare[at]]].view(np.int64)), pa.array(times)]
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(members, names=["key", "m"]), type=rare_type)
-            made = [
-                pa.array(uid + np.arange(len(sizes))), pa.array(sizes), pa.array(n_known), pa.array(base_sum), pa.array(total), lists, open_pairs,
-            ]
-            uid += len(sizes)
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*keep, *made], names=[*columns, "_uid", "n_tokens", "_known", "_base", "score", "_rare", "_pairs"])
+            made = scored_rows(batch, uid + np.arange(batch.num_rows), keys, lambda words, pairs: (model.levels(words), model.levels(pairs)))
+            uid += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=names)
+
+    def score_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers, keys, out = rows.sort_by("_uid"), answers.sort_by([("first", "ascending"), ("by", "ascending")]), WordKeys(), []
+        firsts, starts = np.unique(answers["first"].to_numpy(), return_index=True)
+        begins, ends = np.searchsorted(rows["_uid"].to_numpy(), firsts), [*starts[1:].tolist(), len(answers)]
+        for begin, end, a, b in zip(begins, [*begins[1:], len(rows)], starts.tolist(), ends, strict=True):
+            said = np.frombuffer(b"".join(answers["levels"].slice(a, b - a).to_pylist()), np.int8)
+
+            def levels(words: np.ndarray, pairs: np.ndarray, said: np.ndarray = said) -> tuple[np.ndarray, np.ndarray]:
+                pair_keys, place = np.unique(pairs, return_inverse=True)
+                found = np.empty(len(said), np.int64)
+                found[_dealt(words, pair_keys, n_parts)[1]] = said
+                return found[: len(words)], found[len(words) :][place]
+
+            own = rows.slice(begin, end - begin)
+            made = scored_rows(own, own["_uid"].to_numpy(), keys, levels)
+            out.append(pa.table([*[own.column(c) for c in columns], *made], names=names))
+        return pa.concat_tables(out)
 
     schema = T.StructType(base.select(*columns).schema.fields)
     for name, kind in (("_uid", T.LongType()), ("n_tokens", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("score", T.DoubleType())):
         schema = schema.add(name, kind)
-    for name, longs in (("_rare", ("key",)), ("_pairs", ("pair", "before", "word"))):
-        schema = schema.add(name, T.ArrayType(T.StructType([*[T.StructField(n, T.LongType()) for n in longs], T.StructField("m", T.IntegerType())])))
-    scored = materialize(base.mapInArrow(score, schema), "lm-scores")
+    schema = schema.add("_rare", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("m", T.IntegerType())])))
+    if apart:  # each step's shuffle files go before the next one writes
+        tidy(spark)
+        chunked = in_chunks(base, text_col)
+        answers = materialize(levels_asked(chunked, text_col, parts, n_parts), "lm-levels")
+        tidy(spark)
+        found = chunked.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk, schema)
+        scored = materialize(found, "lm-scores")
+        discard(chunked, answers)
+        tidy(spark)
+    else:
+        scored = materialize(base.mapInArrow(score, schema), "lm-scores")
     rare = scored.select("_uid", F.inline("_rare"))
     found = rare.join(unigrams.where(F.col("n") < least), "key").groupBy("_uid").agg(
         F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("_more"), F.sum("m").alias("_found")
     )
-    if apart:
-        asked = scored.select("_uid", F.inline("_pairs"))
-        scored = scored.drop("score").join(joined_scores(asked, parts, n_parts, sums, rarity, denominator), "_uid")
     return (
-        scored.drop("_rare", "_pairs")
+        scored.drop("_rare")
         .join(found, "_uid", "left")
         .withColumn("n_known", F.col("_known") + F.coalesce("_found", F.lit(0)))
         .withColumn("train_tokens", F.lit(n_train).cast("long"))

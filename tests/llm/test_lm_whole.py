@@ -87,3 +87,39 @@ def test_pair_seen_once_counts(spark):
     rows += [(a, f"left{x} right{x}"), (b, f"left{x} right{y}")]
     found = scores(spark, rows)
     assert found[a] > found[b] + 0.1
+
+
+def test_parts_apart_write_little(spark, monkeypatch):
+    """Beside the texts once more, what the documents write while the filter stays apart is a byte an n-gram of a chunk."""
+    import glob
+    import os
+
+    import docquarry.llm.lm as module
+
+    rng, written = random.Random(9), []
+    rows = [(i, " ".join(rng.choice("abcdef") * rng.randrange(1, 4) + f"{rng.randrange(4000)}" for _ in range(600))) for i in range(200)]
+    whole = module.materialize
+
+    def counting(df, name):
+        made = whole(df, name)
+        written.append((name, sum(os.path.getsize(f) for f in glob.glob(made.written_at.removeprefix("file:") + "/*.parquet"))))
+        return made
+
+    monkeypatch.setattr("docquarry.llm.lm.materialize", counting)
+    apart = scores(spark, rows, most_bytes=0)
+    several = sum(n for _, n in written)
+    assert several < 2.5 * sum(len(t) for _, t in rows), written
+    assert scores(spark, rows) == pytest.approx(apart, abs=1e-6)
+
+
+def test_a_chunk_read_in_two_tasks(spark):
+    """Each task asks for its rows of a chunk, and the answers meet their own."""
+    from docquarry.llm.lm import in_chunks, levels_asked, materialize, ngram_parts
+
+    frame = spark.createDataFrame([(i, f"w{i} w{i % 7} w{i % 5}") for i in range(400)], "doc_id long, text string").coalesce(1)
+    chunked = in_chunks(frame, "text", 1 << 30)
+    assert chunked.select("_chunk").distinct().count() == 1 and chunked.select("_uid").distinct().count() == 400
+    parts = materialize(ngram_parts(frame, "text", 20), "test-parts")
+    got = levels_asked(chunked.repartitionByRange(3, "_uid").sortWithinPartitions("_uid"), "text", parts, 20).collect()
+    assert len({r["first"] for r in got}) > 1 and {r["by"] for r in got} == {0, 1, 2}
+    assert all(level > 0 for r in got for level in bytes(r["levels"]))
