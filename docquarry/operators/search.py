@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +31,58 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity_join(queries: DataFrame, points: DataFrame, *, query_block: int = 0) -> DataFrame:
     """All (query_id, point_id, score) of vectors of one size: no threshold, so as many rows as pairs, by its nature.
 
-    Both sides are dealt into blocks, and each pair of blocks is multiplied as matrices in one task.
+    Points are dealt into blocks once and each block meets every block of queries in one task, which multiplies them
+    as matrices and hands on PAIR_ROWS pairs or so at a time: a task holds two blocks and one such batch, however
+    many pairs there are.
     """
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    narrow = points.where(F.col("embedding").isNotNull()).select("point_id", F.col("embedding").alias("_p"))
-    return _meet_in_blocks(asked, narrow, None, max(1, -(-asked.count() // (query_block or QUERY_BLOCK))))
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("_v"))
+    narrow = points.where(F.col("embedding").isNotNull()).select("point_id", F.col("embedding").alias("_v"))
+    query_blocks, n = max(1, -(-asked.count() // (query_block or QUERY_BLOCK))), narrow.count()
+    point_blocks = max(1, -(-n // PAIR_POINTS), min(4 * points.sparkSession.sparkContext.defaultParallelism, -(-n // 256)))
+    block = lambda key, of: F.pmod(F.xxhash64(key, "_v"), F.lit(of)).cast("int")
+    held = narrow.withColumn("_b", block("point_id", point_blocks)).repartition(point_blocks, "_b")
+    held = held.groupBy("_b").agg(F.collect_list(F.struct("point_id", "_v")).alias("_points"))
+    packed = asked.groupBy(block("query_id", query_blocks).alias("_q")).agg(F.collect_list(F.struct("query_id", "_v")).alias("_asked"))
+    every = packed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(point_blocks - 1)))).repartition(point_blocks, "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, p in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _pairs(*q.values.flatten(), *p.values.flatten())
+
+    return every.join(held, "_b").select("_asked", "_points").mapInArrow(run, _FOUND)
+
+
+#: Points of one block where every pair is asked for, and pairs of one batch of results.
+PAIR_POINTS, PAIR_ROWS = 4096, 1 << 18
+
+
+def _pairs(query_ids: pa.Array, queries: pa.Array, point_ids: pa.Array, points: pa.Array, rows: int = PAIR_ROWS) -> Iterator[pa.RecordBatch]:
+    """Every pair of vectors of one size, at most ``rows`` pairs or one query's in a batch."""
+    sizes, lengths = (np.asarray(pc.list_value_length(v)) for v in (queries, points))
+    for n in np.intersect1d(sizes, lengths):
+        own, found = np.flatnonzero(sizes == n), np.flatnonzero(lengths == n)
+        asked, held = (_normed(np.asarray(v.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)) for v, at in ((queries, own), (points, found)))
+        ids, step = np.asarray(query_ids, np.int64)[own], max(1, rows // len(found))
+        for begin in range(0, len(own), step):
+            scores = np.round(asked[begin : begin + step] @ held.T, 12)
+            columns = [pa.array(np.repeat(ids[begin : begin + step], len(found))), point_ids.take(pa.array(np.tile(found, len(scores)))), pa.array(scores.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "point_id", "score"])
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
-    matrix = np.stack([np.asarray(r, np.float64) for r in rows])
+    return _normed(np.stack([np.asarray(r, np.float64) for r in rows]))
+
+
+def _normed(matrix: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _local_top(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _local_top(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k best of each row of ``scores``; ties at the border by key."""
     n = scores.shape[1]
-    if k is None or n <= k:
+    if n <= k:
         return np.repeat(np.arange(len(ids)), n), np.tile(np.arange(n), len(ids))
     border = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
     rows, cols = np.nonzero(scores >= border)
@@ -83,7 +120,7 @@ _FOUND = "query_id long, point_id string, score double"
 POINT_BLOCK = 16384
 
 
-def _matched(ids: np.ndarray, vectors: pd.Series, points: pd.DataFrame, k: int | None) -> Iterator[pd.DataFrame]:
+def _matched(ids: np.ndarray, vectors: pd.Series, points: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
     sizes, lengths = vectors.map(len).to_numpy(), points["_p"].map(len).to_numpy()
     for n in np.intersect1d(sizes, lengths):
         own, part = ids[sizes == n], points[lengths == n]
@@ -103,7 +140,7 @@ def _meet_together(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return points.mapInPandas(run, _FOUND)
 
 
-def _meet_in_blocks(queries: DataFrame, points: DataFrame, k: int | None, query_blocks: int) -> DataFrame:
+def _meet_in_blocks(queries: DataFrame, points: DataFrame, k: int, query_blocks: int) -> DataFrame:
     point_blocks = max(1, -(-points.count() // POINT_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("_b", every(point_blocks))

@@ -1,6 +1,7 @@
 import random
 from collections import OrderedDict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docquarry.functions.vectors import bytes_vector
@@ -41,6 +42,20 @@ def test_top_k_equals_expressions(spark):
     assert want[50][:3] == ["dup0", "dup1", "p000"]
 
 
+def test_pairs_come_in_bounded_batches(spark):
+    ids, points = pa.array(range(50)), pa.array([[float(i % 7), float(i % 11), 1.0] for i in range(900)], pa.list_(pa.float32()))
+    held = list(se._pairs(ids, points.slice(0, 50), pa.array([f"p{i}" for i in range(900)]), points, 2000))
+    assert max(b.num_rows for b in held) == 1800 and sum(b.num_rows for b in held) == 50 * 900
+    queries = spark.createDataFrame([(i, points[i].as_py()) for i in range(50)], "query_id long, embedding array<float>")
+    frame = spark.createDataFrame([(f"p{i}", v.as_py()) for i, v in enumerate(points)], "point_id string, embedding array<float>")
+    joined = se.similarity_join(queries, frame)
+    # No row of a block's pairs waits for the others: blocks meet in a join and are streamed on.
+    assert "CoGroups" not in joined._jdf.queryExecution().toString()
+    got = {(r["query_id"], r["point_id"]): r["score"] for r in joined.collect()}
+    want = {(q, p): s for b in held for q, p, s in zip(*(c.to_pylist() for c in b.columns))}
+    assert len(got) == 45000 and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
+
+
 def test_answers(spark):
     queries, points = tables(spark)
     got = {r["query_id"]: r["answer"] for r in se.search(queries, points, 2).collect()}
